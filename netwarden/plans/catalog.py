@@ -255,3 +255,116 @@ def q_alert_log_source(spark, d):
     path = scratch_path(spark, "alert_log")
     write_alert_log(AD.al(spark, d), path)
     return read_alert_log(spark, path)
+
+
+# ---------------------------------------------------------------------------
+# Evaluation metrics (scored events)
+# ---------------------------------------------------------------------------
+from netwarden.operators import metrics as M  # noqa: E402
+
+_COUNTS_SQL = """(SELECT CAST(count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS BIGINT) AS tn,
+        CAST(count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS BIGINT) AS fp,
+        CAST(count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS BIGINT) AS fn,
+        CAST(count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS BIGINT) AS tp FROM {src})"""
+
+
+def _div(a, b):
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+def _metrics_sql(name, src="sc", auc="CAST(NULL AS DOUBLE)"):
+    return f"""SELECT '{name}' AS model_name,
+       round({_div('tp + tn', 'tn + fp + fn + tp')}, 6) AS accuracy,
+       round({_div('tp', 'tp + fp')}, 6) AS "precision",
+       round({_div('tp', 'tp + fn')}, 6) AS recall,
+       round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1_score,
+       {auc} AS roc_auc,
+       CAST(tn + fp + fn + tp AS BIGINT) AS n_test_samples,
+       CAST(tp + fp AS BIGINT) AS n_attacks_detected, CAST(tp + fn AS BIGINT) AS n_attacks_actual,
+       CAST(fp AS BIGINT) AS false_positives, CAST(fn AS BIGINT) AS false_negatives
+FROM {_COUNTS_SQL.format(src=src)}"""
+
+
+_AUC_SQL = """(WITH g AS (SELECT score, CAST(sum(y_true) AS BIGINT) AS pos,
+                     CAST(count(*) - sum(y_true) AS BIGINT) AS neg FROM sc GROUP BY score),
+      c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos FROM g)
+ SELECT round(sum(CAST(neg AS DOUBLE) * (CAST(cum_pos - pos AS DOUBLE) + pos / 2.0))
+              / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 6) FROM c)"""
+
+
+@register("confusion_matrix", f"""
+SELECT a AS actual, p AS predicted, n FROM {_COUNTS_SQL.format(src='sc')} c,
+ LATERAL (VALUES (0, 0, c.tn), (0, 1, c.fp), (1, 0, c.fn), (1, 1, c.tp)) v(a, p, n)""")
+def q_confusion_matrix(spark, d):
+    return M.confusion_matrix(AD.sc(spark, d))
+
+
+@register("binary_metrics", _metrics_sql("threshold_rule"))
+def q_binary_metrics(spark, d):
+    return M.binary_metrics(AD.sc(spark, d), model_name="threshold_rule")
+
+
+@register("classification_report", f"""
+WITH c AS {_COUNTS_SQL.format(src='sc')},
+m AS (SELECT *, tn + fp AS s0, tp + fn AS s1, tn + fp + fn + tp AS n,
+        {_div('tn', 'tn + fn')} AS p0, {_div('tn', 'tn + fp')} AS r0,
+        {_div('tp', 'tp + fp')} AS p1, {_div('tp', 'tp + fn')} AS r1,
+        {_div('2 * tn', '2 * tn + fn + fp')} AS f0, {_div('2 * tp', '2 * tp + fp + fn')} AS f1,
+        {_div('tp + tn', 'tn + fp + fn + tp')} AS acc FROM c)
+SELECT class_label, round(p, 4) AS "precision", round(r, 4) AS recall, round(f, 4) AS f1_score,
+       CAST(s AS BIGINT) AS support
+FROM m, LATERAL (VALUES
+  ('NORMAL (0)', p0, r0, f0, s0), ('ATTACK (1)', p1, r1, f1, s1),
+  ('accuracy', NULL, NULL, acc, n),
+  ('macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
+  ('weighted avg', {_div('p0 * s0 + p1 * s1', 'n')}, {_div('r0 * s0 + r1 * s1', 'n')},
+                   {_div('f0 * s0 + f1 * s1', 'n')}, n)) v(class_label, p, r, f, s)""")
+def q_classification_report(spark, d):
+    return M.classification_report(AD.sc(spark, d))
+
+
+_ROC_SQL = """(WITH g AS (SELECT score AS threshold, CAST(sum(y_true) AS BIGINT) AS pos,
+                     CAST(count(*) - sum(y_true) AS BIGINT) AS neg FROM sc GROUP BY score),
+      t AS (SELECT CAST(sum(pos) AS DOUBLE) AS P, CAST(sum(neg) AS DOUBLE) AS N FROM g),
+      c AS (SELECT CAST(row_number() OVER (ORDER BY threshold DESC) AS BIGINT) AS point, threshold,
+                   CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp,
+                   CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp
+            FROM g)
+ SELECT point, threshold, tp, fp, round(tp / t.P, 6) AS tpr, round(fp / t.N, 6) AS fpr FROM c, t
+ UNION ALL SELECT CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0, 0.0)"""
+
+
+@register("roc_curve", f"SELECT * FROM {_ROC_SQL}")
+def q_roc_curve(spark, d):
+    return M.roc_curve(AD.sc(spark, d))
+
+
+@register("roc_auc", f"SELECT {_AUC_SQL} AS roc_auc")
+def q_roc_auc(spark, d):
+    return M.roc_auc(AD.sc(spark, d))
+
+
+@register("youden_threshold", f"""
+SELECT threshold, tpr, fpr, round(tpr - fpr, 6) AS youden_j
+FROM {_ROC_SQL} r WHERE threshold IS NOT NULL
+ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1""")
+def q_youden_threshold(spark, d):
+    return M.youden_threshold(AD.sc(spark, d))
+
+
+@register("evaluate_model", _metrics_sql("threshold_rule", auc=_AUC_SQL))
+def q_evaluate_model(spark, d):
+    return M.evaluate_model(AD.sc(spark, d), score="score", model_name="threshold_rule")
+
+
+@register("compare_models", f"""
+WITH m AS ({_metrics_sql('threshold_rule')} UNION ALL
+           {_metrics_sql('strict_rule', src="(SELECT y_true, CAST(score >= 0.8 AS INTEGER) AS y_pred FROM sc)")})
+SELECT model_name, metric, round(value * 100.0, 4) AS score_pct
+FROM (UNPIVOT (SELECT model_name, accuracy, "precision", recall, f1_score FROM m)
+      ON accuracy, "precision", recall, f1_score INTO NAME metric VALUE value)""")
+def q_compare_models(spark, d):
+    s = AD.sc(spark, d)
+    strict = s.select("y_true", (F.col("score") >= 0.8).cast("int").alias("y_pred"))
+    return M.compare_models([M.binary_metrics(s, model_name="threshold_rule"),
+                             M.binary_metrics(strict, model_name="strict_rule")])

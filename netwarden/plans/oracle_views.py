@@ -62,7 +62,10 @@ ALL = ",\n".join([EV, EVG, SC, AL, LI])
 
 
 def with_views(body: str) -> str:
-    return f"WITH {ALL}\n{body}"
+    b = body.strip()
+    if b[:5].upper() == "WITH ":
+        return f"WITH {ALL},\n{b[5:]}"
+    return f"WITH {ALL}\n{b}"
 
 
 THREAT_CASE = _THREAT
