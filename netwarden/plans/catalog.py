@@ -368,3 +368,178 @@ def q_compare_models(spark, d):
     strict = s.select("y_true", (F.col("score") >= 0.8).cast("int").alias("y_pred"))
     return M.compare_models([M.binary_metrics(s, model_name="threshold_rule"),
                              M.binary_metrics(strict, model_name="strict_rule")])
+
+
+# ---------------------------------------------------------------------------
+# Profile, counts, timelines, histograms
+# ---------------------------------------------------------------------------
+from netwarden.operators import histograms as H  # noqa: E402
+
+
+@register("profile_shape", """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS INTEGER) AS n_columns FROM li""")
+def q_profile_shape(spark, d):
+    return PR.profile_shape(AD.li(spark, d))
+
+
+@register("profile_dtypes")
+def q_profile_dtypes(spark, d):
+    return PR.profile_dtypes(AD.read_table(spark, d, "lineitem"))
+
+
+_EVG_COLS = ["row_id", "ts", "user_id", "attack_type", "label", "value", "k", "hour_of_day",
+             "protocol_type", "value_gap", "k7", "attack_gap"]
+_EVG_FLOAT = {"value", "value_gap"}
+
+
+def _null_union_sql():
+    parts = []
+    for c in _EVG_COLS:
+        cond = f"{c} IS NULL" + (f" OR isnan({c})" if c in _EVG_FLOAT else "")
+        parts.append(f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS n_missing FROM evg")
+    return " UNION ALL ".join(parts)
+
+
+@register("profile_nulls", f"""
+SELECT * FROM ({_null_union_sql()}) ORDER BY n_missing DESC, column_name LIMIT 10""")
+def q_profile_nulls(spark, d):
+    return PR.profile_nulls(AD.with_gaps(AD.ev(spark, d)), top=10)
+
+
+@register("class_distribution", """
+SELECT CAST(c.label AS INTEGER) AS label, CAST(coalesce(n, 0) AS BIGINT) AS n,
+       round(coalesce(n, 0) * 100.0 / sum(coalesce(n, 0)) OVER (), 6) AS pct
+FROM (VALUES (0), (1)) c(label) FULL OUTER JOIN (SELECT label, count(*) AS n FROM ev GROUP BY label) g
+  USING (label)""")
+def q_class_distribution(spark, d):
+    return PR.class_distribution(AD.ev(spark, d), "label")
+
+
+@register("value_counts_topk", """
+SELECT attack_type, CAST(count(*) AS BIGINT) AS n FROM ev WHERE attack_type IS NOT NULL
+GROUP BY attack_type ORDER BY n DESC, attack_type LIMIT 15""")
+def q_value_counts_topk(spark, d):
+    return P.value_counts_topk(AD.ev(spark, d), "attack_type", 15)
+
+
+@register("top_source_ips", """
+SELECT source_ip, CAST(count(*) AS BIGINT) AS n FROM al WHERE source_ip IS NOT NULL
+GROUP BY source_ip ORDER BY n DESC, source_ip LIMIT 10""")
+def q_top_source_ips(spark, d):
+    return P.value_counts_topk(AD.al(spark, d), "source_ip", 10)
+
+
+@register("top_attack_types", """
+SELECT raw_attack_type, CAST(count(*) AS BIGINT) AS n FROM al WHERE raw_attack_type IS NOT NULL
+GROUP BY raw_attack_type ORDER BY n DESC, raw_attack_type LIMIT 8""")
+def q_top_attack_types(spark, d):
+    return P.value_counts_topk(AD.al(spark, d), "raw_attack_type", 8)
+
+
+@register("timeline_minute_of_day", """
+SELECT strftime("timestamp", '%H:%M') AS minute_label, CAST(count(*) AS BIGINT) AS n_alerts
+FROM al WHERE "timestamp" IS NOT NULL GROUP BY 1""")
+def q_timeline_minute_of_day(spark, d):
+    return P.timeline_minute_of_day(AD.al(spark, d))
+
+
+@register("timeline_hourly", """
+SELECT CAST(date_trunc('hour', "timestamp") AS TIMESTAMP) AS hour_start, CAST(count(*) AS BIGINT) AS n_alerts
+FROM al WHERE "timestamp" IS NOT NULL GROUP BY 1""")
+def q_timeline_hourly(spark, d):
+    return P.timeline_hourly(AD.al(spark, d))
+
+
+def _hist_sql(src, value, cls, bins, density=True, cls_type="INTEGER"):
+    dens = ", round(n / (cnt * w), 6) AS density" if density else ""
+    return f"""
+WITH s0 AS (SELECT {cls} AS c, min({value}) AS lo0, max({value}) AS hi0, count(*) AS cnt
+            FROM {src} WHERE {value} IS NOT NULL AND {cls} IS NOT NULL GROUP BY {cls}),
+s AS (SELECT c, cnt, CASE WHEN hi0 = lo0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+             CASE WHEN hi0 = lo0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM s0),
+s2 AS (SELECT *, (hi - lo) / {float(bins)} AS w FROM s),
+b AS (SELECT s2.c, s2.lo, s2.w, s2.cnt,
+             least(CAST(floor(({value} - s2.lo) / s2.w) AS INTEGER), {bins - 1}) AS bin
+      FROM {src} t JOIN s2 ON t.{cls} = s2.c WHERE t.{value} IS NOT NULL),
+g AS (SELECT c, bin, lo, w, cnt, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY c, bin, lo, w, cnt)
+SELECT CAST(c AS {cls_type}) AS {cls}, bin, round(lo + bin * w, 6) AS bin_lo,
+       round(lo + (bin + 1) * w, 6) AS bin_hi, n{dens} FROM g"""
+
+
+@register("histogram_by_class", _hist_sql("ev", "value", "label", 40))
+def q_histogram_by_class(spark, d):
+    return H.histogram_by_class(AD.ev(spark, d), "value", "label", 40)
+
+
+@register("anomaly_histogram", _hist_sql("sc", "score", "y_true", 60, density=False))
+def q_anomaly_histogram(spark, d):
+    return H.histogram_by_class(AD.sc(spark, d), "score", "y_true", 60, density=False)
+
+
+@register("confidence_histogram",
+          _hist_sql("al", "confidence_score", "severity", 20, density=False, cls_type="VARCHAR"))
+def q_confidence_histogram(spark, d):
+    return H.histogram_by_class(AD.al(spark, d), "confidence_score", "severity", 20, density=False)
+
+
+@register("kde_by_class", """
+WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM ev WHERE value IS NOT NULL),
+gr AS (SELECT CAST(j AS INTEGER) AS point,
+              CASE WHEN j = 299 THEN r.hi ELSE r.lo + j * ((r.hi - r.lo) / 299) END AS x
+       FROM range(300) t(j), r),
+st AS (SELECT label, count(*) AS n, stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h
+       FROM ev WHERE value IS NOT NULL GROUP BY label)
+SELECT CAST(st.label AS INTEGER) AS label, gr.point, gr.x,
+       round(sum(exp(-0.5 * ((gr.x - ev.value) / st.h) * ((gr.x - ev.value) / st.h))) / (st.n * st.h * sqrt(2 * pi())), 6)
+         AS density
+FROM ev JOIN st USING (label), gr WHERE ev.value IS NOT NULL
+GROUP BY st.label, st.n, st.h, gr.point, gr.x""")
+def q_kde_by_class(spark, d):
+    return H.kde_by_class(AD.ev(spark, d), "value", "label", 300)
+
+
+# ---------------------------------------------------------------------------
+# Sort, limit, top-k
+# ---------------------------------------------------------------------------
+from netwarden.operators.ordered import ordered_running  # noqa: E402
+from netwarden.functions.scalar import severity_rank  # noqa: E402
+
+_SEV_RANK_SQL = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 END"
+
+
+@register("sort_alerts", f"""
+SELECT *, CAST(row_number() OVER (ORDER BY {_SEV_RANK_SQL}, "timestamp" NULLS LAST, row_id) AS BIGINT)
+  AS alert_rank FROM al""")
+def q_sort_alerts(spark, d):
+    a = AD.al(spark, d)
+    order = [severity_rank("severity"), F.col("timestamp").asc_nulls_last(), F.col("row_id")]
+    return ordered_running(a, order, rn_col="alert_rank")
+
+
+@register("latest_alerts", f"""
+SELECT * FROM al ORDER BY {_SEV_RANK_SQL}, "timestamp" NULLS LAST, row_id LIMIT 100""")
+def q_latest_alerts(spark, d):
+    return A.latest_alerts(AD.al(spark, d), 100)
+
+
+@register("latest_alerts_recent", """
+SELECT * FROM al ORDER BY "timestamp" DESC NULLS LAST, row_id DESC LIMIT 100""")
+def q_latest_alerts_recent(spark, d):
+    return A.latest_alerts(AD.al(spark, d), 100, by="recent")
+
+
+@register("top_critical", f"""
+SELECT * FROM al WHERE severity IN ('CRITICAL', 'HIGH')
+ORDER BY {_SEV_RANK_SQL}, "timestamp" NULLS LAST, row_id LIMIT 10""")
+def q_top_critical(spark, d):
+    return A.top_critical(AD.al(spark, d), 10)
+
+
+@register("head_rows", "SELECT * FROM ev ORDER BY row_id LIMIT 3")
+def q_head_rows(spark, d):
+    return AD.ev(spark, d).orderBy("row_id").limit(3)
+
+
+@register("tail_rows", "SELECT * FROM ev ORDER BY row_id DESC LIMIT 5")
+def q_tail_rows(spark, d):
+    return AD.ev(spark, d).orderBy(F.col("row_id").desc()).limit(5)
