@@ -543,3 +543,225 @@ def q_head_rows(spark, d):
 @register("tail_rows", "SELECT * FROM ev ORDER BY row_id DESC LIMIT 5")
 def q_tail_rows(spark, d):
     return AD.ev(spark, d).orderBy(F.col("row_id").desc()).limit(5)
+
+
+# ---------------------------------------------------------------------------
+# Cleaning, encoding, dedup, split, scaling
+# ---------------------------------------------------------------------------
+from netwarden.operators import clean as C  # noqa: E402
+from netwarden.operators import features as FE  # noqa: E402
+from netwarden.operators import split as SP  # noqa: E402
+from netwarden.operators.quantiles import exact_percentiles  # noqa: E402
+from netwarden.plans.preprocess import preprocess  # noqa: E402
+
+_LABEL_RAW_SQL = """CASE WHEN k % 11 = 0 THEN NULL WHEN attack_type = 'view' THEN 'BENIGN'
+      ELSE attack_type END"""
+
+
+def _raw_label_events(spark, d):
+    e = AD.ev(spark, d)
+    raw = (F.when(F.col("k") % 11 == 0, F.lit(None)).when(F.col("attack_type") == "view", "BENIGN")
+           .otherwise(F.col("attack_type")))
+    return e.select("row_id", "value", raw.alias("Label"))
+
+
+@register("normalize_labels", f"""
+SELECT row_id, value, CAST(NOT (raw IS NOT DISTINCT FROM 'BENIGN') AS INTEGER) AS label,
+       raw AS attack_type FROM (SELECT row_id, value, {_LABEL_RAW_SQL} AS raw FROM ev)""")
+def q_normalize_labels(spark, d):
+    return C.normalize_labels(_raw_label_events(spark, d))
+
+
+@register("split_features_label", """
+SELECT row_id, ts, user_id, CAST(label AS INTEGER) AS label, value, k, hour_of_day, protocol_type
+FROM ev""")
+def q_split_features_label(spark, d):
+    return C.split_features_label(AD.ev(spark, d))
+
+
+@register("numeric_columns", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax
+FROM lineitem""")
+def q_numeric_columns(spark, d):
+    return PR.select_numeric(AD.read_table(spark, d, "lineitem"))
+
+
+def _inf_events(spark, d):
+    """ev with infinities and NaN planted by expression (test tables hold none)."""
+    e = AD.ev(spark, d)
+    v = (F.when(F.col("k") % 13 == 0, F.lit(float("inf")))
+         .when(F.col("k") % 13 == 1, F.lit(float("-inf")))
+         .when(F.col("k") % 13 == 2, F.lit(float("nan"))).otherwise(F.col("value")))
+    return e.select("row_id", "k", v.alias("value_inf"))
+
+
+_INF_SQL = """(SELECT row_id, k, CASE WHEN k % 13 = 0 THEN 'inf'::DOUBLE WHEN k % 13 = 1 THEN '-inf'::DOUBLE
+        WHEN k % 13 = 2 THEN 'nan'::DOUBLE ELSE value END AS value_inf FROM ev)"""
+
+
+@register("inf_count", f"""
+SELECT CAST(count(*) FILTER (WHERE abs(value_inf) = 'inf'::DOUBLE) AS BIGINT) AS n_infinite
+FROM {_INF_SQL}""")
+def q_inf_count(spark, d):
+    return C.inf_count(_inf_events(spark, d))
+
+
+@register("inf_to_null", f"""
+SELECT row_id, k, CASE WHEN isnan(value_inf) OR isinf(value_inf) THEN NULL ELSE value_inf END AS value_inf
+FROM {_INF_SQL}""")
+def q_inf_to_null(spark, d):
+    return C.inf_to_null(_inf_events(spark, d))
+
+
+@register("median_impute", """
+SELECT row_id, coalesce(value_gap, (SELECT median(value_gap) FROM evg)) AS value_gap,
+       coalesce(CAST(k7 AS DOUBLE), (SELECT median(k7) FROM evg)) AS k7, value
+FROM evg""")
+def q_median_impute(spark, d):
+    g = AD.with_gaps(AD.ev(spark, d)).select("row_id", "value_gap", "k7", "value")
+    return C.median_impute(g, exclude=("row_id",))
+
+
+@register("column_median", """
+SELECT median(l_quantity) AS l_quantity, median(l_extendedprice) AS l_extendedprice,
+       median(l_discount) AS l_discount, median(l_tax) AS l_tax FROM li""")
+def q_column_median(spark, d):
+    li = AD.li(spark, d)
+    med = exact_percentiles(li, AD.LI_MEASURES, 0.5)
+    # A one-row table assembled from four scalars computed by distributed jobs.
+    return spark.createDataFrame([tuple(float(med[c]) for c in AD.LI_MEASURES)],
+                                 ", ".join(f"{c} double" for c in AD.LI_MEASURES))
+
+
+@register("categorical_codes", """
+SELECT row_id, attack_gap AS raw_value,
+       CASE WHEN attack_gap IS NULL THEN -1
+            ELSE CAST(dense_rank() OVER (ORDER BY attack_gap) - 1 AS INTEGER) END AS attack_code
+FROM evg""")
+def q_categorical_codes(spark, d):
+    g = AD.with_gaps(AD.ev(spark, d)).select("row_id", F.col("attack_gap").alias("raw_value"),
+                                            F.col("attack_gap").alias("attack_code"))
+    return C.categorical_codes(g, ["attack_code"])
+
+
+@register("dedup_rows", """
+SELECT user_id, hour_of_day, protocol_type, min(row_id) AS row_id, arg_min(label, row_id) AS label,
+       CAST(count(*) AS BIGINT) AS n_copies
+FROM ev GROUP BY user_id, hour_of_day, protocol_type""")
+def q_dedup_rows(spark, d):
+    return C.dedup_rows(AD.ev(spark, d), ["user_id", "hour_of_day", "protocol_type"])
+
+
+_SPLIT_SQL = """(SELECT row_id, label, CASE WHEN row_number() OVER (PARTITION BY label
+          ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id)
+          <= ceil(0.25 * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS split
+ FROM {src})"""
+
+
+@register("stratified_split", f"SELECT * FROM {_SPLIT_SQL.format(src='ev')}")
+def q_stratified_split(spark, d):
+    return SP.stratified_split(AD.ev(spark, d).select("row_id", "label"))
+
+
+@register("sample_n", """
+SELECT row_id, label, value FROM ev ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 5000""")
+def q_sample_n(spark, d):
+    return SP.sample_n(AD.ev(spark, d).select("row_id", "label", "value"), 5000)
+
+
+@register("shuffle_rows", """
+SELECT row_id, label, CAST(row_number() OVER (ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id)
+  AS BIGINT) AS shuffle_pos FROM ev""")
+def q_shuffle_rows(spark, d):
+    return SP.shuffle_rows(AD.ev(spark, d).select("row_id", "label"))
+
+
+@register("union_flows", "SELECT row_id, label, value FROM ev")
+def q_union_flows(spark, d):
+    e = AD.ev(spark, d).select("row_id", "label", "value")
+    return e.where("label = 1").unionByName(e.where("label = 0 OR label IS NULL"))
+
+
+_LI_COLS = AD.LI_MEASURES
+
+
+@register("scaler_fit", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
+    f"ELSE stddev_pop({c}) END AS std FROM li" for c in _LI_COLS))
+def q_scaler_fit(spark, d):
+    st = FE.scaler_fit(AD.li(spark, d), _LI_COLS)
+    return st.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+ORACLE["scaler_fit"] = V.with_views(
+    "SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
+        f"ELSE stddev_pop({c}) END AS std FROM li" for c in _LI_COLS) + ")")
+
+
+@register("scale_features", "SELECT " + ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM li)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
+    f"ELSE stddev_pop({c}) END FROM li), 6) AS {c}" for c in _LI_COLS) + " FROM li")
+def q_scale_features(spark, d):
+    li = AD.li(spark, d)
+    params = FE.scaler_params(FE.scaler_fit(li, _LI_COLS))
+    return FE.scale_features(li, params).select(*[F.round(c, 6).alias(c) for c in _LI_COLS])
+
+
+@register("correlation_matrix", " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS corr FROM li"
+    for i, a in enumerate(_LI_COLS) for b in _LI_COLS[i + 1:]))
+def q_correlation_matrix(spark, d):
+    return FE.correlation_matrix(AD.li(spark, d), _LI_COLS)
+
+
+@register("drop_correlated")
+def q_drop_correlated(spark, d):
+    li = AD.li(spark, d).withColumn("l_gross", F.col("l_extendedprice") * (1 + F.col("l_tax")))
+    return FE.drop_correlated(li, _LI_COLS + ["l_gross"], 0.95)
+
+
+_PRE_FEATS = ["user_id", "value_gap", "k7", "hour_of_day", "protocol_type", "attack_gap"]
+
+
+def _pre_input(spark, d):
+    return AD.with_gaps(AD.ev(spark, d)).select("row_id", "label", "attack_type", *_PRE_FEATS)
+
+
+def _preprocess_sql():
+    feats = _PRE_FEATS
+    scaled = ", ".join(
+        f"round((CAST({f} AS DOUBLE) - (SELECT avg({f}) FROM tr)) / (SELECT CASE WHEN stddev_pop({f}) = 0 "
+        f"THEN 1.0 ELSE stddev_pop({f}) END FROM tr), 6) AS {f}" for f in feats)
+    return f"""
+WITH p0 AS (SELECT row_id, label, user_id, value_gap, k7, hour_of_day, protocol_type, attack_gap FROM evg),
+p1 AS (SELECT row_id, label, user_id,
+              coalesce(value_gap, (SELECT median(value_gap) FROM p0)) AS value_gap,
+              coalesce(CAST(k7 AS DOUBLE), (SELECT median(k7) FROM p0)) AS k7, hour_of_day, protocol_type,
+              CASE WHEN attack_gap IS NULL THEN -1
+                   ELSE CAST(dense_rank() OVER (ORDER BY attack_gap) - 1 AS INTEGER) END AS attack_gap
+       FROM p0),
+p2 AS (SELECT user_id, value_gap, k7, hour_of_day, protocol_type, attack_gap, min(row_id) AS row_id,
+              arg_min(label, row_id) AS label FROM p1
+       GROUP BY user_id, value_gap, k7, hour_of_day, protocol_type, attack_gap),
+p3 AS (SELECT p2.*, s.split FROM p2 JOIN {_SPLIT_SQL.format(src='p2')} s USING (row_id)),
+tr AS (SELECT * FROM p3 WHERE split = 'train')
+SELECT row_id, label, split, {scaled} FROM p3"""
+
+
+@register("preprocess", _preprocess_sql())
+def q_preprocess(spark, d):
+    prep = preprocess(_pre_input(spark, d))
+    s = prep.scaled()
+    return s.select("row_id", "label", "split", *[F.round(f, 6).alias(f) for f in prep.feature_names])
+
+
+@register("write_cleaned", _preprocess_sql())
+def q_write_cleaned(spark, d):
+    from netwarden.session import scratch_path
+    from netwarden.sources.files import write_table
+    prep = preprocess(_pre_input(spark, d))
+    path = write_table(prep.scaled(), scratch_path(spark, "cleaned"), partition_by=["split"])
+    back = spark.read.parquet(path)
+    return back.select("row_id", "label", "split", *[F.round(f, 6).alias(f) for f in prep.feature_names])
