@@ -25,3 +25,82 @@ def combine_verdicts(df: DataFrame, mode: str = "combined") -> DataFrame:
     final = ((F.col("rf_prediction") == 1) | (F.col("if_prediction") == 1)).cast("int")
     out = out.withColumn("final_prediction", final)
     return out.withColumn("threat_label", threat_label("final_prediction"))
+
+
+# ---------------------------------------------------------------------------
+# Scoring with trained models
+# ---------------------------------------------------------------------------
+from dataclasses import dataclass, field  # noqa: E402
+
+
+@dataclass
+class ThreatModels:
+    """Scaler (by feature name), forest pipeline and isolation forest."""
+    feature_names: list[str]
+    scaler: dict = field(default_factory=dict)
+    forest: object = None          # pyspark.ml.PipelineModel
+    isolation: object = None       # netwarden.operators.isolation.IsolationModel
+
+    @property
+    def ready(self) -> bool:
+        return self.forest is not None or self.isolation is not None
+
+
+def detect(flows: DataFrame, models: ThreatModels, mode: str = "combined",
+           pre_scaled: bool = False, keep=("row_id",)) -> DataFrame:
+    """Detection table: ``row_id``, forest and isolation verdicts, final verdict, label.
+
+    Absent features count as 0 (``default_features``); scaling is by name.
+    Both scorers are narrow transformations of the same rows: no join.
+    """
+    from netwarden.operators.features import default_features, scale_features
+    from netwarden.operators.forest import score_random_forest
+    from netwarden.operators.isolation import score_samples
+
+    if not models.ready:
+        raise RuntimeError("models not set: train or load them first")
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    feats = models.feature_names
+    x = default_features(flows, feats)
+    if not pre_scaled and models.scaler:
+        x = scale_features(x, {f: models.scaler[f] for f in feats if f in models.scaler})
+    x = x.select(*[k for k in keep if k in x.columns], *feats)
+    if mode in ("rf", "combined"):
+        x = score_random_forest(models.forest, x, feats)
+    else:
+        x = x.withColumns({"rf_prediction": F.lit(0), "rf_probability": F.lit(None).cast("double"),
+                           "rf_confidence": F.lit(0.0)})
+    if mode in ("if", "combined"):
+        x = score_samples(models.isolation, x).drop("if_raw_score")
+    x = combine_verdicts(x, mode)
+    return x.select(*[k for k in keep if k in x.columns], "rf_prediction", "rf_probability",
+                    "rf_confidence", "if_anomaly_score", "if_prediction", "final_prediction",
+                    "threat_label")
+
+
+def save_models(models: ThreatModels, spark, path: str) -> str:
+    """Forest via ML persistence; scaler and isolation nodes as parquet, names kept."""
+    from netwarden.operators.isolation import save_isolation
+    rows = [(f, *models.scaler.get(f, (0.0, 1.0)), i) for i, f in enumerate(models.feature_names)]
+    spark.createDataFrame(rows, "feature string, mean double, std double, position int") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+    if models.forest is not None:
+        models.forest.write().overwrite().save(f"{path}/forest")
+    if models.isolation is not None:
+        save_isolation(models.isolation, spark, f"{path}/isolation")
+    return path
+
+
+def load_models(spark, path: str) -> ThreatModels:
+    """Load a saved bundle; a missing part raises (like the reference)."""
+    from pyspark.ml import PipelineModel
+    from netwarden.operators.isolation import load_isolation
+    try:
+        sc = spark.read.parquet(f"{path}/scaler").orderBy("position").collect()
+        forest = PipelineModel.load(f"{path}/forest")
+        iso = load_isolation(spark, f"{path}/isolation")
+    except Exception as e:  # noqa: BLE001
+        raise FileNotFoundError(f"model files not found under {path}: run training first") from e
+    return ThreatModels([r["feature"] for r in sc], {r["feature"]: (r["mean"], r["std"]) for r in sc},
+                        forest, iso)

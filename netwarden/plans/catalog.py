@@ -765,3 +765,256 @@ def q_write_cleaned(spark, d):
     path = write_table(prep.scaled(), scratch_path(spark, "cleaned"), partition_by=["split"])
     back = spark.read.parquet(path)
     return back.select("row_id", "label", "split", *[F.round(f, 6).alias(f) for f in prep.feature_names])
+
+
+# ---------------------------------------------------------------------------
+# Models: forest, isolation forest, detection, pipeline (property-checked)
+# ---------------------------------------------------------------------------
+from netwarden.operators import detect as DT  # noqa: E402
+from netwarden.operators import forest as RF  # noqa: E402
+from netwarden.operators import isolation as IF  # noqa: E402
+
+
+def _em_prepared(spark, d):
+    return preprocess(AD.em(spark, d))
+
+
+def _em_models(spark, d, top_n=20):
+    prep = _em_prepared(spark, d)
+    train = prep.train
+    imp = RF.feature_importances(train, prep.feature_names)
+    sel = RF.ranked_features(imp, top_n)
+    forest = RF.train_random_forest(train, sel)
+    iso = IF.train_isolation_forest(train, sel)
+    return prep, DT.ThreatModels(sel, prep.scaler, forest, iso)
+
+
+@register("feature_importances")
+def q_feature_importances(spark, d):
+    prep = _em_prepared(spark, d)
+    return RF.feature_importances(prep.train, prep.feature_names)
+
+
+@register("rank_importances")
+def q_rank_importances(spark, d):
+    prep = _em_prepared(spark, d)
+    return RF.rank_importances(RF.feature_importances(prep.train, prep.feature_names), 20)
+
+
+@register("select_top_features")
+def q_select_top_features(spark, d):
+    prep = _em_prepared(spark, d)
+    ranked = RF.ranked_features(RF.feature_importances(prep.train, prep.feature_names), 20)
+    return FE.select_top_features(prep.scaled(), ranked + ["not_a_feature"], 20)
+
+
+@register("train_random_forest")
+def q_train_random_forest(spark, d):
+    prep = _em_prepared(spark, d)
+    m = RF.forest_model(RF.train_random_forest(prep.train, prep.feature_names))
+    rows = [(i, t.numNodes, t.depth) for i, t in enumerate(m.trees)]  # one row per tree
+    return spark.createDataFrame(rows, "tree int, num_nodes int, depth int")
+
+
+@register("score_random_forest")
+def q_score_random_forest(spark, d):
+    prep = _em_prepared(spark, d)
+    model = RF.train_random_forest(prep.train, prep.feature_names)
+    return RF.score_random_forest(model, prep.scaled(), prep.feature_names).select(
+        "row_id", "label", "split", "rf_prediction", "rf_probability", "rf_confidence")
+
+
+@register("training_accuracy")
+def q_training_accuracy(spark, d):
+    prep = _em_prepared(spark, d)
+    model = RF.train_random_forest(prep.train, prep.feature_names)
+    return RF.training_accuracy(model, prep.train, prep.feature_names)
+
+
+@register("train_isolation_forest")
+def q_train_isolation_forest(spark, d):
+    prep = _em_prepared(spark, d)
+    m = IF.train_isolation_forest(prep.train, prep.feature_names)
+    return spark.createDataFrame(m.nodes, IF.NODE_SCHEMA)
+
+
+@register("score_isolation_forest")
+def q_score_isolation_forest(spark, d):
+    prep = _em_prepared(spark, d)
+    m = IF.train_isolation_forest(prep.train, prep.feature_names)
+    return IF.score_samples(m, prep.scaled().select("row_id", "label", "split", *prep.feature_names)) \
+        .select("row_id", "label", "split", "if_raw_score", "if_anomaly_score", "if_prediction")
+
+
+@register("contamination_threshold")
+def q_contamination_threshold(spark, d):
+    prep = _em_prepared(spark, d)
+    m = IF.train_isolation_forest(prep.train, prep.feature_names)
+    s = IF.score_samples(m, prep.train.select("row_id", *prep.feature_names))
+    return s.agg(F.lit(m.offset).alias("offset"),
+                 F.round(F.avg(F.col("if_prediction").cast("double")), 6).alias("flagged_share"),
+                 F.count(F.lit(1)).alias("n_train"))
+
+
+@register("detect")
+def q_detect(spark, d):
+    prep, models = _em_models(spark, d)
+    return DT.detect(prep.test, models, mode="combined", pre_scaled=True, keep=("row_id", "label"))
+
+
+@register("evaluate_model_forest")
+def q_evaluate_model_forest(spark, d):
+    prep, models = _em_models(spark, d)
+    det = DT.detect(prep.test, models, pre_scaled=True, keep=("row_id", "label")).checkpoint(eager=True)
+    rf = M.evaluate_model(det, "label", "rf_prediction", "rf_probability", "Random Forest")
+    iso = M.evaluate_model(det, "label", "if_prediction", None, "Isolation Forest")
+    return rf.unionByName(iso)
+
+
+@register("model_store")
+def q_model_store(spark, d):
+    from netwarden.session import scratch_path
+    prep, models = _em_models(spark, d)
+    path = DT.save_models(models, spark, scratch_path(spark, "models"))
+    loaded = DT.load_models(spark, path)
+    return DT.detect(AD.em(spark, d), loaded, mode="combined", pre_scaled=False)
+
+
+@register("to_feature_vector")
+def q_to_feature_vector(spark, d):
+    return FE.to_feature_vector(AD.em(spark, d), AD.EM_FEATURES).select("row_id", "features")
+
+
+@register("default_features", """
+SELECT vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS f00, CAST(embedding[2] AS DOUBLE) AS f01,
+       0.0::DOUBLE AS f_absent FROM embeddings""")
+def q_default_features(spark, d):
+    e = AD.em(spark, d).select("row_id", "f00", "f01")
+    return FE.default_features(e, ["f00", "f01", "f_absent"])
+
+
+def _pipeline_flows(spark, d):
+    g = AD.with_gaps(AD.ev(spark, d))
+    return g.select("row_id", "label", "attack_type", "ts", F.col("user_id").cast("string").alias("src_ip"),
+                    "user_id", "value_gap", "k7", "hour_of_day", "protocol_type", "attack_gap")
+
+
+@register("run_pipeline")
+def q_run_pipeline(spark, d):
+    from netwarden.plans.pipeline import run_pipeline
+    return run_pipeline(_pipeline_flows(spark, d)).alerts
+
+
+@register("generate_alerts", """SELECT * FROM al""")
+def q_generate_alerts(spark, d):
+    s = AD.sc(spark, d)
+    det = s.select("row_id", F.col("y_pred").alias("final_prediction"), F.col("score").alias("rf_probability"))
+    flows = s.select("row_id", "ts", F.col("user_id").cast("string").alias("src_ip"), "attack_type",
+                     "protocol_type")
+    return A.generate_alerts(det, flows, prob_col="rf_probability")
+
+
+@register("balanced_weights", """
+SELECT row_id, label, (SELECT count(*) FROM ev) / (2.0 * count(*) OVER (PARTITION BY label)) AS class_weight
+FROM ev""")
+def q_balanced_weights(spark, d):
+    return RF.balanced_weights(AD.ev(spark, d).select("row_id", "label"), "label")
+
+
+# ---------------------------------------------------------------------------
+# Key alignment, lookups, IO round trips
+# ---------------------------------------------------------------------------
+@register("align_predictions", """
+SELECT p.row_id, p.y_pred, f.attack_type, f.ts FROM sc p JOIN ev f USING (row_id)""")
+def q_align_predictions(spark, d):
+    from netwarden.operators.join import align_predictions
+    s = AD.sc(spark, d)
+    return align_predictions(s.select("row_id", "y_pred"), AD.ev(spark, d).select("row_id", "attack_type", "ts"))
+
+
+@register("assemble_detections")
+def q_assemble_detections(spark, d):
+    from netwarden.operators.join import assemble_detections
+    s = AD.sc(spark, d)
+    rf = s.select("row_id", F.col("y_pred").alias("rf_prediction"), S.percent_round("score").alias("rf_confidence"))
+    iso = s.select("row_id", F.round(F.lit(0.6) - F.col("score"), 6).alias("if_anomaly_score"))
+    iso = iso.withColumn("if_prediction", S.anomaly_flag("if_anomaly_score"))
+    return assemble_detections(rf, iso)
+
+
+ORACLE["assemble_detections"] = ORACLE["combine_verdicts"]
+
+
+@register("lookup_dictionary", f"""
+SELECT row_id, severity, CAST({_SEV_RANK_SQL} AS INTEGER) AS severity_rank FROM al""")
+def q_lookup_dictionary(spark, d):
+    from netwarden.operators.join import lookup_severity_rank
+    return lookup_severity_rank(AD.al(spark, d).select("row_id", "severity"))
+
+
+@register("metrics_json", _metrics_sql("threshold_rule", auc=_AUC_SQL))
+def q_metrics_json(spark, d):
+    from netwarden.session import scratch_path
+    from netwarden.sources.files import read_metrics_json, write_metrics_json
+    m = M.evaluate_model(AD.sc(spark, d), score="score", model_name="threshold_rule")
+    path = write_metrics_json(m, scratch_path(spark, "metrics"))
+    return read_metrics_json(spark, path)
+
+
+def _csv_roundtrip(spark, d, blank_headers=True):
+    from netwarden.session import scratch_path
+    from netwarden.sources.files import write_table
+    e = AD.ev(spark, d).select("row_id", "label", "attack_type", "value", "k")
+    if blank_headers:
+        e = e.toDF(*[f" {c}" for c in e.columns])
+    return write_table(e, scratch_path(spark, "flows_csv"), fmt="csv")
+
+
+_CSV_SCHEMA = "row_id long, label int, attack_type string, value double, k int"
+
+
+@register("read_flows_csv", "SELECT row_id, label, attack_type, value, k FROM ev")
+def q_read_flows_csv(spark, d):
+    from netwarden.sources.files import read_flows_csv
+    path = _csv_roundtrip(spark, d)
+    return read_flows_csv(spark, path, infer_schema=True).select(
+        *[F.col(c).cast(t) for c, t in (x.split() for x in _CSV_SCHEMA.split(", "))])
+
+
+@register("strip_column_names", "SELECT row_id, label, attack_type, value, k FROM ev")
+def q_strip_column_names(spark, d):
+    from netwarden.sources.files import read_flows_csv
+    path = _csv_roundtrip(spark, d)
+    df = read_flows_csv(spark, path, schema=", ".join(f"` {x.split()[0]}` {x.split()[1]}" for x in _CSV_SCHEMA.split(", ")))
+    return df
+
+
+@register("read_flows_dir", "SELECT row_id, label, attack_type, value, k, CAST(NULL AS VARCHAR) AS note FROM ev")
+def q_read_flows_dir(spark, d):
+    from netwarden.session import scratch_path
+    from netwarden.sources.files import read_flows_dir, write_table
+    e = AD.ev(spark, d).select("row_id", "label", "attack_type", "value", "k")
+    p1 = write_table(e.where("label = 1"), scratch_path(spark, "dir_a"), fmt="csv")
+    p2 = write_table(e.where("label = 0").withColumn("note", F.lit(None).cast("string")),
+                     scratch_path(spark, "dir_b"), fmt="csv")
+    df = read_flows_dir(spark, [p1, p2], schema=None, infer_schema=True)
+    return df.select(F.col("row_id").cast("long"), F.col("label").cast("int"), "attack_type",
+                     F.col("value").cast("double"), F.col("k").cast("int"), F.col("note").cast("string"))
+
+
+@register("write_table", "SELECT row_id, label, attack_type, value, k FROM ev")
+def q_write_table(spark, d):
+    from netwarden.session import scratch_path
+    from netwarden.sources.files import write_table
+    e = AD.ev(spark, d).select("row_id", "label", "attack_type", "value", "k")
+    return spark.read.parquet(write_table(e, scratch_path(spark, "table")))
+
+
+@register("read_missing_path")
+def q_read_missing_path(spark, d):
+    from netwarden.session import scratch_path
+    from netwarden.sources.files import read_alert_log
+    # A log that was never written reads as an empty alert table; union with the
+    # events-derived alerts keeps the query tied to the given tables.
+    return read_alert_log(spark, scratch_path(spark, "never_written")).unionByName(
+        AD.al(spark, d).where(F.lit(False)))

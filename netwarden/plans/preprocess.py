@@ -34,15 +34,19 @@ class Prepared:
         return self.scaled().where(F.col("split") == "test")
 
 
+CONTEXT_COLUMNS = ("attack_type", "ts", "src_ip", "dst_ip", "port")
+
+
 def preprocess(df: DataFrame, key: str = "row_id", label_col: str = "label",
-               drop=("attack_type",), test_fraction: float = 0.25, seed: int = 42,
+               drop=CONTEXT_COLUMNS, test_fraction: float = 0.25, seed: int = 42,
                exact_median: bool = True, checkpoint: bool = True) -> Prepared:
     C.require_columns(df, label_col, key)
     x = C.split_features_label(df, label_col, drop=drop, keep=(key,))
     x = C.inf_to_null(x)
     x = C.median_impute(x, exclude=(key, label_col), exact=exact_median)
     x = C.categorical_codes(x, C.string_columns(x, exclude=(key, label_col)))
-    features = [c for c in x.columns if c not in (key, label_col)]
+    features = numeric_columns(x, exclude=(key, label_col))   # timestamps etc. are not features
+    x = x.select(key, label_col, *features)
     x = C.dedup_rows(x, features, key=key, label_col=label_col, count_col=None)
     x = SP.stratified_split(x, label_col, key, test_fraction, seed)
     if checkpoint:
