@@ -1018,3 +1018,81 @@ def q_read_missing_path(spark, d):
     # events-derived alerts keeps the query tied to the given tables.
     return read_alert_log(spark, scratch_path(spark, "never_written")).unionByName(
         AD.al(spark, d).where(F.lit(False)))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (availableNow drains of the events table) and window features
+# ---------------------------------------------------------------------------
+from netwarden.operators.windows import flow_window_features  # noqa: E402
+from netwarden.streaming import streams as ST  # noqa: E402
+
+
+def _event_stream(spark, d):
+    # The stream source lists a directory; a one-file glob selects the events table.
+    schema = AD.read_table(spark, d, "events").schema
+    return ST.flow_stream(spark, f"{d.rstrip('/')}/event[s].parquet", schema, basePath=d)
+
+
+def _stream_alerts(spark, d):
+    return A.alerts_from_scored(AD.score_events(AD.events_as_flows(_event_stream(spark, d))))
+
+
+def _paths(spark, name):
+    from netwarden.session import scratch_path
+    root = scratch_path(spark, name)
+    return f"{root}/out", f"{root}/checkpoint"
+
+
+@register("stream_detect", "SELECT * FROM al")
+def q_stream_detect(spark, d):
+    out, ck = _paths(spark, "stream_detect")
+    flows = AD.events_as_flows(_event_stream(spark, d))
+    ST.run_to_end(ST.stream_detect(flows, lambda f: A.alerts_from_scored(AD.score_events(f)), out, ck))
+    return spark.read.schema(AD.al(spark, d).schema).parquet(out)
+
+
+@register("stream_kpis", "SELECT severity, CAST(count(*) AS BIGINT) AS n_alerts FROM al GROUP BY severity")
+def q_stream_kpis(spark, d):
+    out, ck = _paths(spark, "stream_kpis")
+    ST.run_to_end(ST.stream_kpis(_stream_alerts(spark, d), out, ck))
+    return spark.read.parquet(out)
+
+
+@register("stream_recent", """SELECT * FROM al ORDER BY "timestamp" DESC NULLS LAST, row_id DESC LIMIT 12""")
+def q_stream_recent(spark, d):
+    out, ck = _paths(spark, "stream_recent")
+    alerts = _stream_alerts(spark, d)
+    ST.run_to_end(ST.stream_recent(alerts, out, ck, n=12))
+    return ST.latest_recent(spark, out, alerts.schema)
+
+
+@register("stream_timeline", """
+WITH w AS (SELECT CAST(time_bucket(INTERVAL 1 HOUR, "timestamp") AS TIMESTAMP) AS window_start,
+                  CAST(count(*) AS BIGINT) AS n_alerts FROM al GROUP BY 1)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n_alerts FROM w
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM al) - INTERVAL 10 MINUTE""")
+def q_stream_timeline(spark, d):
+    out, ck = _paths(spark, "stream_timeline")
+    ST.run_to_end(ST.stream_timeline(_stream_alerts(spark, d), out, ck))
+    return spark.read.parquet(out)
+
+
+_FW_SQL = """
+SELECT row_id, user_id, attack_type, ts, CAST(is_error AS INTEGER) AS is_error,
+  CAST(count(*) OVER h AS BIGINT) AS "count", CAST(count(*) OVER s AS BIGINT) AS srv_count,
+  round(sum(is_error) OVER h / CAST(count(*) OVER h AS DOUBLE), 6) AS serror_rate,
+  round(sum(is_error) OVER s / CAST(count(*) OVER s AS DOUBLE), 6) AS srv_serror_rate,
+  round(count(*) OVER hs / CAST(count(*) OVER h AS DOUBLE), 6) AS same_srv_rate,
+  round(1.0 - count(*) OVER hs / CAST(count(*) OVER h AS DOUBLE), 6) AS diff_srv_rate
+FROM (SELECT row_id, user_id, attack_type, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error FROM ev)
+WINDOW h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW),
+       s AS (PARTITION BY attack_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW),
+       hs AS (PARTITION BY user_id, attack_type ORDER BY ts
+              RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"""
+
+
+@register("flow_window_features", _FW_SQL)
+def q_flow_window_features(spark, d):
+    e = AD.ev(spark, d).select("row_id", "user_id", "attack_type", "ts",
+                               (F.col("attack_type") == "error").cast("int").alias("is_error"))
+    return flow_window_features(e, "user_id", "attack_type", "ts", "is_error", interval="1h")
