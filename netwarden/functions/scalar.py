@@ -12,6 +12,8 @@ from netwarden.schema import (
 )
 
 __all__ = [
+    "sql_clip_confidence", "sql_classify_severity", "sql_recommend_action", "sql_threat_type_name",
+    "sql_protocol_name", "sql_alert_id", "sql_str",
     "col_or", "map_literal", "clip_confidence", "classify_severity", "recommend_action",
     "severity_rank", "threat_type_name", "protocol_name", "percent_round", "alert_id",
     "threat_label", "anomaly_flag", "is_finite", "finite_or_null", "resolve_policy",
@@ -111,3 +113,45 @@ def finite_or_null(c) -> Column:
     """NaN and +-Inf -> NULL (Spark keeps NaN apart from NULL; NaN > x is true)."""
     x = col_or(c)
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
+
+
+# ---------------------------------------------------------------------------
+# The same functions as SQL text.  A plan built from text costs one Python->JVM
+# call per column instead of one per literal, which matters when plans are
+# wide or many; the expressions Catalyst receives are the same.
+# ---------------------------------------------------------------------------
+def sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_case(expr: str, mapping: dict, default: str | None = None) -> str:
+    whens = " ".join(f"WHEN {sql_str(k) if isinstance(k, str) else k} THEN {sql_str(v)}"
+                     for k, v in mapping.items())
+    return f"CASE {expr} {whens} ELSE {default if default is not None else 'NULL'} END"
+
+
+def sql_clip_confidence(p: str) -> str:
+    return f"greatest(least(coalesce({p}, 0.5D), 1.0D), 0.5D)"
+
+
+def sql_classify_severity(conf: str, policy=None) -> str:
+    pol = resolve_policy(policy)
+    return (f"CASE WHEN {conf} >= {pol.critical!r}D THEN 'CRITICAL' WHEN {conf} >= {pol.high!r}D THEN 'HIGH' "
+            f"WHEN {conf} >= {pol.medium!r}D THEN 'MEDIUM' ELSE 'LOW' END")
+
+
+def sql_recommend_action(sev: str) -> str:
+    return _sql_case(sev, SEVERITY_ACTIONS)
+
+
+def sql_threat_type_name(raw: str) -> str:
+    r = f"coalesce({raw}, 'Unknown')"
+    return _sql_case(r, THREAT_NAMES, r)
+
+
+def sql_protocol_name(code: str) -> str:
+    return _sql_case(f"CAST({code} AS INT)", PROTOCOL_NAMES, sql_str(DEFAULT_PROTOCOL))
+
+
+def sql_alert_id(key: str) -> str:
+    return f"upper(substring(md5(CAST({key} AS STRING)), 1, 8))"

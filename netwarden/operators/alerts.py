@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netwarden.functions.scalar import (
-    alert_id, classify_severity, clip_confidence, protocol_name, recommend_action,
-    severity_rank, threat_type_name,
+    severity_rank, sql_alert_id, sql_classify_severity, sql_clip_confidence, sql_protocol_name,
+    sql_recommend_action, sql_str, sql_threat_type_name,
 )
 from netwarden.schema import ALERT_SCHEMA, ALERT_STATUS_OPEN
 
@@ -33,30 +33,30 @@ def alert_projection(df: DataFrame, prob_col: str | None = "probability",
 
     ``df`` holds the positive rows with their row key and context columns.
     Absent context columns become NULL (nothing is invented); an absent
-    probability counts as 0.5, i.e. LOW.
+    probability counts as 0.5, i.e. LOW.  Built as SQL text: one JVM call per
+    output column.
     """
-    p = F.col(prob_col) if prob_col and prob_col in df.columns else F.lit(None).cast("double")
-    conf = clip_confidence(p)
-    raw = (F.coalesce(F.col(attack_col).cast("string"), F.lit("Unknown"))
-           if attack_col in df.columns else F.lit("Unknown"))
-    proto = protocol_name(F.col(protocol_col)) if protocol_col in df.columns else protocol_name(F.lit(None))
-    sev = classify_severity(conf, policy)
-    return df.select(
-        F.col("row_id").cast("long").alias("row_id"),
-        alert_id("row_id").alias("alert_id"),
-        _opt(df, ts_col, "timestamp_ntz").alias("timestamp"),
-        _opt(df, src_col, "string").alias("source_ip"),
-        _opt(df, dst_col, "string").alias("destination_ip"),
-        _opt(df, port_col, "int").alias("port"),
-        proto.alias("protocol"),
-        threat_type_name(raw).alias("threat_type"),
-        raw.alias("raw_attack_type"),
-        F.round(conf * F.lit(100.0), 2).alias("confidence_score"),
-        sev.alias("severity"),
-        recommend_action(sev).alias("action_required"),
-        F.lit(ALERT_STATUS_OPEN).alias("status"),
-        F.lit("").alias("analyst_notes"),
-    )
+    cols = set(df.columns)
+
+    def opt(name, dtype):
+        return f"CAST(`{name}` AS {dtype})" if name in cols else f"CAST(NULL AS {dtype})"
+
+    p = f"`{prob_col}`" if prob_col and prob_col in cols else "CAST(NULL AS DOUBLE)"
+    raw = (f"coalesce(CAST(`{attack_col}` AS STRING), 'Unknown')" if attack_col in cols
+           else "'Unknown'")
+    proto = f"`{protocol_col}`" if protocol_col in cols else "NULL"
+    staged = df.selectExpr(
+        "CAST(row_id AS BIGINT) AS row_id", f"{opt(ts_col, 'TIMESTAMP_NTZ')} AS `timestamp`",
+        f"{opt(src_col, 'STRING')} AS source_ip", f"{opt(dst_col, 'STRING')} AS destination_ip",
+        f"{opt(port_col, 'INT')} AS port", f"{sql_protocol_name(proto)} AS protocol",
+        f"{raw} AS raw_attack_type", f"{sql_clip_confidence(p)} AS _conf")
+    return staged.selectExpr(
+        "row_id", f"{sql_alert_id('row_id')} AS alert_id", "`timestamp`", "source_ip",
+        "destination_ip", "port", "protocol", f"{sql_threat_type_name('raw_attack_type')} AS threat_type",
+        "raw_attack_type", "round(_conf * 100.0D, 2) AS confidence_score",
+        f"{sql_classify_severity('_conf', policy)} AS severity",
+        f"{sql_recommend_action(sql_classify_severity('_conf', policy))} AS action_required",
+        f"{sql_str(ALERT_STATUS_OPEN)} AS status", "'' AS analyst_notes")
 
 
 def alerts_from_scored(scored: DataFrame, policy=None) -> DataFrame:

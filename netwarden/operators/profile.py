@@ -71,3 +71,11 @@ def _whole():
     from pyspark.sql import Window
     # The frame is over the per-class count table (a handful of rows).
     return Window.partitionBy(F.lit(0))
+
+
+def filter_class(df: DataFrame, label_col: str, value, drop_missing: list[str] | None = None) -> DataFrame:
+    """Rows of one class; optionally drop rows missing any of ``drop_missing``."""
+    out = df.where(F.col(label_col) == F.lit(value))
+    for c in drop_missing or []:
+        out = out.where(F.col(c).isNotNull())
+    return out

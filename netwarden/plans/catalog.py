@@ -1096,3 +1096,59 @@ def q_flow_window_features(spark, d):
     e = AD.ev(spark, d).select("row_id", "user_id", "attack_type", "ts",
                                (F.col("attack_type") == "error").cast("int").alias("is_error"))
     return flow_window_features(e, "user_id", "attack_type", "ts", "is_error", interval="1h")
+
+
+# ---------------------------------------------------------------------------
+# Remaining inventory items
+# ---------------------------------------------------------------------------
+@register("filter_class", """
+SELECT row_id, value_gap FROM evg WHERE label = 1 AND value_gap IS NOT NULL""")
+def q_filter_class(spark, d):
+    from netwarden.operators.profile import filter_class
+    g = AD.with_gaps(AD.ev(spark, d))
+    return filter_class(g, "label", 1, ["value_gap"]).select("row_id", "value_gap")
+
+
+@register("threat_label", """
+SELECT row_id, y_pred AS final_prediction,
+       CASE y_pred WHEN 0 THEN 'NORMAL' WHEN 1 THEN '⚠ THREAT DETECTED' END AS threat_label FROM sc""")
+def q_threat_label(spark, d):
+    s = AD.sc(spark, d).select("row_id", F.col("y_pred").alias("final_prediction"))
+    return s.withColumn("threat_label", S.threat_label("final_prediction"))
+
+
+@register("require_columns", "SELECT row_id, label, value FROM ev")
+def q_require_columns(spark, d):
+    e = AD.ev(spark, d).select("row_id", "label", "value")
+    return C.require_columns(e, "label", "row_id")
+
+
+@register("severity_counts_present", """
+SELECT severity, CAST(count(*) AS BIGINT) AS n_alerts FROM al GROUP BY severity""")
+def q_severity_counts_present(spark, d):
+    return P.severity_distribution(AD.al(spark, d), fill_zero=False)
+
+
+@register("contamination_quantile", """
+SELECT quantile_cont(score, 0.2) AS threshold,
+       CAST(count(*) FILTER (WHERE score < (SELECT quantile_cont(score, 0.2) FROM sc)) AS BIGINT) AS n_below
+FROM sc""")
+def q_contamination_quantile(spark, d):
+    s = AD.sc(spark, d)
+    thr = exact_percentiles(s, ["score"], 0.2)["score"]
+    return s.agg(F.lit(thr).alias("threshold"),
+                 F.count_if(F.col("score") < F.lit(thr)).alias("n_below"))
+
+
+@register("hash_split")
+def q_hash_split(spark, d):
+    return SP.hash_split(AD.ev(spark, d).select("row_id", "label"))
+
+
+@register("total_nulls", " UNION ALL ".join([]) or """
+SELECT CAST(sum(n) AS BIGINT) AS total_missing FROM (""" + " UNION ALL ".join(
+    f"SELECT count(*) FILTER (WHERE {c} IS NULL" + (f" OR isnan({c})" if c in ("value", "value_gap") else "")
+    + f") AS n FROM evg" for c in ["row_id", "ts", "user_id", "attack_type", "label", "value", "k",
+                                   "hour_of_day", "protocol_type", "value_gap", "k7", "attack_gap"]) + ")")
+def q_total_nulls(spark, d):
+    return PR.total_nulls(AD.with_gaps(AD.ev(spark, d)))

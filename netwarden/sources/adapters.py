@@ -29,18 +29,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_as_flows(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return events.select(
-        F.col("event_id").alias("row_id"),
-        F.col("ts"),
-        F.col("user_id"),
-        F.col("event_type").alias("attack_type"),
-        (F.col("event_type") == F.lit("error")).cast("int").alias("label"),
-        F.col("value"),
-        k.alias("k"),
-        F.hour("ts").alias("hour_of_day"),
-        (k % 4).alias("protocol_type"),
-    )
+    k = "CAST(get_json_object(props, '$.k') AS INT)"
+    return events.selectExpr(
+        "event_id AS row_id", "ts", "user_id", "event_type AS attack_type",
+        "CAST(event_type = 'error' AS INT) AS label", "value", f"{k} AS k",
+        "hour(ts) AS hour_of_day", f"{k} % 4 AS protocol_type")
 
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +50,9 @@ def with_gaps(df: DataFrame) -> DataFrame:
 
 
 def score_events(flows: DataFrame) -> DataFrame:
-    score = F.least(F.col("value") / F.lit(SCORE_SCALE), F.lit(1.0))
-    return flows.withColumns({
-        "score": score,
-        "y_true": F.col("label"),
-        "y_pred": (F.col("value") / F.lit(SCORE_SCALE) >= F.lit(PRED_CUT)).cast("int"),
-    })
+    return flows.selectExpr(
+        "*", f"least(value / {SCORE_SCALE!r}D, 1.0D) AS score", "label AS y_true",
+        f"CAST(value / {SCORE_SCALE!r}D >= {PRED_CUT!r}D AS INT) AS y_pred")
 
 
 def sc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,8 @@ def main(argv):
     n_ok = n_bad = 0
     for slug in (only or sorted(q)):
         if slug not in o:
+            if os.environ.get("ORACLE_ONLY"):
+                continue
             t = time.time()
             try:
                 n = q[slug](spark, sf_dir).count()
