@@ -77,12 +77,13 @@ def median_impute(df: DataFrame, columns: list[str] | None = None, exact: bool =
     cols = columns or numeric_columns(df, exclude=exclude)
     if not cols:
         return df
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    gaps = [c for c in cols if nulls[c] > 0]
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols],
+                 *[F.count(c).alias(f"v_{c}") for c in cols]).first()
+    gaps = [c for c in cols if row[f"n_{c}"] > 0]
     if not gaps:
         return df
     if exact:
-        med = exact_percentiles(df, gaps, 0.5)
+        med = exact_percentiles(df, gaps, 0.5, counts={c: row[f"v_{c}"] for c in gaps})
     else:
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c)
                        for c in gaps]).first().asDict()
@@ -99,12 +100,21 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in set(exclude)]
 
 
-def code_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-null values with their 0-based code in sorted order.
+def code_dictionary(df: DataFrame, column: str, local_limit: int = MAX_BROADCAST_DICT) -> DataFrame:
+    """Distinct non-null values with their 0-based code in sorted (binary) order.
 
-    The rank comes from a distributed prefix count (no single-task window).
+    Up to ``local_limit`` distinct values are ranked from one bounded fetch;
+    a larger dictionary is ranked by a distributed prefix count instead.
     """
     values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    rows = values.limit(local_limit + 1).collect()
+    if len(rows) <= local_limit:
+        vt = values.schema["value"].dataType
+        ordered = sorted((r["value"] for r in rows),
+                         key=lambda v: v.encode("utf-8") if isinstance(v, str) else v)
+        data = [(v, i) for i, v in enumerate(ordered)]
+        return df.sparkSession.createDataFrame(data, T.StructType([
+            T.StructField("value", vt), T.StructField("code", T.IntegerType())]))
     ranked = ordered_running(values, [F.col("value")], rn_col="_rn")
     return ranked.select("value", (F.col("_rn") - 1).cast("int").alias("code"))
 
@@ -119,8 +129,9 @@ def categorical_codes(df: DataFrame, columns: list[str] | None = None,
     cols = columns if columns is not None else string_columns(df)
     out = df
     for c in cols:
-        dic = code_dictionary(out, c).checkpoint(eager=True)
-        side = F.broadcast(dic) if dic.count() <= MAX_BROADCAST_DICT else dic
+        dic = code_dictionary(out, c)
+        small = dic.isLocal()                 # ranked from a bounded fetch
+        side = F.broadcast(dic) if small else dic.checkpoint(eager=True)
         tgt = f"{c}{suffix}"
         out = (out.join(side.withColumnRenamed("value", c).withColumnRenamed("code", "_code"),
                         c, "left")

@@ -15,11 +15,23 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_GROUPS = 100_000
 
 
-def attach_small(df: DataFrame, small: DataFrame, on, limit: int = MAX_BROADCAST_GROUPS) -> DataFrame:
-    """Join a per-group table: broadcast if its row count is within ``limit``, else shuffle."""
-    n = small.count()
-    side = F.broadcast(small) if n <= limit else small
-    return df.join(side, on, "inner")
+def bounded_local(small: DataFrame, limit: int = MAX_BROADCAST_GROUPS) -> DataFrame | None:
+    """Fetch at most ``limit + 1`` rows; a local copy if the table fits, else None.
+
+    One job, and the join that follows reads the local copy instead of
+    recomputing the small table's plan."""
+    rows = small.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return small.sparkSession.createDataFrame(rows, small.schema)
+
+
+def attach_small(df: DataFrame, small: DataFrame, on, limit: int = MAX_BROADCAST_GROUPS,
+                 how: str = "inner") -> DataFrame:
+    """Join a per-group table: broadcast when its size is within ``limit``, else shuffle."""
+    local = bounded_local(small, limit)
+    side = F.broadcast(local) if local is not None else small
+    return df.join(side, on, how)
 
 
 def histogram_by_class(df: DataFrame, value_col: str, class_col: str, bins: int = 40,

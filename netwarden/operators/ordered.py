@@ -9,7 +9,7 @@ not by the data — so broadcasting it is safe.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from netwarden.session import checkpoint_dir
@@ -32,12 +32,21 @@ def ordered_running(df: DataFrame, order_cols: list, sum_cols: list[str] = (),
 
     totals = s.groupBy(part.alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
-        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}")
-          for c in sum_cols])
-
+    # One row per partition: prefix-summed on the driver, shipped back as a
+    # local (broadcast) relation.
+    rows = sorted(totals.collect(), key=lambda r: r["_p"])
+    acc = [0] * (1 + len(sum_cols))
+    off_rows = []
+    for r in rows:
+        off_rows.append((r["_p"], *acc))
+        acc[0] += r["_n"]
+        for i, c in enumerate(sum_cols):
+            acc[i + 1] += r[f"_t_{c}"] or 0
+    types = dict(s.dtypes)
+    schema = ", ".join(["_p long", "_off_n long"]
+                       + [f"_off_{c} {'double' if types[c] in ('double', 'float') else 'long'}"
+                          for c in sum_cols])
+    offsets = df.sparkSession.createDataFrame(off_rows or [], schema)
     out = s.join(F.broadcast(offsets), part == F.col("_p"))
     out = out.withColumn(rn_col, F.col("_off_n") + local + F.lit(1))
     if sum_cols:

@@ -25,12 +25,18 @@ def _clean(df: DataFrame, c: str):
 
 
 def exact_percentiles(df: DataFrame, cols: list[str], q: float = 0.5,
-                      max_local: int = 200_000, accuracy: int = 10_000) -> dict:
-    """{column: interpolated q-quantile or None} for each column (NULL/NaN ignored)."""
+                      max_local: int = 200_000, accuracy: int = 10_000,
+                      counts: dict | None = None) -> dict:
+    """{column: interpolated q-quantile or None} for each column (NULL/NaN ignored).
+
+    ``counts`` (non-missing values per column) may be passed when known.
+    """
     if not cols:
         return {}
     vals = df.select(*[_clean(df, c).alias(c) for c in cols])
-    counts = vals.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    floats = [c for c in cols if dict(df.dtypes)[c] in ("double", "float")]
+    if counts is None or floats:
+        counts = vals.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     out: dict = {c: None for c in cols if counts[c] == 0}
     small = [c for c in cols if 0 < counts[c] <= max_local]
     if small:

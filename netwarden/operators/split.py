@@ -64,8 +64,8 @@ def stratified_split(df: DataFrame, label_col: str = "label", key: str = "row_id
 
 
 def attach_small_left(df: DataFrame, small: DataFrame, on: str, limit: int = 100_000) -> DataFrame:
-    n = small.count()
-    return df.join(F.broadcast(small) if n <= limit else small, on, "left")
+    from netwarden.operators.histograms import attach_small
+    return attach_small(df, small, on, limit, how="left")
 
 
 def hash_split(df: DataFrame, key: str = "row_id", test_fraction: float = TEST_FRACTION,

@@ -82,3 +82,21 @@ def test_alignment_is_by_key(spark):
         align_predictions(preds, flows)
     ok = align_predictions(preds.where("row_id = 1"), flows).collect()
     assert [(r["row_id"], r["attack_type"]) for r in ok] == [(1, "DoS")]
+
+
+def test_pipeline_alerts_carry_their_own_context(spark):
+    from netwarden.plans.catalog import _pipeline_flows
+    from netwarden.plans.pipeline import run_pipeline
+    from conftest import SF_SMALL
+    flows = _pipeline_flows(spark, SF_SMALL)
+    res = run_pipeline(flows, forest_params=dict(numTrees=10, maxDepth=6),
+                       isolation_params=dict(n_trees=20))
+    alerts = res.alerts.select("row_id", "raw_attack_type", "timestamp", "source_ip")
+    joined = alerts.join(flows.select("row_id", "attack_type", "ts", "src_ip"), "row_id")
+    bad = joined.where((F.col("raw_attack_type") != F.col("attack_type"))
+                       | (F.col("timestamp") != F.col("ts")) | (F.col("source_ip") != F.col("src_ip")))
+    assert alerts.count() > 0 and bad.count() == 0
+    n_pos = res.detections.where("final_prediction = 1").count()
+    assert alerts.count() == n_pos
+    assert res.rf_metrics.first()["n_test_samples"] == res.detections.count()
+    assert res.importances.count() == len(res.prepared.feature_names)
