@@ -10,6 +10,7 @@ from netwarden.operators.ordered import ordered_running
 from netwarden.operators.profile import numeric_columns
 from netwarden.operators.quantiles import exact_percentiles
 from netwarden.schema import BENIGN_LABEL
+from netwarden.sources.local import local_table
 
 MAX_BROADCAST_DICT = 100_000
 
@@ -100,8 +101,9 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in set(exclude)]
 
 
-def code_dictionary(df: DataFrame, column: str, local_limit: int = MAX_BROADCAST_DICT) -> DataFrame:
-    """Distinct non-null values with their 0-based code in sorted (binary) order.
+def code_dictionary(df: DataFrame, column: str, local_limit: int = MAX_BROADCAST_DICT):
+    """(table, is_small): distinct non-null values with their 0-based code in
+    sorted (binary) order.
 
     Up to ``local_limit`` distinct values are ranked from one bounded fetch;
     a larger dictionary is ranked by a distributed prefix count instead.
@@ -113,10 +115,10 @@ def code_dictionary(df: DataFrame, column: str, local_limit: int = MAX_BROADCAST
         ordered = sorted((r["value"] for r in rows),
                          key=lambda v: v.encode("utf-8") if isinstance(v, str) else v)
         data = [(v, i) for i, v in enumerate(ordered)]
-        return df.sparkSession.createDataFrame(data, T.StructType([
-            T.StructField("value", vt), T.StructField("code", T.IntegerType())]))
+        return local_table(df.sparkSession, data, T.StructType([
+            T.StructField("value", vt), T.StructField("code", T.IntegerType())])), True
     ranked = ordered_running(values, [F.col("value")], rn_col="_rn")
-    return ranked.select("value", (F.col("_rn") - 1).cast("int").alias("code"))
+    return ranked.select("value", (F.col("_rn") - 1).cast("int").alias("code")), False
 
 
 def categorical_codes(df: DataFrame, columns: list[str] | None = None,
@@ -129,8 +131,7 @@ def categorical_codes(df: DataFrame, columns: list[str] | None = None,
     cols = columns if columns is not None else string_columns(df)
     out = df
     for c in cols:
-        dic = code_dictionary(out, c)
-        small = dic.isLocal()                 # ranked from a bounded fetch
+        dic, small = code_dictionary(out, c)   # small: ranked from a bounded fetch
         side = F.broadcast(dic) if small else dic.checkpoint(eager=True)
         tgt = f"{c}{suffix}"
         out = (out.join(side.withColumnRenamed("value", c).withColumnRenamed("code", "_code"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netwarden.operators.features import to_feature_vector
 from netwarden.schema import FOREST_DEFAULTS, IMPORTANCE_FOREST_DEFAULTS
+from netwarden.sources.local import local_table
 
 MAX_CLASSES = 10_000
 
@@ -21,7 +22,7 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
         raise ValueError("too many classes for class weighting")
     total, k = sum(r["n"] for r in rows), len(rows)
     data = [(r[label_col], r["n"], total / (k * r["n"])) for r in rows]
-    return df.sparkSession.createDataFrame(data, f"{label_col} int, n long, weight double")
+    return local_table(df.sparkSession, data, f"{label_col} int, n long, weight double")
 
 
 def balanced_weights(df: DataFrame, label_col: str = "label", weight_col: str = "class_weight") -> DataFrame:
@@ -81,7 +82,7 @@ def feature_importances(train: DataFrame, feature_names: list[str], label_col: s
     m = _forest(params, label_col, None).fit(data)
     imp = m.featureImportances.toArray().tolist()
     rows = [(f, float(v)) for f, v in zip(feature_names, imp)]
-    return train.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return local_table(train.sparkSession, rows, "feature string, importance double")
 
 
 def rank_importances(importances: DataFrame, top_n: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from netwarden.sources.local import local_table
 
 MAX_BROADCAST_GROUPS = 100_000
 
@@ -23,7 +24,7 @@ def bounded_local(small: DataFrame, limit: int = MAX_BROADCAST_GROUPS) -> DataFr
     rows = small.limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    return small.sparkSession.createDataFrame(rows, small.schema)
+    return local_table(small.sparkSession, rows, small.schema)
 
 
 def attach_small(df: DataFrame, small: DataFrame, on, limit: int = MAX_BROADCAST_GROUPS,
@@ -62,13 +63,19 @@ def histogram_by_class(df: DataFrame, value_col: str, class_col: str, bins: int
     return counts.select(*cols)
 
 
-def kde_by_class(df: DataFrame, value_col: str, class_col: str, points: int = 300) -> DataFrame:
+def kde_by_class(df: DataFrame, value_col: str, class_col: str, points: int = 300,
+                 prebin: int | None = None) -> DataFrame:
     """Gaussian KDE of each class on ``points`` grid points spanning the overall range.
 
     Bandwidth: Scott's rule, ``h = stddev_samp * n ** (-1/5)``.  Rows are
     first collapsed to (class, value, weight), which keeps the work exact and
     bounded by distinct values; each of those meets the fixed grid inside its
     task and partial aggregation sums the contributions before any shuffle.
+
+    ``prebin`` (e.g. 10_000) snaps values to that many equal bins over the
+    overall range before collapsing: the work becomes bounded by
+    ``classes x prebin x points`` whatever the row count, at a small,
+    controlled approximation (bandwidths still use the raw values).
     """
     x = F.col(value_col)
     clean = df.where(x.isNotNull() & ~F.isnan(x) & F.col(class_col).isNotNull()).select(
@@ -81,7 +88,12 @@ def kde_by_class(df: DataFrame, value_col: str, class_col: str, points: int = 30
     step = (hi - lo) / (points - 1)
     grid = [hi if j == points - 1 else lo + j * step for j in range(points)]
 
-    weighted = clean.groupBy(class_col, "_x").agg(F.count(F.lit(1)).alias("_w"))
+    snapped = clean
+    if prebin and hi > lo:
+        width = (hi - lo) / prebin
+        idx = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(prebin - 1))
+        snapped = clean.withColumn("_x", F.lit(lo) + (idx + F.lit(0.5)) * F.lit(width))
+    weighted = snapped.groupBy(class_col, "_x").agg(F.count(F.lit(1)).alias("_w"))
     stats = clean.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"),
                                          F.stddev_samp("_x").alias("_sd"))
     stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))

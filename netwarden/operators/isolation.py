@@ -101,8 +101,9 @@ def _grower(features: list[str], psi: int, seed: int):
 
 
 def train_isolation_forest(train: DataFrame, features: list[str], key: str = "row_id",
-                           **overrides) -> IsolationModel:
-    """Grow the forest on a hash sample; set the offset from training scores."""
+                           exact_threshold: bool = True, **overrides) -> IsolationModel:
+    """Grow the forest on a hash sample; set the offset from training scores
+    (exact quantile, or ``percentile_approx`` with ``exact_threshold=False``)."""
     p = {**ISOLATION_DEFAULTS, **overrides}
     n_trees, seed, contamination = p["n_trees"], p["seed"], p["contamination"]
     n = train.count()
@@ -116,7 +117,10 @@ def train_isolation_forest(train: DataFrame, features: list[str], key: str = "ro
     pdf = nodes.toPandas()                       # <= n_trees * (2 psi - 1) rows
     model = IsolationModel(features, pdf, psi, 0.0, contamination)
     scored = score_samples(model, train.select(key, *features))
-    model.offset = float(exact_percentiles(scored, ["if_raw_score"], contamination)["if_raw_score"])
+    if exact_threshold:
+        model.offset = float(exact_percentiles(scored, ["if_raw_score"], contamination)["if_raw_score"])
+    else:
+        model.offset = float(scored.agg(F.percentile_approx("if_raw_score", contamination, 10_000)).first()[0])
     return model
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netwarden.operators.detect import combine_verdicts
 from netwarden.schema import SEVERITY_ORDER
+from netwarden.sources.local import local_table
 
 
 class AlignmentError(ValueError):
@@ -31,6 +32,6 @@ def assemble_detections(rf: DataFrame, iso: DataFrame, key: str = "row_id",
 
 def lookup_severity_rank(df: DataFrame, col: str = "severity") -> DataFrame:
     """Dictionary lookup as a broadcast join of a fixed four-row table."""
-    dim = df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(SEVERITY_ORDER)],
-                                          f"{col} string, severity_rank int")
+    dim = local_table(df.sparkSession, [(s, i) for i, s in enumerate(SEVERITY_ORDER)],
+                      f"{col} string, severity_rank int")
     return df.join(F.broadcast(dim), col, "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netwarden.operators.ordered import ordered_running
 from netwarden.schema import CLASS_NAMES, METRICS_SCHEMA
+from netwarden.sources.local import local_table
 
 
 def _ratio(a, b) -> Column:
@@ -114,8 +115,8 @@ def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "score") -> Da
         F.sum(F.col(y_true).cast("long")).alias("P"),
         (F.count(F.lit(1)) - F.sum(F.col(y_true).cast("long"))).alias("N")).first()
     n_pos, n_neg = float(tot["P"] or 0), float(tot["N"] or 0)
-    start = df.sparkSession.createDataFrame(
-        [(0, None, 0, 0)], "point long, threshold double, tp long, fp long")
+    start = local_table(df.sparkSession, [(0, None, 0, 0)],
+                        "point long, threshold double, tp long, fp long")
     curve = pts.unionByName(start)
     return curve.select(
         "point", "threshold", "tp", "fp",

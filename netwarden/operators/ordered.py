@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from netwarden.session import checkpoint_dir
+from netwarden.sources.local import local_table
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
@@ -46,7 +47,7 @@ def ordered_running(df: DataFrame, order_cols: list, sum_cols: list[str] = (),
     schema = ", ".join(["_p long", "_off_n long"]
                        + [f"_off_{c} {'double' if types[c] in ('double', 'float') else 'long'}"
                           for c in sum_cols])
-    offsets = df.sparkSession.createDataFrame(off_rows or [], schema)
+    offsets = local_table(df.sparkSession, off_rows, schema)
     out = s.join(F.broadcast(offsets), part == F.col("_p"))
     out = out.withColumn(rn_col, F.col("_off_n") + local + F.lit(1))
     if sum_cols:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netwarden.schema import SEVERITY_ORDER
+from netwarden.sources.local import local_table
 
 
 def alert_kpis(alerts: DataFrame, approx_sources: bool = False) -> DataFrame:
@@ -34,8 +35,8 @@ def severity_distribution(alerts: DataFrame, fill_zero: bool = True) -> DataFram
     if not fill_zero:
         return counts
     spark = alerts.sparkSession
-    dim = spark.createDataFrame([(s, i) for i, s in enumerate(SEVERITY_ORDER)],
-                                "severity string, severity_rank int")
+    dim = local_table(spark, [(s, i) for i, s in enumerate(SEVERITY_ORDER)],
+                      "severity string, severity_rank int")
     # The dimension has four rows by construction: broadcasting it is safe.
     return (F.broadcast(dim).join(counts, "severity", "left")
             .select("severity", "severity_rank",

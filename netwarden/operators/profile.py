@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from netwarden.sources.local import local_table
 
 
 def numeric_columns(df: DataFrame, exclude=(), first_n: int | None = None) -> list[str]:
@@ -27,7 +28,7 @@ def profile_shape(df: DataFrame) -> DataFrame:
 def profile_dtypes(df: DataFrame) -> DataFrame:
     """Number of columns per type: schema only, no job."""
     counts = Counter(t for _, t in df.dtypes)
-    return df.sparkSession.createDataFrame(sorted(counts.items()), "dtype string, n_columns int")
+    return local_table(df.sparkSession, sorted(counts.items()), "dtype string, n_columns int")
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def class_distribution(df: DataFrame, label_col: str = "label",
                        classes=(0, 1)) -> DataFrame:
     """Count and share (%) per class; classes absent from the data report 0."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    dim = df.sparkSession.createDataFrame([(c,) for c in classes], f"{label_col} int")
+    dim = local_table(df.sparkSession, [(c,) for c in classes], f"{label_col} int")
     full = (F.broadcast(dim).join(counts, label_col, "full_outer")
             .select(label_col, F.coalesce("n", F.lit(0)).cast("long").alias("n")))
     total = F.sum("n").over(_whole())

@@ -20,6 +20,7 @@ from netwarden.operators import panels as P
 from netwarden.operators import profile as PR
 from netwarden.plans import oracle_views as V
 from netwarden.sources import adapters as AD
+from netwarden.sources.local import local_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -629,7 +630,7 @@ def q_column_median(spark, d):
     li = AD.li(spark, d)
     med = exact_percentiles(li, AD.LI_MEASURES, 0.5)
     # A one-row table assembled from four scalars computed by distributed jobs.
-    return spark.createDataFrame([tuple(float(med[c]) for c in AD.LI_MEASURES)],
+    return local_table(spark, [tuple(float(med[c]) for c in AD.LI_MEASURES)],
                                  ", ".join(f"{c} double" for c in AD.LI_MEASURES))
 
 
@@ -813,7 +814,7 @@ def q_train_random_forest(spark, d):
     prep = _em_prepared(spark, d)
     m = RF.forest_model(RF.train_random_forest(prep.train, prep.feature_names))
     rows = [(i, t.numNodes, t.depth) for i, t in enumerate(m.trees)]  # one row per tree
-    return spark.createDataFrame(rows, "tree int, num_nodes int, depth int")
+    return local_table(spark, rows, "tree int, num_nodes int, depth int")
 
 
 @register("score_random_forest")

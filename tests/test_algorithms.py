@@ -53,3 +53,14 @@ def test_window_features_match_plain_window(spark):
     a = {r["row_id"]: r["count"] for r in got.collect()}
     b = {r["row_id"]: r["count"] for r in want.collect()}
     assert a == b
+
+
+def test_kde_prebinned_close_to_exact(spark):
+    from netwarden.operators.histograms import kde_by_class
+    ev = AD.ev(spark, SF_SMALL)
+    exact = {(r["label"], r["point"]): r["density"] for r in kde_by_class(ev, "value", "label", 50).collect()}
+    approx = {(r["label"], r["point"]): r["density"]
+              for r in kde_by_class(ev, "value", "label", 50, prebin=10_000).collect()}
+    assert exact.keys() == approx.keys()
+    peak = max(exact.values())
+    assert max(abs(exact[k] - approx[k]) for k in exact) <= 1e-3 * peak + 1e-6
