@@ -24,44 +24,49 @@ def interval_micros(interval: str | int) -> int:
 
 
 def trailing_window_sums(df: DataFrame, key_cols: list[str], ts_col: str, interval,
-                         sum_cols: dict[str, str] | None = None, count_col: str = "n",
-                         row_key: str = "row_id") -> DataFrame:
+                         sum_cols: dict[str, str] | None = None, count_col: str = "n") -> DataFrame:
     """Add ``count_col`` (= rows with the same key in [ts - interval, ts]) and,
-    for each ``{out: col}`` in ``sum_cols``, the sum of ``col`` over that frame."""
+    for each ``{out: col}`` in ``sum_cols``, the sum of ``col`` over that frame.
+
+    All input columns are carried through, so several windows chain over the
+    same rows without joining results back.
+    """
     width = interval_micros(interval)
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = df.withColumns({"_t": t, "_b": F.floor(t / F.lit(width))})
-    carry = [row_key, *key_cols, "_t", "_b", *(sum_cols or {}).values()]
-    carry = list(dict.fromkeys(carry))
-    own = base.select(*carry, F.lit(True).alias("_own"))
-    ctx = base.select(*[c if c != "_b" else (F.col("_b") + 1).alias("_b") for c in carry],
-                      F.lit(False).alias("_own"))
-    frame = (Window.partitionBy(*key_cols, "_b").orderBy("_t").rangeBetween(-width, 0))
-    both = own.unionByName(ctx)
+    cols = df.columns
+    # Each row once in its own bucket and once, as context, in the next one:
+    # a generator on one lineage (a union would plan the input twice).
+    shift = F.explode(F.array(F.lit(0), F.lit(1)))
+    both = (df.withColumn("_t", t).withColumn("_s", shift)
+            .withColumns({"_b": F.floor(F.col("_t") / F.lit(width)) + F.col("_s"),
+                          "_own": F.col("_s") == 0}))
+    frame = Window.partitionBy(*key_cols, "_b").orderBy("_t").rangeBetween(-width, 0)
     aggs = {count_col: F.count(F.lit(1)).over(frame)}
     for out, c in (sum_cols or {}).items():
         aggs[out] = F.sum(F.col(c)).over(frame)
-    res = both.withColumns(aggs).where("_own").select(row_key, *aggs.keys())
-    return res
+    return both.withColumns(aggs).where("_own").select(*cols, *aggs.keys())
 
 
 def flow_window_features(df: DataFrame, host_col: str, service_col: str, ts_col: str = "ts",
-                         error_col: str = "is_error", interval="2s",
-                         row_key: str = "row_id") -> DataFrame:
+                         error_col: str = "is_error", interval="2s") -> DataFrame:
     """``count``, ``srv_count``, ``serror_rate``, ``srv_serror_rate``,
-    ``same_srv_rate``, ``diff_srv_rate`` for every row (6 dp)."""
+    ``same_srv_rate``, ``diff_srv_rate`` for every row (6 dp).
+
+    Three chained windows (host, service, host+service): one shuffle each.
+    """
     x = df.withColumn("_err", F.col(error_col).cast("long"))
-    host = trailing_window_sums(x, [host_col], ts_col, interval, {"_host_err": "_err"}, "count", row_key)
-    srv = trailing_window_sums(x, [service_col], ts_col, interval, {"_srv_err": "_err"}, "srv_count",
-                               row_key)
-    same = trailing_window_sums(x, [host_col, service_col], ts_col, interval, None, "_same", row_key)
-    out = df.join(host, row_key).join(srv, row_key).join(same, row_key)
-    rate = (lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 6))
-    return out.select(
-        *df.columns, F.col("count").cast("long").alias("count"),
-        F.col("srv_count").cast("long").alias("srv_count"),
-        rate("_host_err", "count").alias("serror_rate"),
-        rate("_srv_err", "srv_count").alias("srv_serror_rate"),
-        rate("_same", "count").alias("same_srv_rate"),
-        F.round(F.lit(1.0) - F.try_divide(F.col("_same").cast("double"), F.col("count").cast("double")), 6)
+    x = trailing_window_sums(x, [host_col], ts_col, interval, {"_host_err": "_err"}, "_count")
+    x = trailing_window_sums(x, [service_col], ts_col, interval, {"_srv_err": "_err"}, "_srv_count")
+    x = trailing_window_sums(x, [host_col, service_col], ts_col, interval, None, "_same")
+
+    def rate(a, b):
+        return F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 6)
+
+    return x.select(
+        *df.columns, F.col("_count").cast("long").alias("count"),
+        F.col("_srv_count").cast("long").alias("srv_count"),
+        rate("_host_err", "_count").alias("serror_rate"),
+        rate("_srv_err", "_srv_count").alias("srv_serror_rate"),
+        rate("_same", "_count").alias("same_srv_rate"),
+        F.round(F.lit(1.0) - F.try_divide(F.col("_same").cast("double"), F.col("_count").cast("double")), 6)
         .alias("diff_srv_rate"))
