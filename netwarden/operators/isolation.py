@@ -57,10 +57,20 @@ class IsolationModel:
 
 
 def _sample(df: DataFrame, key: str, n_trees: int, psi: int, n: int, seed: int) -> DataFrame:
-    if n >= n_trees * psi:
+    k = n_trees * psi
+    if n >= k:
         h = F.xxhash64(F.lit(seed), F.col(key))
-        top = df.withColumn("_h", h).orderBy("_h", key).limit(n_trees * psi)
-        # bounded: trees * psi rows in one window
+        hashed = df.withColumn("_h", h)
+        # The k smallest hashes.  A hash cut that keeps ~2k of n rows (a
+        # filter, no shuffle) shrinks the top-k input; if it kept fewer than k
+        # rows the unfiltered top-k is taken instead, so the sample is exact.
+        frac = min(1.0, 2.0 * k / n)
+        cut = min(int(-(2 ** 63) + frac * (2 ** 64 - 1)), 2 ** 63 - 1)
+        cand = hashed.where(F.col("_h") <= F.lit(cut)) if frac < 1.0 else hashed
+        top = cand.orderBy("_h", key).limit(k).checkpoint(eager=True)
+        if top.count() < k:
+            top = hashed.orderBy("_h", key).limit(k).checkpoint(eager=True)
+        # bounded: k rows in one window
         rn = F.row_number().over(Window.orderBy("_h", key)) - 1
         return top.withColumn("tree", (rn / psi).cast("int")).drop("_h")
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
