@@ -1153,3 +1153,31 @@ SELECT CAST(sum(n) AS BIGINT) AS total_missing FROM (""" + " UNION ALL ".join(
                                    "hour_of_day", "protocol_type", "value_gap", "k7", "attack_gap"]) + ")")
 def q_total_nulls(spark, d):
     return PR.total_nulls(AD.with_gaps(AD.ev(spark, d)))
+
+
+ORACLE["hash_split"] = V.with_views("""
+SELECT row_id, label,
+       CASE WHEN CAST(('0x' || substr(md5('42:' || CAST(row_id AS VARCHAR)), 1, 8)) AS UBIGINT)
+                 / 4294967296.0 < 0.25 THEN 'test' ELSE 'train' END AS split
+FROM ev""")
+
+ORACLE["profile_dtypes"] = V.with_views("""
+SELECT CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+            WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END
+         AS dtype, CAST(count(*) AS INTEGER) AS n_columns
+FROM (DESCRIBE lineitem) GROUP BY 1""")
+
+_CORR_COLS = AD.LI_MEASURES + ["l_gross"]
+
+
+@register("correlated_columns", """
+WITH g AS (SELECT *, l_extendedprice * (1 + l_tax) AS l_gross FROM li),
+pairs AS (""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c FROM g"
+    for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]) + """)
+SELECT f.feature, EXISTS (SELECT 1 FROM pairs p WHERE p.b = f.feature AND abs(p.c) > 0.95) AS dropped
+FROM (VALUES """ + ", ".join(f"('{c}')" for c in _CORR_COLS) + """) f(feature)""")
+def q_correlated_columns(spark, d):
+    li = AD.li(spark, d).withColumn("l_gross", F.col("l_extendedprice") * (1 + F.col("l_tax")))
+    drop = set(FE.correlated_to_drop(li, _CORR_COLS, 0.95))
+    return local_table(spark, [(c, c in drop) for c in _CORR_COLS], "feature string, dropped boolean")

@@ -82,3 +82,14 @@ def test_require_columns(spark):
     df = spark.createDataFrame([(1,)], "x int")
     with pytest.raises(ValueError):
         C.require_columns(df, "label")
+
+
+def test_local_table_round_trip(spark):
+    import datetime as dt
+    from netwarden.sources.local import local_table
+    rows = [("it's", 1, 2.5, None, dt.datetime(2024, 1, 2, 3, 4, 5, 6)),
+            (None, None, float("inf"), True, None)]
+    df = local_table(spark, rows, "s string, i int, d double, b boolean, t timestamp_ntz")
+    assert [tuple(r) for r in df.collect()] == rows
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "int", "double", "boolean",
+                                                                     "timestamp_ntz"]
