@@ -146,7 +146,7 @@ def q_fill_blank(spark, d):
 
 
 @register("anomaly_flag", """
-SELECT row_id, round(0.6 - score, 6) AS decision_score,
+SELECT row_id, (round(0.6 - score, 6) + 0.0) AS decision_score,
        CAST(0.6 - score < 0 AS INTEGER) AS if_prediction FROM sc""")
 def q_anomaly_flag(spark, d):
     s = AD.sc(spark, d).withColumn("decision", F.lit(0.6) - F.col("score"))
@@ -160,15 +160,15 @@ SELECT row_id, rf_prediction, rf_confidence, if_anomaly_score, if_prediction,
        CASE WHEN rf_prediction = 1 OR if_prediction = 1 THEN '⚠ THREAT DETECTED' ELSE 'NORMAL' END
          AS threat_label
 FROM (SELECT row_id, y_pred AS rf_prediction, round(score * 100.0::DOUBLE, 2) AS rf_confidence,
-             round(0.6 - score, 6) AS if_anomaly_score, CAST(0.6 - score < 0 AS INTEGER) AS if_prediction
+             (round(0.6 - score, 6) + 0.0) AS if_anomaly_score, CAST(0.6 - score < 0 AS INTEGER) AS if_prediction
       FROM sc)""")
 def q_combine_verdicts(spark, d):
     from netwarden.operators.detect import combine_verdicts
+    decision = F.lit(0.6) - F.col("score")       # flag on the exact value, show 6 dp
     s = AD.sc(spark, d).select(
         "row_id", F.col("y_pred").alias("rf_prediction"),
         S.percent_round("score").alias("rf_confidence"),
-        F.round(F.lit(0.6) - F.col("score"), 6).alias("if_anomaly_score"))
-    s = s.withColumn("if_prediction", S.anomaly_flag("if_anomaly_score"))
+        F.round(decision, 6).alias("if_anomaly_score"), S.anomaly_flag(decision).alias("if_prediction"))
     return combine_verdicts(s, mode="combined")
 
 
@@ -346,7 +346,7 @@ def q_roc_auc(spark, d):
 
 
 @register("youden_threshold", f"""
-SELECT threshold, tpr, fpr, round(tpr - fpr, 6) AS youden_j
+SELECT threshold, tpr, fpr, round(tpr - fpr, 6) + 0.0 AS youden_j
 FROM {_ROC_SQL} r WHERE threshold IS NOT NULL
 ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1""")
 def q_youden_threshold(spark, d):
@@ -702,8 +702,8 @@ ORACLE["scaler_fit"] = V.with_views(
 
 
 @register("scale_features", "SELECT " + ", ".join(
-    f"round(({c} - (SELECT avg({c}) FROM li)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
-    f"ELSE stddev_pop({c}) END FROM li), 6) AS {c}" for c in _LI_COLS) + " FROM li")
+    f"(round(({c} - (SELECT avg({c}) FROM li)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
+    f"ELSE stddev_pop({c}) END FROM li), 6) + 0.0) AS {c}" for c in _LI_COLS) + " FROM li")
 def q_scale_features(spark, d):
     li = AD.li(spark, d)
     params = FE.scaler_params(FE.scaler_fit(li, _LI_COLS))
@@ -711,7 +711,7 @@ def q_scale_features(spark, d):
 
 
 @register("correlation_matrix", " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS corr FROM li"
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) + 0.0 AS corr FROM li"
     for i, a in enumerate(_LI_COLS) for b in _LI_COLS[i + 1:]))
 def q_correlation_matrix(spark, d):
     return FE.correlation_matrix(AD.li(spark, d), _LI_COLS)
@@ -733,8 +733,8 @@ def _pre_input(spark, d):
 def _preprocess_sql():
     feats = _PRE_FEATS
     scaled = ", ".join(
-        f"round((CAST({f} AS DOUBLE) - (SELECT avg({f}) FROM tr)) / (SELECT CASE WHEN stddev_pop({f}) = 0 "
-        f"THEN 1.0 ELSE stddev_pop({f}) END FROM tr), 6) AS {f}" for f in feats)
+        f"(round((CAST({f} AS DOUBLE) - (SELECT avg({f}) FROM tr)) / (SELECT CASE WHEN stddev_pop({f}) = 0 "
+        f"THEN 1.0 ELSE stddev_pop({f}) END FROM tr), 6) + 0.0) AS {f}" for f in feats)
     return f"""
 WITH p0 AS (SELECT row_id, label, user_id, value_gap, k7, hour_of_day, protocol_type, attack_gap FROM evg),
 p1 AS (SELECT row_id, label, user_id,
@@ -938,8 +938,9 @@ def q_assemble_detections(spark, d):
     from netwarden.operators.join import assemble_detections
     s = AD.sc(spark, d)
     rf = s.select("row_id", F.col("y_pred").alias("rf_prediction"), S.percent_round("score").alias("rf_confidence"))
-    iso = s.select("row_id", F.round(F.lit(0.6) - F.col("score"), 6).alias("if_anomaly_score"))
-    iso = iso.withColumn("if_prediction", S.anomaly_flag("if_anomaly_score"))
+    decision = F.lit(0.6) - F.col("score")
+    iso = s.select("row_id", F.round(decision, 6).alias("if_anomaly_score"),
+                   S.anomaly_flag(decision).alias("if_prediction"))
     return assemble_detections(rf, iso)
 
 

@@ -39,7 +39,7 @@ def _canon(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return round(v, 9) + 0.0   # -0.0 -> 0.0
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime().replace(tzinfo=None)
     if hasattr(v, "item"):
