@@ -62,8 +62,12 @@ def inf_count(df: DataFrame) -> DataFrame:
 
 def inf_to_null(df: DataFrame) -> DataFrame:
     """+-Inf and NaN -> NULL in every floating column."""
-    cols = float_columns(df)
-    return df.withColumns({c: finite_or_null(c) for c in cols}) if cols else df
+    cols = set(float_columns(df))
+    if not cols:
+        return df
+    return df.selectExpr(*[
+        f"CASE WHEN isnan(`{c}`) OR abs(`{c}`) = double('Infinity') THEN NULL ELSE `{c}` END AS `{c}`"
+        if c in cols else f"`{c}`" for c in df.columns])
 
 
 def median_impute(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
@@ -78,8 +82,8 @@ def median_impute(df: DataFrame, columns: list[str] | None = None, exact: bool =
     cols = columns or numeric_columns(df, exclude=exclude)
     if not cols:
         return df
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols],
-                 *[F.count(c).alias(f"v_{c}") for c in cols]).first()
+    row = df.selectExpr(*[f"count_if(`{c}` IS NULL) AS `n_{c}`" for c in cols]
+                     + [f"count(`{c}`) AS `v_{c}`" for c in cols]).first()
     gaps = [c for c in cols if row[f"n_{c}"] > 0]
     if not gaps:
         return df
@@ -91,9 +95,9 @@ def median_impute(df: DataFrame, columns: list[str] | None = None, exact: bool =
         med = {c: (None if row[c] is None else float(row[c])) for c in gaps}
     fills = {}
     for c in gaps:
-        x = F.col(c).cast("double")
-        fills[c] = x if med[c] is None else F.coalesce(x, F.lit(float(med[c])))
-    return df.withColumns(fills)
+        x = f"CAST(`{c}` AS DOUBLE)"
+        fills[c] = x if med[c] is None else f"coalesce({x}, {float(med[c])!r}D)"
+    return df.selectExpr(*[f"{fills[c]} AS `{c}`" if c in fills else f"`{c}`" for c in df.columns])
 
 
 def string_columns(df: DataFrame, exclude=()) -> list[str]:

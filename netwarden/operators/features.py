@@ -5,6 +5,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netwarden.functions.scalar import sql_str
+
+
+def cast_double(df: DataFrame, names: list[str]) -> DataFrame:
+    """Cast the named columns to double in one projection."""
+    s = set(names)
+    return df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" if c in s else f"`{c}`"
+                           for c in df.columns])
+
 
 def scaler_fit(df: DataFrame, cols: list[str]) -> DataFrame:
     """Population mean and std per feature (one aggregate); zero std -> divisor 1.
@@ -12,14 +21,13 @@ def scaler_fit(df: DataFrame, cols: list[str]) -> DataFrame:
     Returns (feature, mean, std) — one row per feature.
     """
     aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}")]
-    wide = df.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("mean"),
-                               F.when((F.col(f"s_{c}") == 0) | F.col(f"s_{c}").isNull(), F.lit(1.0))
-                               .otherwise(F.col(f"s_{c}")).alias("std")) for c in cols])
-    return wide.select(F.inline(cells))
+    for i, c in enumerate(cols):
+        aggs += [f"avg(CAST(`{c}` AS DOUBLE)) AS m{i}", f"stddev_pop(CAST(`{c}` AS DOUBLE)) AS s{i}"]
+    wide = df.selectExpr(*aggs)
+    cells = ", ".join(
+        f"struct({sql_str(c)} AS feature, m{i} AS mean, "
+        f"CASE WHEN s{i} = 0 OR s{i} IS NULL THEN 1.0D ELSE s{i} END AS std)" for i, c in enumerate(cols))
+    return wide.selectExpr(*[f"inline(array({cells}))"])
 
 
 def scaler_params(stats: DataFrame) -> dict[str, tuple[float, float]]:
@@ -33,8 +41,9 @@ def scale_features(df: DataFrame, params: dict[str, tuple[float, float]],
     exprs = {}
     for c, (m, s) in params.items():
         if c in df.columns:
-            exprs[f"{c}{suffix}"] = (F.col(c).cast("double") - F.lit(m)) / F.lit(s)
-    return df.withColumns(exprs)
+            exprs[f"{c}{suffix}"] = f"(CAST(`{c}` AS DOUBLE) - {float(m)!r}D) / {float(s)!r}D"
+    keep = [f"`{c}`" for c in df.columns if c not in exprs]
+    return df.selectExpr(*keep + [f"{e} AS `{c}`" for c, e in exprs.items()])
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], max_pairs_per_pass: int = 150) -> DataFrame:
@@ -90,14 +99,13 @@ def select_top_features(df: DataFrame, ranked: list[str], top_n: int = 20,
 
 def default_features(df: DataFrame, feature_names: list[str]) -> DataFrame:
     """Absent feature -> 0.0, NULL -> 0.0; extra columns are left untouched."""
-    exprs = {}
-    for f in feature_names:
-        exprs[f] = (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in df.columns
-                    else F.lit(0.0))
-    return df.withColumns(exprs)
+    exprs = {f: (f"coalesce(CAST(`{f}` AS DOUBLE), 0.0D)" if f in df.columns else "0.0D")
+             for f in feature_names}
+    keep = [f"`{c}`" for c in df.columns if c not in exprs]
+    return df.selectExpr(*keep + [f"{e} AS `{c}`" for c, e in exprs.items()])
 
 
 def to_feature_vector(df: DataFrame, feature_names: list[str], out_col: str = "features") -> DataFrame:
     """All features as double, in the given order, into one ML vector column."""
-    cast = df.withColumns({f: F.col(f).cast("double") for f in feature_names})
+    cast = cast_double(df, feature_names)
     return VectorAssembler(inputCols=feature_names, outputCol=out_col, handleInvalid="keep").transform(cast)

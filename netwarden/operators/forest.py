@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.operators.features import to_feature_vector
+from netwarden.operators.features import cast_double, to_feature_vector
 from netwarden.schema import FOREST_DEFAULTS, IMPORTANCE_FOREST_DEFAULTS
 from netwarden.sources.local import local_table
 
@@ -55,13 +55,13 @@ def train_random_forest(train: DataFrame, feature_names: list[str], label_col: s
         weight_col = "_w"
     from pyspark.ml.feature import VectorAssembler
     asm = VectorAssembler(inputCols=feature_names, outputCol="features", handleInvalid="keep")
-    cast = data.withColumns({f: F.col(f).cast("double") for f in feature_names})
+    cast = cast_double(data, feature_names)
     return Pipeline(stages=[asm, _forest(params, label_col, weight_col)]).fit(cast)
 
 
 def score_random_forest(model: PipelineModel, df: DataFrame, feature_names: list[str]) -> DataFrame:
     """Adds ``rf_prediction`` (0/1), ``rf_probability`` (P(attack)), ``rf_confidence`` (%)."""
-    cast = df.withColumns({f: F.col(f).cast("double") for f in feature_names})
+    cast = cast_double(df, feature_names)
     out = model.transform(cast)
     p1 = vector_to_array(F.col("_rf_prob"))[1]
     return (out.withColumns({"rf_prediction": F.col("_rf_pred").cast("int"),

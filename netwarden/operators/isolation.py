@@ -120,7 +120,7 @@ def train_isolation_forest(train: DataFrame, features: list[str], key: str = "ro
     psi = int(min(p["max_samples"], n))
     if psi < 1:
         raise ValueError("cannot train an isolation forest on an empty table")
-    x = train.select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    x = train.selectExpr(f"`{key}`", *[f"CAST(`{f}` AS DOUBLE) AS `{f}`" for f in features])
     sample = _sample(x, key, n_trees, psi, n, seed)
     nodes = (sample.select("tree", *features).groupBy("tree")
              .applyInPandas(_grower(features, psi, seed), NODE_SCHEMA))
@@ -187,7 +187,8 @@ def _scorer(model: IsolationModel, out_cols: list[str]):
 def score_samples(model: IsolationModel, df: DataFrame) -> DataFrame:
     """Adds ``if_raw_score`` (= -s, lower is more anomalous), ``if_anomaly_score``
     (decision = raw - offset, 6 dp) and ``if_prediction`` (decision < 0)."""
-    x = df.withColumns({f: F.col(f).cast("double") for f in model.features})
+    from netwarden.operators.features import cast_double
+    x = cast_double(df, model.features)
     cols = x.columns + ["if_raw_score", "if_anomaly_score", "if_prediction"]
     schema = T.StructType(x.schema.fields + [
         T.StructField("if_raw_score", T.DoubleType()), T.StructField("if_anomaly_score", T.DoubleType()),

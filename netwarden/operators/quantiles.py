@@ -33,14 +33,17 @@ def exact_percentiles(df: DataFrame, cols: list[str], q: float = 0.5,
     """
     if not cols:
         return {}
-    vals = df.select(*[_clean(df, c).alias(c) for c in cols])
-    floats = [c for c in cols if dict(df.dtypes)[c] in ("double", "float")]
+    types = dict(df.dtypes)
+    vals = df.selectExpr(*[
+        (f"CASE WHEN isnan(`{c}`) THEN NULL ELSE CAST(`{c}` AS DOUBLE) END AS `{c}`"
+         if types[c] in ("double", "float") else f"CAST(`{c}` AS DOUBLE) AS `{c}`") for c in cols])
+    floats = [c for c in cols if types[c] in ("double", "float")]
     if counts is None or floats:
-        counts = vals.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+        counts = vals.selectExpr(*[f"count(`{c}`) AS `{c}`" for c in cols]).first().asDict()
     out: dict = {c: None for c in cols if counts[c] == 0}
     small = [c for c in cols if 0 < counts[c] <= max_local]
     if small:
-        row = vals.agg(*[F.percentile(c, q).alias(c) for c in small]).first().asDict()
+        row = vals.selectExpr(*[f"percentile(`{c}`, {q!r}D) AS `{c}`" for c in small]).first().asDict()
         out.update(row)
     big = [c for c in cols if counts[c] > max_local]
     if big:

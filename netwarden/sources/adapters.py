@@ -70,9 +70,8 @@ def li(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def em(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
-    feats = [F.col("embedding")[i].cast("double").alias(f"f{i:02d}") for i in range(EMBED_DIM)]
-    return e.select(F.col("vec_id").alias("row_id"), *feats,
-                    (F.col("label") == F.lit(EMBED_POSITIVE)).cast("int").alias("label"))
+    feats = [f"CAST(embedding[{i}] AS DOUBLE) AS f{i:02d}" for i in range(EMBED_DIM)]
+    return e.selectExpr("vec_id AS row_id", *feats, f"CAST(label = {EMBED_POSITIVE} AS INT) AS label")
 
 
 EM_FEATURES = [f"f{i:02d}" for i in range(EMBED_DIM)]

@@ -46,3 +46,4 @@ def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     proj = ", ".join(f"CAST({c} AS {f.dataType.simpleString()}) AS `{f.name}`"
                      for c, f in zip(cols, st.fields))
     return spark.sql(f"SELECT {proj} FROM VALUES {body} AS t({', '.join(cols)})")
+
