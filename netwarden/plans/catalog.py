@@ -72,7 +72,7 @@ _RAW_CODE_SQL = """CASE k % 8 WHEN 0 THEN 'DoS' WHEN 1 THEN 'PortScan' WHEN 2 TH
 
 
 def _raw_code(k="k", fallback="attack_type"):
-    m = k and F.col(k) % 8
+    m = F.col(k) % 8
     return (F.when(m == 0, "DoS").when(m == 1, "PortScan").when(m == 2, "BruteForce")
             .when(m == 3, "DataExfil").when(m == 4, "Botnet").when(m == 5, F.lit(None))
             .when(m == 6, "Unknown").otherwise(F.col(fallback)))
@@ -1147,11 +1147,12 @@ def q_hash_split(spark, d):
     return SP.hash_split(AD.ev(spark, d).select("row_id", "label"))
 
 
-@register("total_nulls", " UNION ALL ".join([]) or """
-SELECT CAST(sum(n) AS BIGINT) AS total_missing FROM (""" + " UNION ALL ".join(
-    f"SELECT count(*) FILTER (WHERE {c} IS NULL" + (f" OR isnan({c})" if c in ("value", "value_gap") else "")
-    + f") AS n FROM evg" for c in ["row_id", "ts", "user_id", "attack_type", "label", "value", "k",
-                                   "hour_of_day", "protocol_type", "value_gap", "k7", "attack_gap"]) + ")")
+_TOTAL_NULLS_SQL = "SELECT CAST(sum(n) AS BIGINT) AS total_missing FROM (" + " UNION ALL ".join(
+    f"SELECT count(*) FILTER (WHERE {c} IS NULL" + (f" OR isnan({c})" if c in _EVG_FLOAT else "")
+    + ") AS n FROM evg" for c in _EVG_COLS) + ")"
+
+
+@register("total_nulls", _TOTAL_NULLS_SQL)
 def q_total_nulls(spark, d):
     return PR.total_nulls(AD.with_gaps(AD.ev(spark, d)))
 
