@@ -47,17 +47,66 @@ def trailing_window_sums(df: DataFrame, key_cols: list[str], ts_col: str, interv
     return both.withColumns(aggs).where("_own").select(*cols, *aggs.keys())
 
 
+def trailing_window_sums_ranked(df: DataFrame, key_cols: list[str], ts_col: str, interval,
+                                sum_cols: dict[str, str] | None = None, count_col: str = "n",
+                                row_key: str = "row_id") -> DataFrame:
+    """Burst-proof form of ``trailing_window_sums`` (same result).
+
+    Every row emits two probes next to itself in one global order
+    ``(key, time, kind, row_key)``: one just before the rows at ``ts - interval``
+    and one just after the rows at ``ts``.  Running totals of the real rows
+    come from the range-partitioned prefix sum (``ordered_running``), and a
+    row's frame total is the difference between its two probes.  Range
+    partitioning splits even a single key's burst over many tasks.
+    """
+    from netwarden.operators.ordered import ordered_running
+    width = interval_micros(interval)
+    sums = dict(sum_cols or {})
+    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    kind = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    base = df.select(row_key, *key_cols, t.alias("_t0"), *[F.col(c).alias(f"_v{i}")
+                                                            for i, c in enumerate(sums.values())])
+    u = base.withColumn("_kind", kind).withColumns({
+        "_t": F.when(F.col("_kind") == 0, F.col("_t0") - F.lit(width)).otherwise(F.col("_t0")),
+        "_real": (F.col("_kind") == 1).cast("long"),
+        **{f"_v{i}": F.when(F.col("_kind") == 1, F.col(f"_v{i}")).otherwise(F.lit(0)).cast("long")
+           for i in range(len(sums))}})
+    vals = ["_real"] + [f"_v{i}" for i in range(len(sums))]
+    ranked = ordered_running(u.drop("_t0"), [*key_cols, "_t", "_kind", row_key], vals)
+    probes = ranked.where(F.col("_kind") != 1)
+
+    def diff(c):
+        return (F.sum(F.when(F.col("_kind") == 2, F.col(f"cum_{c}")))
+                - F.sum(F.when(F.col("_kind") == 0, F.col(f"cum_{c}"))))
+
+    per_row = probes.groupBy(row_key).agg(
+        diff("_real").alias(count_col),
+        *[diff(f"_v{i}").alias(out) for i, out in enumerate(sums)])
+    return df.join(per_row, row_key)
+
+
 def flow_window_features(df: DataFrame, host_col: str, service_col: str, ts_col: str = "ts",
-                         error_col: str = "is_error", interval="2s") -> DataFrame:
+                         error_col: str = "is_error", interval="2s", method: str = "bucketed",
+                         row_key: str = "row_id") -> DataFrame:
     """``count``, ``srv_count``, ``serror_rate``, ``srv_serror_rate``,
     ``same_srv_rate``, ``diff_srv_rate`` for every row (6 dp).
 
-    Three chained windows (host, service, host+service): one shuffle each.
+    ``bucketed`` (default): three chained windows (host, service,
+    host+service), one shuffle each.  ``ranked``: burst-proof prefix-sum form
+    for keys that can hold a large share of all rows within one interval.
     """
     x = df.withColumn("_err", F.col(error_col).cast("long"))
-    x = trailing_window_sums(x, [host_col], ts_col, interval, {"_host_err": "_err"}, "_count")
-    x = trailing_window_sums(x, [service_col], ts_col, interval, {"_srv_err": "_err"}, "_srv_count")
-    x = trailing_window_sums(x, [host_col, service_col], ts_col, interval, None, "_same")
+    if method == "ranked":
+        x = trailing_window_sums_ranked(x, [host_col], ts_col, interval, {"_host_err": "_err"},
+                                        "_count", row_key)
+        x = trailing_window_sums_ranked(x, [service_col], ts_col, interval, {"_srv_err": "_err"},
+                                        "_srv_count", row_key)
+        x = trailing_window_sums_ranked(x, [host_col, service_col], ts_col, interval, None, "_same",
+                                        row_key)
+    else:
+        x = trailing_window_sums(x, [host_col], ts_col, interval, {"_host_err": "_err"}, "_count")
+        x = trailing_window_sums(x, [service_col], ts_col, interval, {"_srv_err": "_err"}, "_srv_count")
+        x = trailing_window_sums(x, [host_col, service_col], ts_col, interval, None, "_same")
 
     def rate(a, b):
         return F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 6)

@@ -1183,3 +1183,11 @@ def q_correlated_columns(spark, d):
     li = AD.li(spark, d).withColumn("l_gross", F.col("l_extendedprice") * (1 + F.col("l_tax")))
     drop = set(FE.correlated_to_drop(li, _CORR_COLS, 0.95))
     return local_table(spark, [(c, c in drop) for c in _CORR_COLS], "feature string, dropped boolean")
+
+
+@register("flow_window_features_ranked", _FW_SQL)
+def q_flow_window_features_ranked(spark, d):
+    e = AD.ev(spark, d).select("row_id", "user_id", "attack_type", "ts",
+                               (F.col("attack_type") == "error").cast("int").alias("is_error"))
+    return flow_window_features(e, "user_id", "attack_type", "ts", "is_error", interval="1h",
+                                method="ranked")

@@ -64,3 +64,17 @@ def test_kde_prebinned_close_to_exact(spark):
     assert exact.keys() == approx.keys()
     peak = max(exact.values())
     assert max(abs(exact[k] - approx[k]) for k in exact) <= 1e-3 * peak + 1e-6
+
+
+def test_ranked_window_counts_match_plain_window(spark):
+    # A hot key: every row gets host 0, so one key holds all rows.
+    e = AD.ev(spark, SF_SMALL).select("row_id", F.lit(0).alias("host"), "attack_type", "ts",
+                                      (F.col("attack_type") == "error").cast("int").alias("is_error"))
+    got = flow_window_features(e, "host", "attack_type", interval="3h", method="ranked")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("host").orderBy(t).rangeBetween(-3 * 3600 * 10**6, 0)
+    want = e.select("row_id", F.count(F.lit(1)).over(w).alias("count"),
+                    F.sum("is_error").over(w).alias("errs"))
+    a = {r["row_id"]: (r["count"], r["serror_rate"]) for r in got.collect()}
+    b = {r["row_id"]: (r["count"], round(r["errs"] / r["count"], 6)) for r in want.collect()}
+    assert a == b
