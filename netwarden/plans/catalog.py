@@ -847,8 +847,8 @@ def q_score_isolation_forest(spark, d):
         .select("row_id", "label", "split", "if_raw_score", "if_anomaly_score", "if_prediction")
 
 
-@register("contamination_threshold")
-def q_contamination_threshold(spark, d):
+@register("isolation_offset")
+def q_isolation_offset(spark, d):
     prep = _em_prepared(spark, d)
     m = IF.train_isolation_forest(prep.train, prep.feature_names)
     s = IF.score_samples(m, prep.train.select("row_id", *prep.feature_names))
@@ -1191,3 +1191,20 @@ def q_flow_window_features_ranked(spark, d):
                                (F.col("attack_type") == "error").cast("int").alias("is_error"))
     return flow_window_features(e, "user_id", "attack_type", "ts", "is_error", interval="1h",
                                 method="ranked")
+
+
+@register("contamination_threshold", f"""
+WITH t AS (SELECT sc.row_id, sc.score FROM sc JOIN {_SPLIT_SQL.format(src='sc')} sp USING (row_id)
+           WHERE sp.split = 'train')
+SELECT quantile_cont(score, 0.2) AS threshold,
+       CAST(count(*) FILTER (WHERE score < (SELECT quantile_cont(score, 0.2) FROM t)) AS BIGINT) AS n_below,
+       CAST(count(*) AS BIGINT) AS n_train
+FROM t""")
+def q_contamination_threshold(spark, d):
+    """The cut that flags the contamination share of the *training* rows."""
+    s = AD.sc(spark, d).select("row_id", "label", "score")
+    train = SP.stratified_split(s).where(F.col("split") == "train")
+    thr = exact_percentiles(train, ["score"], 0.2)["score"]
+    return train.agg(F.lit(thr).alias("threshold"),
+                     F.count_if(F.col("score") < F.lit(thr)).alias("n_below"),
+                     F.count(F.lit(1)).alias("n_train"))
