@@ -17,7 +17,7 @@ MAX_CLASSES = 10_000
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     """(label, n, weight) with weight = n_total / (n_classes * n_class)."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.collect()                      # one row per class
+    rows = counts.limit(MAX_CLASSES + 1).collect()   # one row per class, fetch bounded
     if len(rows) > MAX_CLASSES:
         raise ValueError("too many classes for class weighting")
     total, k = sum(r["n"] for r in rows), len(rows)

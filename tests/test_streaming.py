@@ -49,3 +49,21 @@ def test_detect_stream_restart(spark):
     got = spark.read.parquet(out)
     assert got.count() == AD.al(spark, SF_SMALL).count()
     assert got.select(F.countDistinct("row_id")).first()[0] == got.count()
+
+
+def test_model_detection_on_a_stream_equals_batch(spark):
+    from netwarden.operators import detect as DT
+    from netwarden.operators import forest as RF
+    from netwarden.operators import isolation as IF
+    feats = ["f00", "f01", "f02", "f03"]
+    em = AD.em(spark, SF_SMALL).select("row_id", "label", *feats)
+    models = DT.ThreatModels(feats, {}, RF.train_random_forest(em, feats, numTrees=5, maxDepth=4),
+                             IF.train_isolation_forest(em, feats, n_trees=10))
+    src = tempfile.mkdtemp(prefix="nw-src-")
+    em.repartition(3).write.mode("overwrite").parquet(src)
+    root = tempfile.mkdtemp(prefix="nw-st-")
+    s = ST.flow_stream(spark, src, em.schema, max_files_per_trigger=1)
+    ST.run_to_end(ST.stream_detect(s, lambda f: DT.detect(f, models), f"{root}/out", f"{root}/ck"))
+    got = sorted(spark.read.parquet(f"{root}/out").collect())
+    want = sorted(DT.detect(em, models).collect())
+    assert got == want
