@@ -12,6 +12,7 @@ from netwarden.schema import (
 )
 
 __all__ = [
+    "ntz_micros", "ntz_as_utc",
     "sql_clip_confidence", "sql_classify_severity", "sql_recommend_action", "sql_threat_type_name",
     "sql_protocol_name", "sql_alert_id", "sql_str",
     "col_or", "map_literal", "clip_confidence", "classify_severity", "recommend_action",
@@ -155,3 +156,22 @@ def sql_protocol_name(code: str) -> str:
 
 def sql_alert_id(key: str) -> str:
     return f"upper(substring(md5(CAST({key} AS STRING)), 1, 8))"
+
+
+# ---------------------------------------------------------------------------
+# Event time without the session time zone.  TIMESTAMP_NTZ is a wall clock;
+# casting it to TIMESTAMP goes through the session zone (shifted windows in
+# half-hour zones, non-monotonic around DST changes).  Interval arithmetic from
+# the epoch reads the wall clock as UTC instead, whatever the session zone.
+# ---------------------------------------------------------------------------
+def ntz_as_utc(c) -> Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP at the same wall clock in UTC."""
+    name = c if isinstance(c, str) else None
+    if name is None:
+        raise TypeError("pass the column name")
+    return F.expr(f"timestamp_seconds(0) + (`{name}` - TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+
+def ntz_micros(c) -> Column:
+    """Microseconds since the epoch of a TIMESTAMP_NTZ (wall clock read as UTC)."""
+    return F.unix_micros(ntz_as_utc(c))

@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 MICROS = {"s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000}
 
 
+def _micros(df: DataFrame, ts_col: str):
+    """Event time in microseconds, independent of the session time zone."""
+    from netwarden.functions.scalar import ntz_micros
+    if dict(df.dtypes)[ts_col] == "timestamp_ntz":
+        return ntz_micros(ts_col)
+    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+
+
 def interval_micros(interval: str | int) -> int:
     if isinstance(interval, int):
         return interval
@@ -32,7 +40,7 @@ def trailing_window_sums(df: DataFrame, key_cols: list[str], ts_col: str, interv
     same rows without joining results back.
     """
     width = interval_micros(interval)
-    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    t = _micros(df, ts_col)
     cols = df.columns
     # Each row once in its own bucket and once, as context, in the next one:
     # a generator on one lineage (a union would plan the input twice).
@@ -62,7 +70,7 @@ def trailing_window_sums_ranked(df: DataFrame, key_cols: list[str], ts_col: str,
     from netwarden.operators.ordered import ordered_running
     width = interval_micros(interval)
     sums = dict(sum_cols or {})
-    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    t = _micros(df, ts_col)
     kind = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
     base = df.select(row_key, *key_cols, t.alias("_t0"), *[F.col(c).alias(f"_v{i}")
                                                             for i, c in enumerate(sums.values())])

@@ -113,15 +113,20 @@ def stream_timeline(alerts: DataFrame, out_path: str, checkpoint: str, window: s
     """Alerts per event-time window; a window is written once the watermark
     (max event time - ``watermark``) passes its end, later rows are dropped.
 
-    Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): cast once here; the session
-    time zone should be UTC so the cast does not shift times.
+    Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): a wall-clock column is read
+    as UTC by interval arithmetic, so windows align to wall-clock hours in any
+    session time zone.
     """
-    ts = F.col(ts_col).cast("timestamp")
+    from netwarden.functions.scalar import ntz_as_utc
+    ntz = dict(alerts.dtypes)[ts_col] == "timestamp_ntz"
+    ts = ntz_as_utc(ts_col) if ntz else F.col(ts_col)
+    back = (lambda c: F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + ({c} - timestamp_seconds(0))")
+            if ntz else F.col(c))
     counted = (alerts.withColumn("_ets", ts).withWatermark("_ets", watermark)
                .groupBy(F.window("_ets", window).alias("w"))
                .agg(F.count(F.lit(1)).alias("n_alerts"))
-               .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                       F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_alerts"))
+               .select(back("w.start").alias("window_start"), back("w.end").alias("window_end"),
+                       "n_alerts"))
     w = (counted.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     return _trigger(w, available_now, processing_time).start()
