@@ -1012,14 +1012,15 @@ def q_write_table(spark, d):
     return spark.read.parquet(write_table(e, scratch_path(spark, "table")))
 
 
-@register("read_missing_path")
+@register("read_missing_path", "SELECT * FROM al")
 def q_read_missing_path(spark, d):
     from netwarden.session import scratch_path
-    from netwarden.sources.files import read_alert_log
-    # A log that was never written reads as an empty alert table; union with the
-    # events-derived alerts keeps the query tied to the given tables.
-    return read_alert_log(spark, scratch_path(spark, "never_written")).unionByName(
-        AD.al(spark, d).where(F.lit(False)))
+    from netwarden.sources.files import read_alert_log, write_alert_log
+    # A log that was never written reads as an empty alert table, so a reader
+    # over several days' logs tolerates missing days.
+    written = write_alert_log(AD.al(spark, d), scratch_path(spark, "alert_log_day"))
+    never = scratch_path(spark, "alert_log_missing_day")
+    return read_alert_log(spark, never).unionByName(read_alert_log(spark, written))
 
 
 # ---------------------------------------------------------------------------
