@@ -1209,3 +1209,20 @@ def q_contamination_threshold(spark, d):
     return train.agg(F.lit(thr).alias("threshold"),
                      F.count_if(F.col("score") < F.lit(thr)).alias("n_below"),
                      F.count(F.lit(1)).alias("n_train"))
+
+
+@register("stream_flow_windows", """
+WITH w AS (SELECT user_id, CAST(is_error AS BIGINT) AS is_error,
+                  CAST(time_bucket(INTERVAL 30 MINUTE, ts) AS TIMESTAMP) - k * INTERVAL 30 MINUTE AS window_start
+           FROM (SELECT user_id, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error FROM ev), range(2) t(k))
+SELECT user_id, window_start, window_start + INTERVAL 1 HOUR AS window_end,
+       CAST(count(*) AS BIGINT) AS n, CAST(sum(is_error) AS BIGINT) AS n_errors
+FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE
+GROUP BY user_id, window_start""")
+def q_stream_flow_windows(spark, d):
+    out, ck = _paths(spark, "stream_flow_windows")
+    flows = AD.events_as_flows(_event_stream(spark, d)).withColumn(
+        "is_error", (F.col("attack_type") == "error").cast("int"))
+    ST.run_to_end(ST.stream_window_counts(flows, "user_id", out, ck, window="1 hour", slide="30 minutes",
+                                          watermark="10 minutes", error_col="is_error"))
+    return spark.read.parquet(out)

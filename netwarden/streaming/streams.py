@@ -132,6 +132,33 @@ def stream_timeline(alerts: DataFrame, out_path: str, checkpoint: str, window: s
     return _trigger(w, available_now, processing_time).start()
 
 
+def stream_window_counts(flows: DataFrame, key_col: str, out_path: str, checkpoint: str,
+                         window: str = "2 seconds", slide: str | None = None,
+                         watermark: str = "10 seconds", ts_col: str = "ts",
+                         error_col: str | None = None, available_now: bool = True,
+                         processing_time: str | None = None) -> StreamingQuery:
+    """Streaming form of the connection-window features: connections (and
+    errors) per key in sliding event-time windows, each window appended once
+    the watermark passes its end.  State is keyed by (key, window) and
+    dropped after the watermark, so it stays bounded on an endless stream."""
+    from netwarden.functions.scalar import ntz_as_utc
+    ntz = dict(flows.dtypes)[ts_col] == "timestamp_ntz"
+    ts = ntz_as_utc(ts_col) if ntz else F.col(ts_col)
+    back = (lambda c: F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + ({c} - timestamp_seconds(0))")
+            if ntz else F.col(c))
+    win = F.window("_ets", window, slide) if slide else F.window("_ets", window)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if error_col:
+        aggs.append(F.sum(F.col(error_col).cast("long")).alias("n_errors"))
+    counted = (flows.withColumn("_ets", ts).withWatermark("_ets", watermark)
+               .groupBy(F.col(key_col), win.alias("w")).agg(*aggs)
+               .select(key_col, back("w.start").alias("window_start"), back("w.end").alias("window_end"),
+                       *[a for a in ("n", "n_errors") if a == "n" or error_col]))
+    w = (counted.writeStream.format("parquet").option("path", out_path)
+         .option("checkpointLocation", checkpoint).outputMode("append"))
+    return _trigger(w, available_now, processing_time).start()
+
+
 def run_to_end(q: StreamingQuery, timeout_s: int = 600) -> None:
     """Wait for an availableNow query to drain; raise its error if it failed."""
     q.awaitTermination(timeout_s)
@@ -143,4 +170,5 @@ def run_to_end(q: StreamingQuery, timeout_s: int = 600) -> None:
 
 
 __all__ = ["flow_stream", "stream_detect", "stream_kpis", "stream_recent", "stream_timeline",
+           "stream_window_counts",
            "latest_recent", "run_to_end", "ALERT_COLUMNS"]
