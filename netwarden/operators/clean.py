@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netwarden.functions.scalar import finite_or_null
 from netwarden.operators.ordered import ordered_running
 from netwarden.operators.profile import numeric_columns
 from netwarden.operators.quantiles import exact_percentiles

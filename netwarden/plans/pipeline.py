@@ -4,7 +4,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from netwarden.operators import forest as RF
 from netwarden.operators import isolation as IF
