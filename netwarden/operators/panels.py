@@ -12,6 +12,24 @@ from netwarden.schema import SEVERITY_ORDER
 from netwarden.sources.local import local_table
 
 
+def time_range(alerts: DataFrame, since=None, until=None, ts_col: str = "timestamp",
+               date_col: str = "alert_date") -> DataFrame:
+    """Alerts with ``since <= ts < until``.  On a log written by
+    ``write_alert_log`` the same bounds are applied to the date partition
+    column as well, so the scan skips whole days (partition pruning)."""
+    out = alerts
+    has_date = date_col in alerts.columns
+    if since is not None:
+        out = out.where(F.col(ts_col) >= F.lit(since).cast("timestamp_ntz"))
+        if has_date:
+            out = out.where(F.col(date_col) >= F.to_date(F.lit(since).cast("timestamp_ntz")))
+    if until is not None:
+        out = out.where(F.col(ts_col) < F.lit(until).cast("timestamp_ntz"))
+        if has_date:
+            out = out.where(F.col(date_col) <= F.to_date(F.lit(until).cast("timestamp_ntz")))
+    return out
+
+
 def alert_kpis(alerts: DataFrame, approx_sources: bool = False) -> DataFrame:
     """Totals per severity, distinct sources, mean (1 dp) and max confidence; 0 when empty."""
     sev = F.col("severity")

@@ -60,15 +60,21 @@ def write_alert_log(alerts: DataFrame, path: str, mode: str = "overwrite") -> st
     return write_table(out, path, mode=mode, partition_by=["alert_date"])
 
 
-def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
-    """Read the alert log with its fixed schema; a missing log is an empty table."""
+def read_alert_log(spark: SparkSession, path: str, keep_partition: bool = False) -> DataFrame:
+    """Read the alert log with its fixed schema; a missing log is an empty table.
+
+    ``keep_partition`` keeps the ``alert_date`` column so time-bounded panels
+    (``panels.time_range``) prune whole days."""
     try:
         df = spark.read.parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], ALERT_SCHEMA)
         raise
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALERT_SCHEMA.fields])
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in ALERT_SCHEMA.fields]
+    if keep_partition and "alert_date" in df.columns:
+        cols.append(F.col("alert_date"))
+    return df.select(*cols)
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> str:

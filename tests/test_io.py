@@ -48,3 +48,17 @@ def test_csv_dir_with_different_headers(spark):
     assert set(df.columns) == {"x", "Label", "extra"}
     rows = sorted((r["x"], r["Label"], r["extra"]) for r in df.collect())
     assert rows == [(1.0, "BENIGN", None), (2.0, "DoS", 7)]
+
+
+def test_time_range_prunes_alert_log_partitions(spark):
+    from netwarden.operators.panels import time_range, timeline_hourly
+    al = AD.al(spark, SF_SMALL)
+    path = tempfile.mkdtemp(prefix="nw-io-") + "/alerts"
+    IO.write_alert_log(al, path)
+    log = IO.read_alert_log(spark, path, keep_partition=True)
+    sel = time_range(log, "2024-01-03 00:00:00", "2024-01-05 00:00:00")
+    plan = sel._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(alert_date" in plan
+    want = al.where((F.col("timestamp") >= "2024-01-03") & (F.col("timestamp") < "2024-01-05"))
+    assert sorted(r["row_id"] for r in sel.collect()) == sorted(r["row_id"] for r in want.collect())
+    assert timeline_hourly(sel).count() > 0
