@@ -78,3 +78,26 @@ def test_ranked_window_counts_match_plain_window(spark):
     a = {r["row_id"]: (r["count"], r["serror_rate"]) for r in got.collect()}
     b = {r["row_id"]: (r["count"], round(r["errs"] / r["count"], 6)) for r in want.collect()}
     assert a == b
+
+
+def test_hash_split_share_and_determinism(spark):
+    ev = AD.ev(spark, "/root/testdata/sf0.01").select("row_id", "label")
+    a = SP.hash_split(ev)
+    share = a.agg(F.avg((F.col("split") == "test").cast("double"))).first()[0]
+    assert abs(share - 0.25) < 0.02
+    b = SP.hash_split(ev.repartition(5))
+    assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_approximate_median_fill_close_to_exact(spark):
+    from netwarden.operators import clean as C
+    g = AD.with_gaps(AD.ev(spark, SF_SMALL)).select("row_id", "value_gap")
+    exact = C.median_impute(g, exclude=("row_id",))
+    approx = C.median_impute(g, exclude=("row_id",), exact=False)
+    filled_e = {r[0] for r in exact.join(g.where("value_gap IS NULL").select("row_id"), "row_id")
+                .select("value_gap").collect()}
+    filled_a = {r[0] for r in approx.join(g.where("value_gap IS NULL").select("row_id"), "row_id")
+                .select("value_gap").collect()}
+    assert len(filled_e) == 1 and len(filled_a) == 1
+    rng = g.agg(F.max("value_gap") - F.min("value_gap")).first()[0]
+    assert abs(filled_e.pop() - filled_a.pop()) <= 0.01 * rng
