@@ -46,3 +46,15 @@ def test_query_matches_oracle(spark, con, slug):
     assert not _plan_problems(df), _plan_problems(df)
     problems = compare(df, con, ORACLES[slug])
     assert not problems, problems
+
+
+@pytest.mark.parametrize("slug", ["timeline_hourly", "timeline_minute_of_day", "flow_window_features",
+                                  "stream_timeline", "stream_flow_windows"])
+def test_event_time_queries_ignore_session_zone(spark, con, slug):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        problems = compare(QUERIES[slug](spark, SF_SMALL), con, ORACLES[slug])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert not problems, problems
