@@ -93,3 +93,17 @@ def test_local_table_round_trip(spark):
     assert [tuple(r) for r in df.collect()] == rows
     assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "int", "double", "boolean",
                                                                      "timestamp_ntz"]
+
+
+def test_constant_column_correlation_and_scaler(spark):
+    from netwarden.operators import features as FE
+    df = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, 1.0), (3.0, 5.0, 3.0), (4.0, 5.0, 2.0)],
+                               "a double, c double, g double")
+    corr = {(r["feature_a"], r["feature_b"]): r["corr"]
+            for r in FE.correlation_matrix(df, ["a", "c", "g"]).collect()}
+    assert corr[("a", "c")] is None                      # constant column: undefined, no error
+    assert corr[("a", "g")] == 0.5                       # pairwise-complete rows (2,1) (3,3) (4,2)
+    params = FE.scaler_params(FE.scaler_fit(df, ["a", "c"]))
+    assert params["c"] == (5.0, 1.0)                     # zero std -> divisor 1
+    scaled = FE.scale_features(df, params).select("c").distinct().collect()
+    assert [r["c"] for r in scaled] == [0.0]
