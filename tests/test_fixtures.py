@@ -107,3 +107,16 @@ def test_constant_column_correlation_and_scaler(spark):
     assert params["c"] == (5.0, 1.0)                     # zero std -> divisor 1
     scaled = FE.scale_features(df, params).select("c").distinct().collect()
     assert [r["c"] for r in scaled] == [0.0]
+
+
+def test_empty_inputs(spark):
+    from netwarden.operators import alerts as A
+    from netwarden.operators import panels as P
+    empty = A.empty_alerts(spark)
+    k = P.alert_kpis(empty).first()
+    assert (k["total_alerts"], k["critical"], k["unique_src_ips"], k["avg_confidence"],
+            k["max_confidence"]) == (0, 0, 0, 0.0, 0.0)
+    sev = {r["severity"]: r["n_alerts"] for r in P.severity_distribution(empty).collect()}
+    assert sev == {"CRITICAL": 0, "HIGH": 0, "MEDIUM": 0, "LOW": 0}
+    det = spark.createDataFrame([(1, 0, None)], "row_id long, final_prediction int, rf_probability double")
+    assert A.generate_alerts(det).count() == 0
