@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: op<N>_<name>, and their SQL."""
 from __future__ import annotations
 
-from netwarden.llm import license_scan, quality_rules
+from netwarden.llm import bpe, html_extract, license_scan, quality_rules
 from netwarden.llm.common import read
 
 QUERIES = {}
@@ -25,3 +25,14 @@ def op4(spark, d):
 @_query("op9_license_scan", license_scan.ORACLE)
 def op9(spark, d):
     return license_scan.scan(read(spark, d, "documents"))
+
+
+@_query("op2_html_extract")
+def op2(spark, d):
+    return html_extract.extract_pages(read(spark, d, "pages"))
+
+
+@_query("op5_bpe")
+def op5(spark, d):
+    import public_tokenizers
+    return bpe.encode_digest(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
