@@ -1,6 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,6 +47,17 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package: the folder it was loaded from
+    joins their PYTHONPATH (on a cluster the package is installed there, or sent with --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, root])
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str,
                 rows: int = 4096, max_bytes: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` with slices bounded by rows and by bytes, so that a batch of
@@ -64,4 +76,4 @@ def map_batches(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str,
                     if piece.num_rows:
                         yield piece
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

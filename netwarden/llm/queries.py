@@ -1,7 +1,9 @@
 """Registered queries of this subpackage: op<N>_<name>, and their SQL."""
 from __future__ import annotations
 
-from netwarden.llm import bpe, html_extract, license_scan, quality_rules
+from pyspark.sql import functions as F
+
+from netwarden.llm import bpe, decontaminate, html_extract, license_scan, quality_rules, reshard, token_files
 from netwarden.llm.common import read
 
 QUERIES = {}
@@ -36,3 +38,21 @@ def op2(spark, d):
 def op5(spark, d):
     import public_tokenizers
     return bpe.encode_digest(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op7_token_files")
+def op7(spark, d):
+    import public_tokenizers
+    return token_files.file_report(read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                   end_id=2, n_ids=49_408)
+
+
+@_query("op1_decontaminate")
+def op1(spark, d):
+    return decontaminate.find_leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+@_query("op6_reshard")
+def op6(spark, d):
+    # the old layout: the corpus lies in eight shards by source
+    return reshard.shard_report(read(spark, d, "documents"), F.pmod(F.xxhash64("source"), F.lit(8)), 8)
