@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, decontaminate, html_extract, license_scan, quality_rules, reshard, token_files
+from netwarden.llm import bpe, decontaminate, html_extract, jaccard_join, license_scan, lm_score, quality_rules, reshard, token_files
 from netwarden.llm.common import read
 
 QUERIES = {}
@@ -56,3 +56,13 @@ def op1(spark, d):
 def op6(spark, d):
     # the old layout: the corpus lies in eight shards by source
     return reshard.shard_report(read(spark, d, "documents"), F.pmod(F.xxhash64("source"), F.lit(8)), 8)
+
+
+@_query("op10_lm_score")
+def op10(spark, d):
+    return lm_score.score_documents(read(spark, d, "documents"))
+
+
+@_query("op3_jaccard_join")
+def op3(spark, d):
+    return jaccard_join.near_duplicates(read(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
