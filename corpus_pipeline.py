@@ -1,20 +1,48 @@
-"""The corpus pipeline: STAGES applied in order to `documents`, each stage's rows
-written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: STAGES applied in order to `documents`. Each stage's rows are
+written as Parquet in the shared folder and reread as the next one's input; every stage
+works on all rows that its predecessor kept, and its decisions take effect.
+
+1. quality rules: documents that fail the base rules, or whose host is rejected, go
+2. n-gram Jaccard join: one document of each group of near copies stays
+3. suffix-array dedup: 200-byte strings that repeat across the kept texts are cut out
+4. benchmark decontamination: documents that hold a benchmark item go
+5. BPE encoding: digests of the token ids and of the decoded text
+
+No SQL form: byte strings that repeat anywhere and subword ids have none; the stages are
+tested one by one and as a chain against brute force.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netwarden.llm import bpe, decontaminate, jaccard_join, quality_rules, suffix_dedup
 from netwarden.llm.common import read, stored
-from netwarden.llm.quality_rules import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs)
+    return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(docs, n_chars="n_chars")
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaking(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.encode_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality), ("jaccard_join", near_copies), ("suffix_dedup", repeated_strings),
+          ("decontaminate", benchmark_leaks), ("bpe", encode)]
 
-#: Byte-level duplicate removal and subword encoding have no SQL form.
 ORACLE_SQL = None
 
 

@@ -120,6 +120,11 @@ def counts_of(row: dict, kind: int) -> np.ndarray:
     return np.concatenate([unplanes(x["counts"], "<u8") for x in parts] or [np.zeros(0, np.uint64)])
 
 
+def table_buckets(size: int) -> int:
+    """Buckets of a table over so many bytes of text (100,000 is Spark's most)."""
+    return int(min(100_000, max(8, size // (24 << 20))))
+
+
 def bucketed(df: DataFrame, name: str, n: int) -> DataFrame:
     """A table stored in the shared folder in n buckets by chunk (joins on chunk need no shuffle)."""
     spark = df.sparkSession
@@ -133,7 +138,7 @@ def chunked(docs: DataFrame, doc_id: str, text: str, train: Column) -> tuple[Dat
     """The stored chunks, the number of table buckets, and the bits of a key bucket."""
     t = F.col(f"`{text}`")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(t)), F.lit(0)).alias("n")).first().n
-    files = max(8, size // (24 << 20))
+    files = table_buckets(size)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), train.alias("train"), t.alias("text"))
     return (bucketed(map_arrow(rows, _tokenize, CHUNKS), "chunks", files), files,
             max(3, int(size / 8 / BUCKET_KEYS).bit_length()))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, decontaminate, html_extract, jaccard_join, license_scan, lm_score, quality_rules, reshard, token_files
+from netwarden.llm import bpe, decontaminate, html_extract, jaccard_join, license_scan, lm_score, quality_rules, reshard, suffix_dedup, token_files
 from netwarden.llm.common import read
 
 QUERIES = {}
@@ -66,3 +66,8 @@ def op10(spark, d):
 @_query("op3_jaccard_join")
 def op3(spark, d):
     return jaccard_join.near_duplicates(read(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query("op8_suffix_dedup")
+def op8(spark, d):
+    return suffix_dedup.dedup_report(read(spark, d, "documents"))
