@@ -67,13 +67,15 @@ def measure(df: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
         f"aggregate({s}, named_struct('n', 0, 'last', -2), "
         f"(a, x) -> named_struct('n', a.n + least(3, x - a.last), 'last', x)).n")
     spaces = " \t\n\x0b\x0c\r"
-    return out.select(*keep, F.struct(
+    # A generator of one row: filters and sums over the measures are then planned above it and
+    # not copied into it, where the optimizer would repeat the array functions for every use.
+    return out.select(*keep, F.explode(F.array(F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.translate(t, spaces, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size(h) - F.size(F.array_distinct(h))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.size(h).cast("long").alias("n_lines")).alias(into))
+        F.size(h).cast("long").alias("n_lines")))).alias(into))
 
 
 def base_failed(m: str) -> Column:
