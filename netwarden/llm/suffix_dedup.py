@@ -188,7 +188,7 @@ def _suffixes(splitters: np.ndarray):
                 doc[wrong] += 1
             bucket = np.searchsorted(splitters, _leads(data, p), side="right")
             parts = -(-n // HOT)
-            salt = np.where(parts > 1, ((p * 40503 + row["chunk"] * 2654435761) & 0x7FFFFFFF) % parts, -1)
+            salt = np.where(parts > 1, ((p * 40503 + row["chunk"] % 65521 * 7919) & 0x7FFFFFFF) % parts, -1)
             gram = np.where(parts > 1, h.view(np.int64), 0)
             for k in range(0, len(p), 8192):
                 s = slice(k, k + 8192)
