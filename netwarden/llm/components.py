@@ -20,6 +20,13 @@ def _small(e: DataFrame) -> DataFrame:
     return near.union(low.select("a", F.col("low").alias("b"))).distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most and no chain is left."""
+    ends = e.selectExpr("a AS node", "1 AS up", "0 AS down").union(e.selectExpr("b", "0", "1"))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return odd.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of the edges (a, b).
 
@@ -27,13 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     aggregation, and the joins are plain equi-joins that adaptive execution splits by skew."""
     e = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
                "edges")
-    sign = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = sign(e)
-    while before[0]:
+    while not _stars(e):
         e = stored(_small(_large(e)), "edges")
-        now = sign(e)
-        if now == before:
-            break
-        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")) \
         .union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from netwarden.llm.common import map_arrow, small, stored
 from netwarden.llm.components import components
-from netwarden.llm.packed import chunked, counts_of, mix, packed_rows, tokens_of, with_counts
+from netwarden.llm.packed import chunked, counts_of, mix, packed_rows, rows_of, tokens_of, with_counts
 
 WORDS = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -63,11 +63,10 @@ def shingles(row: dict, only: list[int] | None = None) -> list[np.ndarray]:
 
 def _emit(bits: int):
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                sets = shingles(row)
-                keys, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield packed_rows(row["chunk"], [(1, keys, n)], bits)
+        for row in rows_of(batches):
+            sets = shingles(row)
+            keys, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield packed_rows(row["chunk"], [(1, keys, n)], bits)
     return run
 
 
@@ -80,34 +79,32 @@ def prefix(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches):
-    for b in batches:
-        for row in b.to_pylist():
-            sets = shingles(row)
-            every = np.concatenate(sets)
-            keys, at = np.unique(every, return_inverse=True)
-            counts = counts_of(row, 1)
-            if len(counts) != len(keys):
-                raise ValueError("counts do not belong to this chunk")
-            counts, ends = counts[at], np.cumsum([len(s) for s in sets])
-            heads = [prefix(s, counts[hi - len(s):hi]).view(np.int64) for s, hi in zip(sets, ends.tolist())]
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(k, row["chunk"])), pa.array(range(k), pa.int32()),
-                 pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "chunk", "at", "n", "class", "head"])
+    for row in rows_of(batches):
+        sets = shingles(row)
+        every = np.concatenate(sets)
+        keys, at = np.unique(every, return_inverse=True)
+        counts = counts_of(row, 1)
+        if len(counts) != len(keys):
+            raise ValueError("counts do not belong to this chunk")
+        counts, ends = counts[at], np.cumsum([len(s) for s in sets])
+        heads = [prefix(s, counts[hi - len(s):hi]).view(np.int64) for s, hi in zip(sets, ends.tolist())]
+        k = len(sets)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(k, row["chunk"])), pa.array(range(k), pa.int32()),
+             pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+             pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "chunk", "at", "n", "class", "head"])
 
 
 def _sets(batches):
     """The n-gram sets of the wanted documents of each chunk."""
-    for b in batches:
-        for row in b.to_pylist():
-            want = row["want"]
-            sets = shingles(row, [w["at"] for w in want])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w["cluster"] for w in want], pa.binary()), pa.array([w["members"] for w in want], pa.int64()),
-                 pa.array([w["class"] for w in want], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "members", "class", "set"])
+    for row in rows_of(batches):
+        want = row["want"]
+        sets = shingles(row, [w["at"] for w in want])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w["cluster"] for w in want], pa.binary()), pa.array([w["members"] for w in want], pa.int64()),
+             pa.array([w["class"] for w in want], pa.binary()),
+             pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "members", "class", "set"])
 
 
 def forest(sets: list[np.ndarray], left: int) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ frequency bucket of the context (powers of two of c(h)). The weights are learned
 expectation-maximisation on held-out counts: each training bigram is held out in turn
 (its own occurrence is deleted from the counts).
 
-How it runs: documents are tokenized into chunks of about a million tokens (stored
+How it runs: documents are tokenized into chunks of about half a million tokens (stored
 compactly: distinct word hashes and token indexes). A chunk counts its own words and
 bigrams first and sends each distinct key once, packed in arrays, to a hash bucket;
 buckets sum the counts over all chunks and send them back to the chunks that hold the
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netwarden.llm.common import map_arrow
-from netwarden.llm.packed import chunked, counts_of, mix, packed_rows, tokens_of, with_counts
+from netwarden.llm.packed import chunked, counts_of, mix, packed_rows, rows_of, tokens_of, with_counts
 
 SMOOTH = 0.1
 START, END = np.uint64(0x51A7B3C9D2E4F601), np.uint64(0xE2D1C0B9A8978685)
@@ -71,11 +71,10 @@ class Chunk:
 
 def _emit(bits: int):
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row)
-                yield packed_rows(row["chunk"], [(0, c.words, c.trained(c.word, len(c.words))),
-                                                 (1, c.pairs, c.trained(c.pair, len(c.pairs)))], bits)
+        for row in rows_of(batches):
+            c = Chunk(row)
+            yield packed_rows(row["chunk"], [(0, c.words, c.trained(c.word, len(c.words))),
+                                             (1, c.pairs, c.trained(c.pair, len(c.pairs)))], bits)
     return run
 
 
@@ -96,17 +95,16 @@ def _held_out(types: int, tokens: int):
     """Per context bucket: held-out tokens by the ratio of the two deleted estimates (bin 0: bigram unseen)."""
     def run(batches):
         total = np.zeros(LEVELS * (BINS + 1))
-        for b in batches:
-            for row in b.to_pylist():
-                c, word, pair = _counted(row)
-                n = c.trained(c.pair, len(c.pairs))
-                use = np.flatnonzero(n)
-                context = np.where(c.context < 0, word[c.end], word[c.context])[use]
-                f = (pair[use] - 1) / np.maximum(context - 1, 1)
-                p0 = (word[c.word[c.first[use]]] - 1 + SMOOTH) / (tokens - 1 + SMOOTH * (types + 1))
-                bins = np.clip(np.round(np.log2(np.maximum(f, 1e-300) / p0) * OCTAVE) + BINS // 4, 1, BINS)
-                slot = _level(context) * (BINS + 1) + np.where(f > 0, bins, 0).astype(np.int64)
-                total += np.bincount(slot, weights=n[use], minlength=len(total))
+        for row in rows_of(batches):
+            c, word, pair = _counted(row)
+            n = c.trained(c.pair, len(c.pairs))
+            use = np.flatnonzero(n)
+            context = np.where(c.context < 0, word[c.end], word[c.context])[use]
+            f = (pair[use] - 1) / np.maximum(context - 1, 1)
+            p0 = (word[c.word[c.first[use]]] - 1 + SMOOTH) / (tokens - 1 + SMOOTH * (types + 1))
+            bins = np.clip(np.round(np.log2(np.maximum(f, 1e-300) / p0) * OCTAVE) + BINS // 4, 1, BINS)
+            slot = _level(context) * (BINS + 1) + np.where(f > 0, bins, 0).astype(np.int64)
+            total += np.bincount(slot, weights=n[use], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["slot", "n"])
     return run
@@ -134,22 +132,21 @@ def _score(types: int, tokens: int, weights: list[float]):
     a = np.array(weights)
 
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                c, word, pair = _counted(row)
-                p0 = (word + SMOOTH) / (tokens + SMOOTH * (types + 1))
-                context = np.where(c.context < 0, word[c.end], word[c.context])
-                f = pair / np.maximum(context, 1)
-                w = np.where(context > 0, a[_level(context)], 0.0)
-                p = np.log10(w * f + (1 - w) * p0[c.word[c.first]])
-                k = len(c.lens)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(~c.train), pa.array(c.lens + 1),
-                     pa.array(np.add.reduceat((word > 0)[c.word].astype(np.int64), c.starts)),
-                     pa.array(np.full(k, tokens), pa.int64()),
-                     pa.array(np.add.reduceat(np.log10(p0)[c.word], c.starts)),
-                     pa.array(np.add.reduceat(p[c.pair], c.starts))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in rows_of(batches):
+            c, word, pair = _counted(row)
+            p0 = (word + SMOOTH) / (tokens + SMOOTH * (types + 1))
+            context = np.where(c.context < 0, word[c.end], word[c.context])
+            f = pair / np.maximum(context, 1)
+            w = np.where(context > 0, a[_level(context)], 0.0)
+            p = np.log10(w * f + (1 - w) * p0[c.word[c.first]])
+            k = len(c.lens)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(~c.train), pa.array(c.lens + 1),
+                 pa.array(np.add.reduceat((word > 0)[c.word].astype(np.int64), c.starts)),
+                 pa.array(np.full(k, tokens), pa.int64()),
+                 pa.array(np.add.reduceat(np.log10(p0)[c.word], c.starts)),
+                 pa.array(np.add.reduceat(p[c.pair], c.starts))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
 

@@ -1,6 +1,6 @@
 """Corpus counts of very many keys, by chunks.
 
-Documents are tokenized into chunks of about a million words, stored compactly. A chunk
+Documents are tokenized into chunks of about half a million words, stored compactly. A chunk
 counts its own 64-bit keys first and sends each distinct key once, in packed arrays, to a
 hash bucket; a bucket sums over all chunks and sends the counts back to the chunks that
 hold the keys. A key that a third of all rows hold is one entry per chunk.
@@ -20,7 +20,7 @@ from netwarden.llm.common import map_arrow
 from netwarden.session import scratch_path
 
 #: Tokens of one chunk (or one longer document) and distinct keys of one bucket, about.
-CHUNK_TOKENS, BUCKET_KEYS = 1_000_000, 1_500_000
+CHUNK_TOKENS, BUCKET_KEYS = 500_000, 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -45,32 +45,38 @@ def unplanes(b: bytes, dtype: str) -> np.ndarray:
 CHUNKS = "chunk bigint, doc_ids array<bigint>, lens array<int>, train array<boolean>, words binary, tokens binary"
 
 
-def _chunk(at: int, ids, lens, train, texts) -> pa.RecordBatch:
+def _tokenize(batches):
+    at = TaskContext.get().partitionId() << 32
     known: dict[bytes, int] = {}
-    tokens = np.array([known.setdefault(w, len(known)) for ws in texts for w in ws], np.uint32)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
-    cols = [[at], [ids], [lens], [train], [hashes.tobytes()], [planes(tokens)]]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                      ["chunk", "doc_ids", "lens", "train", "words", "tokens"])
+    ids, lens, train, tokens, n = [], [], [], [], 0
 
+    def row():
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
+        cols = [[at], [ids], [lens], [train], [hashes.tobytes()], [planes(np.concatenate(tokens))]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                          ["chunk", "doc_ids", "lens", "train", "words", "tokens"])
 
-def _tokenize(batches):
-    at = TaskContext.get().partitionId() << 32
-    ids, lens, train, texts, n = [], [], [], [], 0
     for b in batches:
         for d, t, x in zip(*(b.column(k) for k in ("doc_id", "train", "text"))):
             words = (x.as_py() or "").encode().lower().split()
             ids.append(d.as_py())
             lens.append(len(words))
             train.append(t.as_py())
-            texts.append(words)
+            tokens.append(np.array([known.setdefault(w, len(known)) for w in words], np.uint32))
             n += len(words) + 1
             if n >= CHUNK_TOKENS:
-                yield _chunk(at, ids, lens, train, texts)
-                at, ids, lens, train, texts, n = at + 1, [], [], [], [], 0
+                yield row()
+                at, known, ids, lens, train, tokens, n = at + 1, {}, [], [], [], [], 0
     if ids:
-        yield _chunk(at, ids, lens, train, texts)
+        yield row()
+
+
+def rows_of(batches):
+    """Chunk rows as dictionaries, one at a time: several would not fit a worker."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
 
 
 def tokens_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

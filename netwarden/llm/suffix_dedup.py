@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netwarden.llm.common import map_arrow, stored
-from netwarden.llm.packed import bucketed, counts_of, packed_rows, table_buckets, with_counts
+from netwarden.llm.packed import bucketed, counts_of, packed_rows, rows_of, table_buckets, with_counts
 
 WINDOW, GRAM = 200, 64
 #: Bytes of text of one chunk (or one longer text), window starts handled at once.
@@ -126,16 +126,9 @@ def _pack(batches):
         yield row()
 
 
-def _rows(batches):
-    """The chunks one at a time: several would not fit a worker."""
-    for b in batches:
-        for k in range(b.num_rows):
-            yield b.slice(k, 1).to_pylist()[0]
-
-
 def _emit(bits: int):
     def run(batches):
-        for row in _rows(batches):
+        for row in rows_of(batches):
             h, *_ = anchors(row["data"], np.array(row["lens"], np.int64))
             keys, n = np.unique(h, return_counts=True)
             yield packed_rows(row["chunk"], [(1, keys, n)], bits)
@@ -160,7 +153,7 @@ def _leads(data: bytes, p: np.ndarray) -> np.ndarray:
 
 
 def _sample(batches):
-    for row in _rows(batches):
+    for row in rows_of(batches):
         _, p, first, last, _ = _candidates(row)
         size = int((last - first + WINDOW).sum())
         step = max(1, len(p) // SAMPLE_EACH)
@@ -174,7 +167,7 @@ SUFFIXES = "bucket bigint, gram bigint, salt int, chunk bigint, doc int, start i
 
 def _suffixes(splitters: np.ndarray):
     def run(batches):
-        for row in _rows(batches):
+        for row in rows_of(batches):
             data, lens = row["data"], np.array(row["lens"], np.int64)
             h, p, first, last, n = _candidates(row)
             if not len(p):
@@ -302,7 +295,7 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
 # --- cutting -------------------------------------------------------------------------
 def _cut(with_text: bool):
     def run(batches):
-        for row in _rows(batches):
+        for row in rows_of(batches):
             data, out, at = row["data"], [], 0
             runs: dict[int, list] = {}
             for r in row["found"] or ():
