@@ -164,7 +164,7 @@ def rewrite(source: str, target: str, spark, n_new: int = N_SHARDS, text: str =
                                        & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
                                        & (F.col("d.shard") == F.col("p.old_shard")))
         keep = [F.col(f"d.`{c}`") for c in docs.columns if c != "shard"]
-        joined.select(*keep, F.col("p.new_shard").alias("shard")).repartition("shard", F.pmod("h", F.lit(16))) \
+        joined.select(*keep, F.col("p.new_shard").alias("shard")).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))) \
             .write.partitionBy("shard").parquet(target)
         out |= {j: [f"{target}/shard={j}"] for j in sorted(touched) if j < n_new}
     return out

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-import zlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -108,8 +108,9 @@ class Chunked:
             self.seen = {c: self.seen[c] for c in need if c in self.seen}
         for k in range(0, len(new), 4096):
             some = new[k:k + 4096]
-            for c, e in zip(some, self.lib.encode_batch(some, add_special_tokens=False)):
-                self.seen[c] = np.array(e.ids, "<u4").tobytes()
+            for c, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
+                ids = e.ids                      # without offsets, which the files do not hold
+                self.seen[c] = struct.pack(f"<{len(ids)}I", *ids)
         self.seen[""] = b""
         get = self.seen.__getitem__
         return [b"".join(map(get, p)) for p in parts]
