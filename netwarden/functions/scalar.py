@@ -39,8 +39,9 @@ def resolve_policy(policy) -> SeverityPolicy:
 
 
 def clip_confidence(p) -> Column:
-    """max(min(p, 1), 0.5): a missing probability counts as 0.5 (isolation-only alert)."""
-    return F.greatest(F.least(F.coalesce(col_or(p), F.lit(0.5)), F.lit(1.0)), F.lit(0.5))
+    """max(min(p, 1), 0.5): a missing probability (NULL, NaN) counts as 0.5 (isolation-only alert)."""
+    known = F.nanvl(col_or(p).cast("double"), F.lit(None).cast("double"))
+    return F.greatest(F.least(F.coalesce(known, F.lit(0.5)), F.lit(1.0)), F.lit(0.5))
 
 
 def classify_severity(conf, policy=None) -> Column:
@@ -132,7 +133,7 @@ def _sql_case(expr: str, mapping: dict, default: str | None = None) -> str:
 
 
 def sql_clip_confidence(p: str) -> str:
-    return f"greatest(least(coalesce({p}, 0.5D), 1.0D), 0.5D)"
+    return f"greatest(least(coalesce(nanvl(CAST({p} AS DOUBLE), CAST(NULL AS DOUBLE)), 0.5D), 1.0D), 0.5D)"
 
 
 def sql_classify_severity(conf: str, policy=None) -> str:

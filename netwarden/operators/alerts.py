@@ -70,13 +70,13 @@ def generate_alerts(detections: DataFrame, flows: DataFrame | None = None,
     """Detections (+ optional flow context joined on ``row_id``) -> alerts.
 
     Alignment is by key, never by position.  When the flow context lives in a
-    separate table it is joined after the positives are filtered, so only
-    alert rows travel through the join shuffle.
+    separate table it is joined after the positives are filtered. A positive
+    without a flow row keeps its alert, with an empty context.
     """
     pos = filter_threats(detections, "final_prediction")
     if flows is not None:
         ctx = [c for c in flows.columns if c not in pos.columns or c == "row_id"]
-        pos = pos.join(flows.select(*ctx), "row_id", "inner")
+        pos = pos.join(flows.select(*ctx), "row_id", "left")
     return alert_projection(pos, prob_col=prob_col, policy=policy)
 
 

@@ -22,7 +22,8 @@ def scaler_fit(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [f"avg(CAST(`{c}` AS DOUBLE)) AS m{i}", f"stddev_pop(CAST(`{c}` AS DOUBLE)) AS s{i}"]
+        x = f"nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE))"      # NaN counts as missing
+        aggs += [f"avg({x}) AS m{i}", f"stddev_pop({x}) AS s{i}"]
     wide = df.selectExpr(*aggs)
     cells = ", ".join(
         f"struct({sql_str(c)} AS feature, m{i} AS mean, "
@@ -46,8 +47,10 @@ def scale_features(df: DataFrame, params: dict[str, tuple[float, float]],
     return df.selectExpr(*keep + [f"{e} AS `{c}`" for c, e in exprs.items()])
 
 
-def correlation_matrix(df: DataFrame, cols: list[str], max_pairs_per_pass: int = 150) -> DataFrame:
-    """Pearson correlation for each pair i < j (column order), pairwise NULL deletion.
+def correlation_matrix(df: DataFrame, cols: list[str], max_pairs_per_pass: int = 150,
+                       digits: int | None = 6) -> DataFrame:
+    """Pearson correlation for each pair i < j (column order), pairwise deletion of NULL and NaN;
+    unrounded where ``digits`` is None.
 
     Built from ``covar_pop`` and ``var_pop`` of the jointly non-null rows with
     ``try_divide``: a constant column yields NULL instead of an ANSI error.
@@ -57,12 +60,14 @@ def correlation_matrix(df: DataFrame, cols: list[str], max_pairs_per_pass: int =
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "feature_a string, feature_b string, corr double")
+    rounded = (lambda x: x) if digits is None else (lambda x: F.round(x, digits))
     parts = []
     for start in range(0, len(pairs), max_pairs_per_pass):
         chunk = pairs[start:start + max_pairs_per_pass]
         aggs = []
         for i, (a, b) in enumerate(chunk):
-            xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
+            none = F.lit(None).cast("double")
+            xa, xb = F.nanvl(F.col(a).cast("double"), none), F.nanvl(F.col(b).cast("double"), none)
             both = xa.isNotNull() & xb.isNotNull()
             aggs += [F.covar_pop(xa, xb).alias(f"c{i}"),
                      F.var_pop(F.when(both, xa)).alias(f"va{i}"),
@@ -70,7 +75,7 @@ def correlation_matrix(df: DataFrame, cols: list[str], max_pairs_per_pass: int =
         wide = df.agg(*aggs)
         cells = F.array(*[F.struct(
             F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-            F.round(F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"va{i}") * F.col(f"vb{i}"))), 6)
+            rounded(F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"va{i}") * F.col(f"vb{i}"))))
             .alias("corr")) for i, (a, b) in enumerate(chunk)])
         parts.append(wide.select(F.inline(cells)))
     out = parts[0]
@@ -81,7 +86,7 @@ def correlation_matrix(df: DataFrame, cols: list[str], max_pairs_per_pass: int =
 
 def correlated_to_drop(df: DataFrame, cols: list[str], threshold: float = 0.95) -> list[str]:
     """Column j is dropped if any earlier column has |corr| > threshold (not greedy)."""
-    rows = correlation_matrix(df, cols).collect()  # k(k-1)/2 numbers
+    rows = correlation_matrix(df, cols, digits=None).collect()  # k(k-1)/2 numbers
     drop = {r["feature_b"] for r in rows if r["corr"] is not None and abs(r["corr"]) > threshold}
     return [c for c in cols if c in drop]
 

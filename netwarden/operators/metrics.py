@@ -106,8 +106,9 @@ def roc_points(df: DataFrame, y_true: str = "y_true", score: str = "score") -> D
     return ordered_running(g, [F.col("threshold").desc()], ["pos", "neg"], rn_col="point")
 
 
-def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "score") -> DataFrame:
-    """FPR / TPR per distinct score, descending, with the (0, 0) start point."""
+def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "score", digits: int | None = 6) -> DataFrame:
+    """FPR / TPR per distinct score, descending, with the (0, 0) start point; exact
+    rates where ``digits`` is None."""
     pts = roc_points(df, y_true, score).select(
         "point", "threshold", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
     # Two scalars (positives, negatives) travel to the driver as literals.
@@ -118,10 +119,11 @@ def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "score") -> Da
     start = local_table(df.sparkSession, [(0, None, 0, 0)],
                         "point long, threshold double, tp long, fp long")
     curve = pts.unionByName(start)
-    return curve.select(
-        "point", "threshold", "tp", "fp",
-        F.round(F.try_divide(F.col("tp").cast("double"), F.lit(n_pos)), 6).alias("tpr"),
-        F.round(F.try_divide(F.col("fp").cast("double"), F.lit(n_neg)), 6).alias("fpr"))
+    tpr = F.try_divide(F.col("tp").cast("double"), F.lit(n_pos))
+    fpr = F.try_divide(F.col("fp").cast("double"), F.lit(n_neg))
+    if digits is not None:
+        tpr, fpr = F.round(tpr, digits), F.round(fpr, digits)
+    return curve.select("point", "threshold", "tp", "fp", tpr.alias("tpr"), fpr.alias("fpr"))
 
 
 def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score") -> DataFrame:
@@ -135,12 +137,13 @@ def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score") -> Data
 
 
 def youden_threshold(df: DataFrame, y_true: str = "y_true", score: str = "score") -> DataFrame:
-    """Score maximising TPR - FPR; ties go to the higher threshold (the first point)."""
-    curve = roc_curve(df, y_true, score).where(F.col("threshold").isNotNull())
+    """Score maximising the exact TPR - FPR; ties go to the higher threshold (the first point)."""
+    curve = roc_curve(df, y_true, score, digits=None).where(F.col("threshold").isNotNull())
     j = F.col("tpr") - F.col("fpr")
     best = F.max_by(F.struct("threshold", "tpr", "fpr"), F.struct(j, F.col("threshold")))
     return curve.agg(best.alias("b")).select(
-        "b.threshold", "b.tpr", "b.fpr", F.round(F.col("b.tpr") - F.col("b.fpr"), 6).alias("youden_j"))
+        "b.threshold", F.round("b.tpr", 6).alias("tpr"), F.round("b.fpr", 6).alias("fpr"),
+        F.round(F.col("b.tpr") - F.col("b.fpr"), 6).alias("youden_j"))
 
 
 def evaluate_model(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",

@@ -81,4 +81,6 @@ def filter_class(df: DataFrame, label_col: str, value, drop_missing: list[str] |
     out = df.where(F.col(label_col) == F.lit(value))
     for c in drop_missing or []:
         out = out.where(F.col(c).isNotNull())
+        if dict(df.dtypes)[c] in ("double", "float"):
+            out = out.where(~F.isnan(c))
     return out

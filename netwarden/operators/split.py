@@ -69,7 +69,9 @@ def stratified_split(df: DataFrame, label_col: str = "label", key: str = "row_id
             .select(label_col, F.col("_b").alias("_edge"),
                     (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_need")))
     # classes with k = 0 have no edge row: every row is train.
-    labelled = attach_small_left(rows, edge, label_col)
+    # Null-safe: rows without a label are a class of their own.
+    edge = edge.withColumnRenamed(label_col, "_class")
+    labelled = rows.join(edge, F.col(label_col).eqNullSafe(F.col("_class")), "left").drop("_class")
 
     off = labelled.where(F.col("_edge").isNull() | (F.col("_b") != F.col("_edge")))
     off = off.withColumn(split_col, F.when(F.col("_b") < F.col("_edge"), "test").otherwise("train"))

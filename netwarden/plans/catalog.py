@@ -346,9 +346,10 @@ def q_roc_auc(spark, d):
 
 
 @register("youden_threshold", f"""
-SELECT threshold, tpr, fpr, round(tpr - fpr, 6) + 0.0 AS youden_j
-FROM {_ROC_SQL} r WHERE threshold IS NOT NULL
-ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1""")
+SELECT threshold, tpr, fpr, round(j, 6) + 0.0 AS youden_j
+FROM (SELECT *, CAST(tp AS DOUBLE) / max(tp) OVER () - CAST(fp AS DOUBLE) / max(fp) OVER () AS j
+      FROM {_ROC_SQL} r) WHERE threshold IS NOT NULL
+ORDER BY j DESC, threshold DESC LIMIT 1""")
 def q_youden_threshold(spark, d):
     return M.youden_threshold(AD.sc(spark, d))
 
@@ -690,15 +691,7 @@ _LI_COLS = AD.LI_MEASURES
     f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
     f"ELSE stddev_pop({c}) END AS std FROM li" for c in _LI_COLS))
 def q_scaler_fit(spark, d):
-    st = FE.scaler_fit(AD.li(spark, d), _LI_COLS)
-    return st.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
-
-
-ORACLE["scaler_fit"] = V.with_views(
-    "SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM ("
-    + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
-        f"ELSE stddev_pop({c}) END AS std FROM li" for c in _LI_COLS) + ")")
+    return FE.scaler_fit(AD.li(spark, d), _LI_COLS)
 
 
 @register("scale_features", "SELECT " + ", ".join(
@@ -717,7 +710,10 @@ def q_correlation_matrix(spark, d):
     return FE.correlation_matrix(AD.li(spark, d), _LI_COLS)
 
 
-@register("drop_correlated")
+@register("drop_correlated", """
+WITH x AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_extendedprice * (1 + l_tax) AS l_gross FROM li)
+SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM x
+WHERE (SELECT abs(corr(l_extendedprice, l_gross)) > 0.95 FROM x)""")
 def q_drop_correlated(spark, d):
     li = AD.li(spark, d).withColumn("l_gross", F.col("l_extendedprice") * (1 + F.col("l_tax")))
     return FE.drop_correlated(li, _LI_COLS + ["l_gross"], 0.95)

@@ -159,10 +159,12 @@ def stream_window_counts(flows: DataFrame, key_col: str, out_path: str, checkpoi
     return _trigger(w, available_now, processing_time).start()
 
 
-def run_to_end(q: StreamingQuery, timeout_s: int = 600) -> None:
-    """Wait for an availableNow query to drain; raise its error if it failed."""
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+def run_to_end(q: StreamingQuery, timeout_s: int | None = None) -> None:
+    """Wait for an availableNow query to drain (without a limit unless one is given);
+    raise its error if it failed."""
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError("stream did not drain in time")
     if q.exception() is not None:
