@@ -5,7 +5,8 @@ shares an n-gram among the rarest n - ceil(t n) + 1 of either set (the size-deri
 columns of that reduced matrix join classes into candidate clusters, and most classes have
 no partner there. Within a cluster the product of the incidence blocks with their transposes
 accumulates the overlaps, column block by column block; pairs below 100 I >= 85 U are
-discarded and a spanning forest of the linked ones is returned, never all pairs.
+discarded and every linked group of a block leaves as a star around its smallest class, never
+as all pairs.
 
 A cluster of more than ``BLOCK`` classes is cut into blocks. Every block is joined with
 itself and with a few pivots of the cluster; then only classes outside the cluster's main
@@ -107,9 +108,9 @@ def _sets(batches):
              pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "members", "class", "set"])
 
 
-def forest(sets: list[np.ndarray], left: int) -> list[tuple[int, int]]:
-    """Linked pairs that span the components of the sets; with ``left`` < len(sets) only pairs
-    of one of the first ``left`` rows with any other count."""
+def groups(sets: list[np.ndarray], left: int) -> list[list[int]]:
+    """Components (of two or more rows) of the linked pairs of the sets; with ``left`` < len(sets)
+    only pairs of one of the first ``left`` rows with any other count."""
     m = len(sets)
     if m < 2:
         return []
@@ -133,27 +134,29 @@ def forest(sets: list[np.ndarray], left: int) -> list[tuple[int, int]]:
     union = sizes[:left, None] + sizes[None, :] - both
     linked = 100 * both >= PERCENT * union
     linked &= (both > 0) & (np.arange(m)[None, :] != np.arange(left)[:, None])
-    # spanning forest: breadth-first over the linked rows
+    # walk over the linked rows
     seen = np.zeros(m, bool)
-    out: list[tuple[int, int]] = []
+    out: list[list[int]] = []
     for i in range(m):
         if seen[i]:
             continue
         seen[i] = True
-        todo = [i]
+        todo, group = [i], [i]
         while todo:
             x = todo.pop()
             near = linked[x].copy() if x < left else np.zeros(m, bool)
             near[:left] |= linked[:, x]
-            for y in np.flatnonzero(near & ~seen).tolist():
-                seen[y] = True
-                out.append((x, y))
-                todo.append(y)
+            fresh = np.flatnonzero(near & ~seen).tolist()
+            seen[fresh] = True
+            todo += fresh
+            group += fresh
+        if len(group) > 1:
+            out.append(group)
     return out
 
 
 def _link(t: pa.Table) -> pa.Table:
-    """Spanning links of every cluster in one unit. Rows with side 0 are joined with all rows; where no
+    """The linked groups of every cluster in one unit, as stars. Rows with side 0 are joined with all rows; where no
     row has side 0, all rows are."""
     rows = t.select(["cluster", "side", "class", "set"]).to_pylist()
     by: dict[bytes, list] = {}
@@ -165,9 +168,10 @@ def _link(t: pa.Table) -> pa.Table:
         unique = {r["class"]: r["set"] for r in members}               # a pivot may also be of the block
         names = sorted(unique, key=lambda c: (c not in left, c))
         sets = [np.frombuffer(unique[c], np.uint64) for c in names]
-        for x, y in forest(sets, len(left) or len(names)):
-            a.append(names[x])
-            b.append(names[y])
+        for group in groups(sets, len(left) or len(names)):
+            low, *others = sorted(names[x] for x in group)
+            a += others
+            b += [low] * len(others)
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -204,8 +208,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "block": F.when(is_big, F.pmod(F.xxhash64("class"), blocks)).otherwise(0).cast("int"),
         "other": F.lit(0), "side": F.lit(1)})
     big = placed.filter(is_big)
-    links = _links(placed.drop("members").unionByName(_pivots(big)))
-    comps = components(links)
+    comps = components(_links(placed.drop("members").unionByName(_pivots(big))))
     if big.limit(1).count():
         # classes outside the main component of a large cluster meet every class of it
         labels = stored(big.join(comps.select(F.col("node").alias("class"), "component"), "class", "left")
@@ -220,7 +223,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             "block": F.explode(F.sequence(F.lit(0), blocks - 1))}).select(*keep)
         two = labels.join(split, "cluster").withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select(*keep)
-        comps = components(links.union(_links(one.unionByName(two))))
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                           .union(_links(one.unionByName(two))))
     named = rows.groupBy("class").agg(F.min("doc_id").alias("low")).filter("class IS NOT NULL") \
         .join(comps.select(F.col("node").alias("class"), "component"), "class", "left") \
         .withColumn("component", F.coalesce("component", "class"))
