@@ -35,7 +35,7 @@ WORDS = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Classes of one block, pivots of a larger cluster, columns multiplied at once, classes of a bin of small clusters.
-BLOCK, PIVOTS, COLUMNS, BIN = 1024, 8, 4096, 4096
+BLOCK, PIVOTS, COLUMNS, BIN = 1024, 8, 4096, 512
 
 
 def shingles(row: dict, only: list[int] | None = None) -> list[np.ndarray]:
