@@ -85,6 +85,9 @@ def save_models(models: ThreatModels, spark, path: str) -> str:
     rows = [(f, *models.scaler.get(f, (0.0, 1.0)), i) for i, f in enumerate(models.feature_names)]
     spark.createDataFrame(rows, "feature string, mean double, std double, position int") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+    parts = [(models.forest is not None, models.isolation is not None)]
+    spark.createDataFrame(parts, "forest boolean, isolation boolean") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
     if models.forest is not None:
         models.forest.write().overwrite().save(f"{path}/forest")
     if models.isolation is not None:
@@ -93,14 +96,19 @@ def save_models(models: ThreatModels, spark, path: str) -> str:
 
 
 def load_models(spark, path: str) -> ThreatModels:
-    """Load a saved bundle; a missing part raises (like the reference)."""
+    """Load a saved bundle with the models it was saved with. A folder that holds no bundle
+    raises FileNotFoundError; other errors come through as they are."""
+    from pyspark.errors import AnalysisException
     from pyspark.ml import PipelineModel
     from netwarden.operators.isolation import load_isolation
     try:
-        sc = spark.read.parquet(f"{path}/scaler").orderBy("position").collect()
-        forest = PipelineModel.load(f"{path}/forest")
-        iso = load_isolation(spark, f"{path}/isolation")
-    except Exception as e:  # noqa: BLE001
+        parts = spark.read.parquet(f"{path}/parts").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"model files not found under {path}: run training first") from e
+    sc = spark.read.parquet(f"{path}/scaler").orderBy("position").collect()
+    forest = PipelineModel.load(f"{path}/forest") if parts["forest"] else None
+    iso = load_isolation(spark, f"{path}/isolation") if parts["isolation"] else None
     return ThreatModels([r["feature"] for r in sc], {r["feature"]: (r["mean"], r["std"]) for r in sc},
                         forest, iso)

@@ -8,27 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netwarden.operators.features import cast_double, to_feature_vector
+from netwarden.operators.histograms import attach_small
 from netwarden.schema import FOREST_DEFAULTS, IMPORTANCE_FOREST_DEFAULTS
 from netwarden.sources.local import local_table
 
-MAX_CLASSES = 10_000
-
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """(label, n, weight) with weight = n_total / (n_classes * n_class)."""
+    """(label, n, weight) with weight = n_total / (n_classes * n_class), for any number of classes."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(MAX_CLASSES + 1).collect()   # one row per class, fetch bounded
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for class weighting")
-    total, k = sum(r["n"] for r in rows), len(rows)
-    data = [(r[label_col], r["n"], total / (k * r["n"])) for r in rows]
-    return local_table(df.sparkSession, data, f"{label_col} int, n long, weight double")
+    total, k = counts.agg(F.sum("n")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
+    return counts.select(label_col, "n", (total / (k * F.col("n"))).alias("weight"))
 
 
 def balanced_weights(df: DataFrame, label_col: str = "label", weight_col: str = "class_weight") -> DataFrame:
-    """Attach the balanced class weight to every row (broadcast: one row per class)."""
+    """Attach the balanced class weight to every row (the class table is broadcast where its
+    counted size allows it, else joined by a shuffle)."""
     w = class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label_col, "left")
+    return attach_small(df, w, label_col, how="left")
 
 
 def _forest(params: dict, label_col: str, weight_col: str | None) -> RandomForestClassifier:

@@ -1,10 +1,9 @@
 """Isolation forest (Liu, Ting & Zhou, ICDM 2008) as Spark jobs.
 
-* Sampling: each tree gets ``psi = min(max_samples, n)`` rows chosen by a
-  seeded hash.  When ``n >= trees * psi`` the trees take disjoint slices of
-  the ``trees * psi`` smallest hashes (a bounded top-k, no full sort);
-  otherwise each tree ranks all rows by its own hash (n < trees * psi rows,
-  so the per-tree copies are bounded too).
+* Sampling: each tree draws its own ``psi = min(max_samples, n)`` rows without
+  replacement, those with its smallest seeded hashes.  A row is copied only to
+  the trees whose hash cut it passes (about ``2 psi + 64`` rows per tree,
+  whatever n is), so one narrow pass gathers all samples.
 * Growing: ``groupBy(tree).applyInPandas`` — one small group (<= psi rows)
   per tree, grown in numpy.
 * Scoring: the node table has at most ``trees * (2 psi - 1)`` rows; it is
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 
 from netwarden.operators.quantiles import exact_percentiles
 from netwarden.schema import ISOLATION_DEFAULTS
+from netwarden.session import checkpoint_dir
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -57,26 +57,18 @@ class IsolationModel:
 
 
 def _sample(df: DataFrame, key: str, n_trees: int, psi: int, n: int, seed: int) -> DataFrame:
-    k = n_trees * psi
-    if n >= k:
-        h = F.xxhash64(F.lit(seed), F.col(key))
-        hashed = df.withColumn("_h", h)
-        # The k smallest hashes.  A hash cut that keeps ~2k of n rows (a
-        # filter, no shuffle) shrinks the top-k input; if it kept fewer than k
-        # rows the unfiltered top-k is taken instead, so the sample is exact.
-        frac = min(1.0, 2.0 * k / n)
-        cut = min(int(-(2 ** 63) + frac * (2 ** 64 - 1)), 2 ** 63 - 1)
-        cand = hashed.where(F.col("_h") <= F.lit(cut)) if frac < 1.0 else hashed
-        top = cand.orderBy("_h", key).limit(k).checkpoint(eager=True)
-        if top.count() < k:
-            top = hashed.orderBy("_h", key).limit(k).checkpoint(eager=True)
-        # bounded: k rows in one window
-        rn = F.row_number().over(Window.orderBy("_h", key)) - 1
-        return top.withColumn("tree", (rn / psi).cast("int")).drop("_h")
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
-    copies = df.select("*", trees).withColumn("_h", F.xxhash64(F.lit(seed), F.col("tree"), F.col(key)))
+    """The ``psi`` rows of each tree. The cut lets 2 psi + 64 rows of a tree pass on average; that
+    fewer than psi do is out of reach of any real table (below 1e-15)."""
+    share = min(1.0, (2 * psi + 64) / n)
+    cut = min(int(-(2 ** 63) + share * (2 ** 64 - 1)), 2 ** 63 - 1)
+
+    def draw(tree):
+        return F.xxhash64(F.lit(seed), tree, F.col(key))
+
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) <= F.lit(cut))
+    drawn = df.withColumn("tree", F.explode(trees)).withColumn("_h", draw(F.col("tree")))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", key))
-    return copies.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_h", "_r")
+    return drawn.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_h", "_r")
 
 
 def _grower(features: list[str], psi: int, seed: int):
@@ -126,7 +118,8 @@ def train_isolation_forest(train: DataFrame, features: list[str], key: str = "ro
              .applyInPandas(_grower(features, psi, seed), NODE_SCHEMA))
     pdf = nodes.toPandas()                       # <= n_trees * (2 psi - 1) rows
     model = IsolationModel(features, pdf, psi, 0.0, contamination)
-    scored = score_samples(model, train.select(key, *features))
+    checkpoint_dir(train.sparkSession)          # scored once; the quantile reads the stored scores
+    scored = score_samples(model, train.select(*features)).select("if_raw_score").checkpoint(eager=True)
     if exact_threshold:
         model.offset = float(exact_percentiles(scored, ["if_raw_score"], contamination)["if_raw_score"])
     else:
@@ -198,8 +191,8 @@ def score_samples(model: IsolationModel, df: DataFrame) -> DataFrame:
 
 def save_isolation(model: IsolationModel, spark, path: str) -> str:
     spark.createDataFrame(model.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-    meta = [(",".join(model.features), model.psi, model.offset, model.contamination)]
-    spark.createDataFrame(meta, "features string, psi int, offset double, contamination double") \
+    meta = [(list(model.features), model.psi, model.offset, model.contamination)]
+    spark.createDataFrame(meta, "features array<string>, psi int, offset double, contamination double") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return path
 
@@ -207,4 +200,4 @@ def save_isolation(model: IsolationModel, spark, path: str) -> str:
 def load_isolation(spark, path: str) -> IsolationModel:
     m = spark.read.parquet(f"{path}/meta").first()
     nodes = spark.read.parquet(f"{path}/nodes").toPandas()
-    return IsolationModel(m["features"].split(","), nodes, m["psi"], m["offset"], m["contamination"])
+    return IsolationModel(list(m["features"]), nodes, m["psi"], m["offset"], m["contamination"])

@@ -56,24 +56,16 @@ def total_nulls(df: DataFrame) -> DataFrame:
     return null_counts(df).agg(F.sum("n_missing").cast("long").alias("total_missing"))
 
 
-def class_distribution(df: DataFrame, label_col: str = "label",
-                       classes=(0, 1), max_classes: int = 10_000) -> DataFrame:
-    """Count and share (%) per class; classes absent from the data report 0.
-
-    The per-class count table is fetched once (bounded by ``max_classes``) and
-    shares are computed against its total — no single-task window.
-    """
+def class_distribution(df: DataFrame, label_col: str = "label", classes=(0, 1)) -> DataFrame:
+    """Count and share (%) per class; classes absent from the data report 0. Shares are taken
+    against a one-row total inside the plan, for any number of classes."""
+    label = F.col(label_col)
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    dim = local_table(df.sparkSession, [(c,) for c in classes], f"{label_col} int")
-    full = (F.broadcast(dim).join(counts, label_col, "full_outer")
-            .select(label_col, F.coalesce("n", F.lit(0)).cast("long").alias("n")))
-    rows = full.limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError("too many classes for a class distribution")
-    total = float(sum(r["n"] for r in rows))
-    table = local_table(df.sparkSession, [tuple(r) for r in rows], full.schema)
-    return table.select(label_col, "n",
-                        F.round(F.try_divide(F.col("n") * 100.0, F.lit(total)), 6).alias("pct"))
+    asked = local_table(df.sparkSession, [(c, 0) for c in classes], f"{label_col} int, n long") \
+        .select(label.cast(df.schema[label_col].dataType).alias(label_col), "n")
+    full = counts.unionByName(asked).groupBy(label_col).agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").cast("double")).scalar()
+    return full.select(label_col, "n", F.round(F.try_divide(F.col("n") * 100.0, total), 6).alias("pct"))
 
 
 def filter_class(df: DataFrame, label_col: str, value, drop_missing: list[str] | None = None) -> DataFrame:

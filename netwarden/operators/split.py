@@ -16,24 +16,9 @@ PREFIX_HEX = 5  # 20-bit bucket of the hash
 
 
 def sample_n(df: DataFrame, n: int = 5000, key: str = "row_id", seed: int = SPLIT_SEED) -> DataFrame:
-    """Exactly min(n, rows) pseudo-random rows: the n smallest ``(md5(seed:key), key)``.
-
-    On large inputs a cut on the 32-bit hash prefix that keeps ~2n rows (a
-    filter, no shuffle) comes first, so the final top-n never gathers n rows
-    from every partition.  Any row of the true top-n has a prefix at or below
-    the cut whenever at least n rows pass it; otherwise the unfiltered top-n
-    is taken, so the result is always exact.
-    """
-    h = md5_key(key, seed)
-    total = df.count()
-    if total > 4 * n:
-        prefix = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
-        cut = int(2.0 * n / total * 4294967296.0)
-        cand = df.where(prefix <= F.lit(cut))
-        top = cand.orderBy(h, F.col(key)).limit(n).checkpoint(eager=True)
-        if top.count() == n:
-            return top
-    return df.orderBy(h, F.col(key)).limit(n)
+    """Exactly min(n, rows) pseudo-random rows: the n smallest ``(md5(seed:key), key)``, a top-n
+    in every partition before the final one."""
+    return df.orderBy(md5_key(key, seed), F.col(key)).limit(n)
 
 
 def shuffle_rows(df: DataFrame, key: str = "row_id", seed: int = SPLIT_SEED,

@@ -22,18 +22,7 @@ class PipelineResult:
     if_metrics: DataFrame
     detections: DataFrame
     alerts: DataFrame
-    _importances: DataFrame | None = None
-    _importance_params: dict | None = None
-
-    @property
-    def importances(self) -> DataFrame:
-        """Importance table of the quick forest (trained on first use when it was
-        not needed to choose the features)."""
-        if self._importances is None:
-            p = self.prepared
-            self._importances = RF.feature_importances(p.train, p.feature_names,
-                                                       **(self._importance_params or {}))
-        return self._importances
+    importances: DataFrame
 
 
 def run_pipeline(flows: DataFrame, top_n: int = 20, mode: str = "combined",
@@ -46,12 +35,8 @@ def run_pipeline(flows: DataFrame, top_n: int = 20, mode: str = "combined",
     """
     prep = preprocess(flows, key=key)
     train = prep.train.cache()
-    imp = None
-    if len(prep.feature_names) > top_n:       # the ranking decides which features stay
-        imp = RF.feature_importances(train, prep.feature_names, **(importance_params or {}))
-        selected = RF.ranked_features(imp, top_n)
-    else:                                     # every feature stays whatever the ranking
-        selected = list(prep.feature_names)
+    imp = RF.feature_importances(train, prep.feature_names, **(importance_params or {}))
+    selected = RF.ranked_features(imp, top_n)
     forest = RF.train_random_forest(train, selected, **(forest_params or {}))
     iso = IF.train_isolation_forest(train, selected, key=key, **(isolation_params or {}))
     models = ThreatModels(selected, prep.scaler, forest, iso)
@@ -64,4 +49,4 @@ def run_pipeline(flows: DataFrame, top_n: int = 20, mode: str = "combined",
     context = flows.drop("label")
     alerts = sort_alerts(generate_alerts(det.drop("label"), context))
     train.unpersist()
-    return PipelineResult(prep, selected, models, rf_m, if_m, det, alerts, imp, importance_params)
+    return PipelineResult(prep, selected, models, rf_m, if_m, det, alerts, imp)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netwarden.operators import detect as DT
 from netwarden.operators import forest as RF
 from netwarden.operators import isolation as IF
+from netwarden.operators.profile import class_distribution
 from netwarden.operators import metrics as M
 from netwarden.operators.join import AlignmentError, align_predictions
 from netwarden.sources import adapters as AD
@@ -100,3 +101,30 @@ def test_pipeline_alerts_carry_their_own_context(spark):
     assert alerts.count() == n_pos
     assert res.rf_metrics.first()["n_test_samples"] == res.detections.count()
     assert res.importances.count() == len(res.prepared.feature_names)
+
+
+def test_class_tables_take_any_number_of_classes(spark):
+    df = spark.range(24_000).select((F.col("id") % 12_000).cast("int").alias("label"), F.col("id").alias("row_id"))
+    w = RF.class_weights(df)
+    assert w.count() == 12_000 and w.where("n != 2 OR weight != 1.0").isEmpty()
+    assert RF.balanced_weights(df).where("class_weight = 1.0").count() == 24_000
+    dist = class_distribution(df, "label", classes=(0, -1))
+    assert dist.count() == 12_001
+    assert dist.where("label = -1").first()["n"] == 0 and dist.agg(F.sum("n")).first()[0] == 24_000
+
+
+def test_isolation_samples_at_every_size(spark):
+    from netwarden.operators.isolation import _sample
+    for n in (1, 300, 50_000):
+        psi = min(256, n)
+        got = _sample(spark.range(n).toDF("row_id"), "row_id", 8, psi, n, 42)
+        per = got.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("d"))
+        assert {(r["tree"], r["n"], r["d"]) for r in per.collect()} == {(t, psi, psi) for t in range(8)}
+
+
+def test_bundle_with_one_model(spark, em):
+    path = tempfile.mkdtemp(prefix="nw-models-")
+    DT.save_models(DT.ThreatModels(["f00,raw"], {}, None, IF.IsolationModel(
+        ["f00,raw"], IF.train_isolation_forest(em, FEATS[:1], n_trees=2).nodes, 4)), spark, path)
+    loaded = DT.load_models(spark, path)
+    assert loaded.forest is None and loaded.isolation.features == ["f00,raw"]
