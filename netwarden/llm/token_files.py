@@ -18,6 +18,7 @@ a text of any length is one document of one block.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 
@@ -38,6 +39,10 @@ BLOCK_IDS = 1 << 16
 #: str.split() also cuts at these four, the tokenizer does not.
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
+#: Marks that may follow a word; not those of the special tokens.
+_MARKS = ".,;:!?$%&*#+-/=@^_`~()[]{}\"'\\"
+#: Words of one call of the library.
+CALL = 64
 
 # --- variable-length coding ---------------------------------------------------
 _SHIFT = np.arange(0, 8, 2, dtype=np.uint8)
@@ -87,8 +92,14 @@ def read_block(block: bytes) -> list[np.ndarray]:
 
 # --- tokenizing with the library, chunk by chunk --------------------------------
 class Chunked:
-    """The tokenizer drops white space and never joins across it, so a text's ids are
-    the ids of its chunks; the library encodes each chunk that is new to this worker."""
+    """The tokenizer drops white space and never joins across it, so a text's ids are the
+    ids of its chunks; the library encodes what is new to this worker.
+
+    A chunk of letters and then marks is its word's ids and its marks' ids, whatever the
+    case of a-z (tried when the tokenizer is loaded; where it does not hold, every chunk is
+    encoded by itself). Words are encoded many to a call: a word of letters has one
+    id with the word-end suffix or more, so when a call gives as many as it had words, each has
+    exactly one, and there its ids end. Otherwise the call's words are encoded one by one."""
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,22 +107,77 @@ class Chunked:
         self.lib = Tokenizer.from_str(spec.decode())
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bool] = {}
+        vocab = self.lib.get_vocab()
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        #: id -> whether a word ends with it
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+        self.parts = bool(suffix) and self._ids("Ab," + _MARKS + " c") == [
+            i for x in ("ab", "," + _MARKS, "c") for i in self._ids(x)]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.lib.encode(text, add_special_tokens=False).ids
+
+    def _ends_in_letter(self, last: str) -> bool:
+        """Whether a word's last letter is still one when normalised (some become a letter and a combining mark)."""
+        if last not in self.letters:
+            self.letters[last] = self.lib.normalizer.normalize_str(last)[-1].isalpha()
+        return self.letters[last]
+
+    def _learn_each(self, chunks: list[str]) -> None:
+        for k in range(0, len(chunks), 4096):
+            some = chunks[k:k + 4096]
+            for c, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
+                ids = e.ids                      # without offsets, which the files do not hold
+                self.seen[c] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn_words(self, words: list[str]) -> None:
+        calls = [words[k:k + CALL] for k in range(0, len(words), CALL)]
+        for k in range(0, len(calls), 64):
+            some = calls[k:k + 64]
+            for call, e in zip(some, self.lib.encode_batch_fast([" ".join(c) for c in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+                if len(ends) != len(call):
+                    self._learn_each(call)
+                    continue
+                data, lo = ids.tobytes(), 0
+                for word, hi in zip(call, ends.tolist()):
+                    self.seen[word] = data[lo:hi]
+                    lo = hi
+
+    def _learn(self, chunks: set[str]) -> None:
+        seen = self.seen
+        each, words, cut = set(), set(), []
+        for c in chunks:
+            word = c.rstrip(_MARKS)
+            marks = c[len(word):]
+            if not (self.parts and word.isalpha() and (not marks or self._ends_in_letter(word[-1]))):
+                each.add(c)
+                continue
+            if word.isascii():
+                word = word.lower()
+            if word not in seen:
+                words.add(word)
+            if marks not in seen:
+                each.add(marks)
+            if word != c:
+                cut.append((c, word, marks))
+        self._learn_each(list(each))
+        self._learn_words(list(words))
+        for c, word, marks in cut:
+            seen[c] = seen[word] + seen[marks]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers"""
         parts = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
         need = set().union(*parts)
-        need.discard("")
-        new = list(need.difference(self.seen))
+        new = need.difference(self.seen)
         if len(self.seen) + len(new) > CACHE:
-            self.seen = {c: self.seen[c] for c in need if c in self.seen}
-        for k in range(0, len(new), 4096):
-            some = new[k:k + 4096]
-            for c, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids                      # without offsets, which the files do not hold
-                self.seen[c] = struct.pack(f"<{len(ids)}I", *ids)
-        self.seen[""] = b""
+            self.seen = {"": b""} | {c: self.seen[c] for c in need if c in self.seen}
+        self._learn(new)
         get = self.seen.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 

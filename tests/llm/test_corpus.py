@@ -114,6 +114,21 @@ def test_token_files_equal_the_library(docs_of):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
 
 
+def test_chunks_equal_the_library():
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        chunks = token_files.Chunked(f.read())
+    assert chunks.parts
+    rng = random.Random(3)
+    letters = "abXYZ'.,!?$-|<>&#\"019 \t\n\x85\x1c\u3000\u200b\u180e" + "éÉßİıΣςσǅⅠʼ中文。𝒜\u0301\u0338\u0958\u212b\ufb01"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(4000)]
+    texts += [f"ab{chr(i)} {chr(i)}Cd, a{chr(i)}b. {chr(i)}.'" for i in range(0x3100)]
+    texts += ["<|endoftext|>", "abc<|endoftext|>,", "Abc<|StartOfText|>.", "ab'S don'T we'LL, I'm. x's'.", "the" * 5000 + ",",
+              *(f"Word{a}{b}" for a in "abcdefgh" for b in ("", ",", ".", "?!", "\"", "'"))]
+    want = [np.array(e.ids, "<u4").tobytes() for e in chunks.lib.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):                           # new chunks, then known ones
+        assert chunks.encode_all(texts) == want
+
+
 def test_lm_base_score_and_gain(docs_of):
     random.seed(8)
     chain = {w: [f"w{random.randrange(30)}" for _ in range(2)] for w in (f"w{i}" for i in range(30))}
