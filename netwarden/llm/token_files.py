@@ -24,7 +24,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +33,9 @@ from netwarden.session import scratch_path
 
 MAGIC = b"NWTK"
 #: Chunks kept by a Python worker.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Ids of one block, at most one document more.
 BLOCK_IDS = 1 << 16
-#: str.split() also cuts at these four, the tokenizer does not.
-_ODD = regex.compile("[\x1c-\x1f]")
-_SPACE = regex.compile(r"\s+")
 #: Marks that may follow a word; not those of the special tokens.
 _MARKS = ".,;:!?$%&*#+-/=@^_`~()[]{}\"'\\"
 #: Words of one call of the library.
@@ -170,16 +167,25 @@ class Chunked:
         for c, word, marks in cut:
             seen[c] = seen[word] + seen[marks]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: pa.Array | list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers"""
-        parts = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
-        need = set().union(*parts)
-        new = need.difference(self.seen)
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))     # other white space stays in a chunk
+        words = lists.flatten().dictionary_encode()
+        need = words.dictionary.to_pylist()
+        new = {c for c in need if c not in self.seen}
         if len(self.seen) + len(new) > CACHE:
             self.seen = {"": b""} | {c: self.seen[c] for c in need if c in self.seen}
         self._learn(new)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        each = [self.seen[c] for c in need]
+        pool = np.frombuffer(b"".join(each), "<u4")
+        n = np.array([len(x) // 4 for x in each], np.int64)
+        first = np.cumsum(n) - n
+        # the ids of all chunks one after another, then cut by text
+        at = words.indices.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(n[at])])
+        ids = pool[np.repeat(first[at] - ends[:-1], n[at]) + np.arange(ends[-1])]
+        cut = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in zip(cut, cut[1:])]
 
 
 _LOADED: dict[bytes, Chunked] = {}
@@ -200,7 +206,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text")
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(t: pa.Table) -> pa.Table:
-        got = loaded(spec.value).encode_all([x or "" for x in t.column("text").to_pylist()])
+        got = loaded(spec.value).encode_all(t.column("text").combine_chunks().fill_null(""))
         return pa.table({"part": t.column("part"), "seq": t.column("seq"), "doc_id": t.column("doc_id"),
                          "ids": pa.array([_narrow(x + tail) for x in got], pa.binary())})
 
