@@ -1,8 +1,9 @@
 """Licence scan by sentence rules, as DataFrame expressions only.
 
-1. A text is cut into sentences, each sentence is normalised (lower case,
+1. A text is cut into sentences at full stops, semicolons and blank lines (wrapped lines
+   are joined, an SPDX line stands alone), each sentence is normalised (lower case,
    everything but letters and digits to one blank).
-2. A normalised sentence that matches a known licence sentence gets its identifier.
+2. Every known licence sentence in it gets its identifier, in the order of the text.
 3. The document's identifier sequence is matched against ordered licence rules;
    each rule names a licence, and identifiers that a rule has used are taken out
    before the next rule is tried.
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Identifiers of known licence sentences and the pattern of the
-# normalised sentence. The first pattern that matches names the sentence.
+# normalised sentence. The SQL is made of them as they stand, one identifier to a line;
+# the scan takes the wider FORMS and READ that follow from them below.
 _UNDER = "^.*\\b(licensed|released|distributed|available|provided|covered)( \\w+)? (under|by)( the)?( terms of)?( the)? "
 SENTENCES: list[tuple[str, str]] = [
     ("spdx_apache_2", "spdx license identifier apache 2 0"),
@@ -103,29 +105,70 @@ RULES: list[tuple[str, str]] = [
 #: Every known sentence holds one of these (tested), so other sentences need no normalising.
 MARK = ("licen[sc]|copyright|permission|warranty|redistribut|public domain|all rights|cc.by|cc0|creative commons|"
         "provided|released|distributed|available|covered|free software|later version|neither the name")
-#: End of a sentence: a stop, semicolon or colon before white space or the end, or a line end.
+#: End of a sentence in the SQL: a stop, semicolon or colon before white space or the end, or a line end.
 CUT = "[.;:!?]+[ \\t\\r]+|[.;:!?]*\\s*\\n\\s*|[.;:!?]+$"
 
 
+#: End of a sentence in the scan: a stop or semicolon before white space or the end, or a line without letters.
+ENDS = ("(?<!\\b(?:inc|ltd|corp|co))[.]+\\s+|[;!?]+\\s+|\\n[^a-z0-9\\n]*\\n\\s*|[.;!?]+$")
+READS = MARK + "|spdx|version [23]"
+_SPDX = "spdx license identifier "
+UNDER = ("\\b((licensed|released|distributed|available|provided|covered)( \\w+)?|"
+         "redistributed?( it)?( and)?( or)? modif(y|ied)( it)?) (under|by)( the)?( terms of)?( the)? ")
+
+
+def _form(k: str, p: str) -> str:
+    """The pattern of a known sentence anywhere in a longer one."""
+    if p.startswith(_SPDX):              # any member of an expression: MIT OR Apache-2.0
+        return f"(?<={_SPDX}(?:[a-z0-9<>_ ]{{1,80}} (?:or|and) )?){p[len(_SPDX):]}"
+    if p.startswith(_UNDER):
+        return UNDER + p[len(_UNDER):]
+    if k == "or_later":
+        return "\\b(or |at your option )+any later version\\b|^any later version\\b"
+    return p.replace("^", "\\b").replace(".*", "[a-z0-9 ]*")
+
+
+#: What the scan looks for, in order: a match is taken out of the sentence and leaves its identifier.
+FORMS = [(f"spdx_gpl_{v}_later", _form("", f"{_SPDX}gpl {v} 0 or later\\b")) for v in (3, 2)] \
+    + [(k, _form(k, p)) for k, p in SENTENCES] \
+    + [(f"version_{v}", f"^(either )?version {v}( [0-9])?\\b( of| or| only|$)") for v in (3, 2)]
+
+# The version may be a clause of its own, and a BSD notice starts with its copyright lines.
+_BSD = "(<copyright>)*(<all_rights>)?"
+_WIDER = {
+    "(<gpl_free>)?<ref_gpl_3><or_later>": "(<gpl_free>)?(<ref_gpl_3>|<ref_gpl><version_3>)<or_later>|<spdx_gpl_3_later>",
+    "(<gpl_free>)?<ref_gpl_2><or_later>": "(<gpl_free>)?(<ref_gpl_2>|<ref_gpl><version_2>)<or_later>|<spdx_gpl_2_later>",
+    "(<gpl_free>)?<ref_gpl_3>|<spdx_gpl_3>": "(<gpl_free>)?(<ref_gpl_3>|<ref_gpl><version_3>)|<spdx_gpl_3>",
+    "(<gpl_free>)?<ref_gpl_2>|<spdx_gpl_2>": "(<gpl_free>)?(<ref_gpl_2>|<ref_gpl><version_2>)|<spdx_gpl_2>",
+    "<ref_agpl>|<spdx_agpl>": "(<gpl_free>)?<ref_agpl>(<version_[23]>)?(<or_later>)?|<spdx_agpl>",
+    "(<gpl_free>)?<ref_lgpl>|<spdx_lgpl>": "(<gpl_free>)?<ref_lgpl>(<version_[23]>)?(<or_later>)?|<spdx_lgpl>",
+}
+READ = [(k, _BSD + p if p.startswith("<bsd_") else _WIDER.get(p, p)) for k, p in RULES]
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_sentences (known licence sentences), sentence_ids and licenses (both
     joined by commas in text / rule order; empty if none)."""
     t = F.lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    marked = F.filter(F.split(t, CUT, -1), lambda s: s.rlike(MARK))
-    normal = F.transform(marked, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    t = F.when(t.contains("spdx-license-identifier"),
+               F.regexp_replace(t, "(spdx-license-identifier[^\\n]*)", "\n\n$1\n\n")).otherwise(t)
+    marked = F.filter(F.split(t, ENDS, -1), lambda s: s.rlike(READS))
+    normal = F.transform(marked, lambda s: F.trim(F.regexp_replace(
+        F.regexp_replace(s, "(?<=[0-9])\\+", " or later "), "[^a-z0-9]+", " ")))
     df = docs.select("doc_id", normal.alias("s"))
 
-    def name(s):
-        out = F.when(s.rlike(SENTENCES[0][1]), SENTENCES[0][0])
-        for k, p in SENTENCES[1:]:
-            out = out.when(s.rlike(p), k)
-        return out
+    def tagged(s, forms):
+        for k, p in forms:
+            s = F.regexp_replace(s, p, f" <{k}> ")
+        return s
 
-    df = df.select("doc_id", F.filter(F.transform("s", name), lambda k: k.isNotNull()).alias("ids"))
+    rest = [x for x in FORMS if _SPDX not in x[1]]
+    df = df.select("doc_id", F.flatten(F.transform("s", lambda s: F.regexp_extract_all(
+        F.when(s.contains(_SPDX), tagged(s, FORMS)).otherwise(tagged(s, rest)), F.lit("<(\\w+)>"), F.lit(1)))).alias("ids"))
     # Rules in order: state is (rest of the sequence, licences found).
     seq = F.concat(F.lit(""), F.array_join(F.transform("ids", lambda k: F.concat(F.lit("<"), k, F.lit(">"))), ""))
     df = df.select("doc_id", "ids", F.struct(seq.alias("rest"), F.lit("").alias("found")).alias("z"))
-    rules = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("rule")) for k, p in RULES])
+    rules = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("rule")) for k, p in READ])
     # the array is only walked where there is something to match
     z = F.when(F.size("ids") > 0, F.aggregate(rules, F.col("z"), lambda a, r: F.when(
         F.regexp_like(a["rest"], r["rule"]),

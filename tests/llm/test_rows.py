@@ -52,6 +52,58 @@ def test_license_rules(docs_of):
     assert got[6].n_sentences == 0
 
 
+def test_license_notices_in_their_usual_form(docs_of):
+    mit = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+    bsd = """ * Copyright (c) 2017, Some Body, Inc.
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+%s *
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+ * "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+    third = """ * 3. Neither the name of Some Body, Inc. nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software.
+"""
+    gnu = """This %s is free software%s you can redistribute it and/or modify
+it under the terms of the GNU %sGeneral Public License as published by
+the Free Software Foundation%s either version %s of the License, or
+(at your option) any later version.
+
+It is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY.  See the GNU General Public License for more details."""
+    spdx = "# SPDX-License-Identifier: %s\nimport os"
+    cases = [(mit, "MIT"), (mit.replace("\n\n", "\n"), "MIT"), (bsd % third, "BSD-3-Clause"), (bsd % "", "BSD-2-Clause"),
+             (gnu % ("program", ":", "", ",", "3"), "GPL-3.0-or-later"), (gnu % ("program", ";", "", ";", "2"), "GPL-2.0-or-later"),
+             (gnu % ("library", ";", "Lesser ", ";", "2.1"), "LGPL"), (gnu % ("program", ":", "Affero ", ",", "3"), "AGPL"),
+             (spdx % "MIT", "MIT"), (spdx % "Apache-2.0", "Apache-2.0"), (spdx % "BSD-3-Clause", "BSD-3-Clause"),
+             (spdx % "BSD-2-Clause", "BSD-2-Clause"), (spdx % "GPL-3.0-only", "GPL-3.0"), (spdx % "GPL-2.0", "GPL-2.0"),
+             (spdx % "GPL-2.0-or-later", "GPL-2.0-or-later"), (spdx % "GPL-3.0+", "GPL-3.0-or-later"),
+             (spdx % "LGPL-2.1-only", "LGPL"), (spdx % "AGPL-3.0", "AGPL"), (spdx % "MPL-2.0", "MPL-2.0"),
+             (spdx % "(MIT OR Apache-2.0)", "Apache-2.0,MIT"),
+             ("Released under the MIT License\nLicensed under the Apache License, Version 2.0\n", "Apache-2.0,MIT")]
+    got = {r.doc_id: r.licenses for r in license_scan.scan(docs_of([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class=has-sidebar>
 <header><a href=/>Home</a></header><nav><ul><li><a href=x>Menu</a></ul></nav><!-- <p>no</p> -->
 <div class="ad">Buy, now, this.</div><div id=cookie-notice>We use cookies, sure.</div>
