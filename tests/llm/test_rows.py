@@ -121,6 +121,28 @@ def test_html():
     assert html_extract.extract("a < b") == "a < b"
 
 
+def test_html_names_of_wrappers():
+    paras = [f"Paragraph {i} of the text, with a clause, and some more words to read in it." for i in range(8)]
+    body, want = "".join(f"<p>{x}</p>" for x in paras), "\n".join(paras)
+    side = '<div class="cookie-notice">We use cookies, sure.</div><div class="sidebar-left"><p>Popular, short, now.</p></div>'
+    foot = '<div class="comments-area"><p>A reader comment, rather long, really.</p></div><footer>&copy; me</footer>'
+    for name in ("elementor-widget elementor-widget-text-editor", "layout sidebar-right", "site nav-fixed",
+                 "post comment-enabled", "entry share-enabled", "widget", "related"):
+        inner = f'<div class="{name}">{body}<div class="share-buttons">Share</div></div>'
+        assert html_extract.extract(f"<nav>Menu</nav>{side}<div class=page>{inner}</div>{foot}") == want, name
+    some = "".join(f'<div class="elementor-widget elementor-widget-text">{x}</div>' for x in paras)
+    assert html_extract.extract(f"<div class=page>{some}</div>{foot}") == want
+    for name in ("widget", "related", "notice", "notice-text", "alert alert-info"):
+        page = f'<article>{body}<p class="{name}">{paras[0]}</p><div class="related-posts"><a href=x>{paras[1]}</a></div></article>{foot}'
+        assert html_extract.extract(page) == want + "\n" + paras[0], name
+    # the names still count: small boxes go, a long one does not outweigh the text
+    assert html_extract.extract(f'<div class=page>{body}</div><div class="comments-area">{body[:260]}</div>') == want
+    talk = "".join(f"<p>Comment {i} by a reader, with a view, and more to say about all that.</p>" for i in range(20))
+    for name in ("text", "post share-enabled"):
+        assert html_extract.extract(f'<div class="{name}">{body}</div><div class="comments-area">{talk}</div>') == want
+    assert html_extract.extract(f"<div class=sidebar>{body}</div><article><p>Short, plain text.</article>") == "Short, plain text."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
     got = html_extract.extract_pages(pages).collect()
