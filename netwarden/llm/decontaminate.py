@@ -17,6 +17,8 @@ a text counts once, with its fewest edits.
 """
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -165,7 +167,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list:
             for k in range(n)]
 
 
-_INDEX: dict[int, Items] = {}
+_INDEX: dict[str, Items] = {}
 
 
 def _index(bc) -> Items:
@@ -176,10 +178,11 @@ def _index(bc) -> Items:
 
 
 class _Ref:
-    """A broadcast block and the name under which workers keep its index."""
+    """A broadcast block and the name under which workers keep its index: made afresh for every
+    block, as workers outlive the handles."""
 
     def __init__(self, bc):
-        self.bc, self.id = bc, id(bc)
+        self.bc, self.id = bc, uuid.uuid4().hex
 
     @property
     def value(self):

@@ -215,3 +215,12 @@ def test_leaks_equal_brute_force(docs_of, spark):
     kept = decontaminate.drop_leaking(docs, bench)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_index_belongs_to_its_block():
+    class Block:
+        def __init__(self, value):
+            self.value = value
+
+    for k in range(50):                          # freed handles, whose addresses are used again
+        assert decontaminate._index(decontaminate._Ref(Block([(k, f"item {k} of a benchmark")]))).ids == [k]
