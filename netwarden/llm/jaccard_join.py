@@ -246,11 +246,12 @@ def _pivots(big: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with one of each component (the first in the input's row order); texts without
-    words stay. The input must be a stored table, whose row order is the same in every read."""
+    words stay. The numbered rows are stored: numbers follow the partitions, which another read
+    of the input may pack otherwise."""
     rid = "_row"
     while rid in docs.columns:
         rid += "_"
-    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    rows = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "ngram-input")
     found = near_duplicates(rows, rid, text)
     gone = stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias(rid)), "ngram-gone")
     return rows.join(small(gone), rid, "left_anti").drop(rid)

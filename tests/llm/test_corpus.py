@@ -60,6 +60,27 @@ def test_jaccard_equals_brute_force(docs_of, monkeypatch, block):
     assert kept.columns == docs.columns and kept.count() == len({c for _, c in want.values()})
 
 
+def test_keep_one_when_partitions_change(docs_of, spark, monkeypatch):
+    from netwarden.llm.common import stored
+    random.seed(3)
+    texts = [" ".join(random.choice("abcdefghijkl") for _ in range(30)) for _ in range(40)]
+    docs = stored(docs_of(list(enumerate(texts + texts[::2])), parts=8), "t-packed")
+    find = jaccard_join.near_duplicates
+
+    def then_repack(*args):
+        found = stored(find(*args), "t-found")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return found
+    monkeypatch.setattr(jaccard_join, "near_duplicates", then_repack)
+    try:
+        kept = sorted(r.text for r in jaccard_join.keep_one(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert kept == sorted(texts)
+
+
 def test_components(spark):
     random.seed(1)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
