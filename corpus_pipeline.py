@@ -3,7 +3,7 @@ written as Parquet in the shared folder and reread as the next one's input; ever
 works on all rows that its predecessor kept, and its decisions take effect.
 
 1. quality rules: documents that fail the base rules, or whose host is rejected, go
-2. n-gram Jaccard join: one document of each group of near copies stays
+2. n-gram Jaccard join (five words, 0.8): one document of each group of near copies stays
 3. suffix-array dedup: 200-byte strings that repeat across the kept texts are cut out
 4. benchmark decontamination: documents that hold a benchmark item go
 5. BPE encoding: digests of the token ids and of the decoded text
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

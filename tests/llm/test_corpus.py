@@ -60,6 +60,16 @@ def test_jaccard_equals_brute_force(docs_of, monkeypatch, block):
     assert kept.columns == docs.columns and kept.count() == len({c for _, c in want.values()})
 
 
+def test_near_copy_stage_takes_five_words_and_80_percent(docs_of, spark):
+    import corpus_pipeline
+    base = [f"w{i}" for i in range(100)]
+    near = base[:-8] + [f"v{i}" for i in range(8)]           # 88 of 104 five-word n-grams: 0.846
+    far = base[:-12] + [f"u{i}" for i in range(12)]          # 84 of 108: 0.778
+    docs = docs_of([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], parts=1)
+    assert corpus_pipeline.near_copies(spark, docs, SMALL).count() == 2
+    assert jaccard_join.near_duplicates(docs).filter("doc_id = component_id").count() == 3
+
+
 def test_keep_one_when_partitions_change(docs_of, spark, monkeypatch):
     from netwarden.llm.common import stored
     random.seed(3)
