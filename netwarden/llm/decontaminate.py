@@ -5,7 +5,9 @@ white space removed, UTF-8 bytes). An occurrence of an item of m bytes with at m
 edits shares at least m + 1 - q - q e of its q-grams with the text, on diagonals that lie
 within 2 e + 1 of each other; so shared q-grams are counted in overlapping diagonal bands
 (width 4 e + 2, half overlapping), the bands that reach the bound are kept, and each is
-verified by a banded alignment of the whole item.
+verified by a banded alignment of the whole item. Short items for which that bound is
+below 1 are looked for by e + 1 pieces, one of which e edits leave whole, and verified
+alike.
 
 The benchmark is the query set: it is broadcast in blocks of a bounded number of bytes,
 and every text meets every block.
@@ -102,6 +104,13 @@ class Items:
         e = np.array(self.edits, np.int64)
         self.width = 2 * e + 1                               # bands of 2 widths, each starting a width later
         self.least = np.maximum(1, np.array([len(b) for b in self.bytes], np.int64) + 1 - Q - Q * e)
+        # e edits leave one of e + 1 pieces whole: the filter of items whose bound is below 1
+        self.pieces: list[tuple[int, int, bytes]] = []
+        for k, b in enumerate(self.bytes):
+            n = self.edits[k] + 1
+            if len(b) >= Q and len(b) + 1 - Q * n < 1:
+                cuts = [len(b) * x // n for x in range(n + 1)]
+                self.pieces += [(k, lo, b[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
 
     @staticmethod
     def _slot(c: np.ndarray) -> np.ndarray:
@@ -154,6 +163,16 @@ class Items:
                 edits = aligned(np.frombuffer(self.bytes[k], np.uint8), text[lo:hi], first - lo, width, most)
                 if edits <= most:
                     found[k] = min(edits, found.get(k, edits))
+        for k, offset, piece in self.pieces:
+            m, most, at = len(self.bytes[k]), self.edits[k], data.find(piece)
+            while at >= 0 and found.get(k) != 0:
+                first = at - offset - most
+                lo, hi = max(0, first - most), min(len(data), first + 3 * most + m)
+                edits = aligned(np.frombuffer(self.bytes[k], np.uint8), np.frombuffer(data[lo:hi], np.uint8),
+                                first - lo, 2 * most, most)
+                if edits <= most:
+                    found[k] = min(edits, found.get(k, edits))
+                at = data.find(piece, at + 1)
         return sorted(found.items())
 
 

@@ -224,3 +224,20 @@ def test_index_belongs_to_its_block():
 
     for k in range(50):                          # freed handles, whose addresses are used again
         assert decontaminate._index(decontaminate._Ref(Block([(k, f"item {k} of a benchmark")]))).ids == [k]
+
+
+def test_short_items_with_edits_equal_brute_force():
+    random.seed(7)
+    some = lambda n: bytes(random.choice(b"abcdefgh") for _ in range(n))
+    items = [some(m) for m in range(8, 41)]
+    index = decontaminate.Items([(i, b.decode()) for i, b in enumerate(items)])
+    for _ in range(6):
+        for b in items:
+            body, e = bytearray(b), int(len(b) * decontaminate.MAX_EDITS)
+            for x in range(e):                       # spread evenly, so that few 8-grams stay whole
+                at = len(b) * (x + 1) // (e + 1)
+                body[at:at + 1] = random.choice([b"", b"z", body[at:at + 1] + b"z"])
+            text = some(random.randrange(30)) + bytes(body) + some(random.randrange(30))
+            want = [(i, n) for i, x in enumerate(items)
+                    if (n := _edits(x, text)) <= int(len(x) * decontaminate.MAX_EDITS)]
+            assert index.find(text) == want
