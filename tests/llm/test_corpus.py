@@ -230,3 +230,92 @@ def test_pipeline_stages(spark):
         assert docs.count() <= before
         before = docs.count()
     assert before > 0
+
+
+def _near(a, b, size=5, percent=80):
+    a, b = (frozenset(tuple(w[i:i + size]) for i in range(len(w) - size + 1)) for w in (a.lower().split(), b.lower().split()))
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
+def _good(rows):
+    """Rows of (doc_id, text, source) that the base rules and the host verdicts leave."""
+    measured = []
+    for _, t, host in rows:
+        w, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+        grams = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+        seen = collections.Counter(grams)
+        repeat = len({i + k for i, g in enumerate(grams) if seen[g] > 1 for k in range(3)})
+        chars = sum(map(len, w))
+        measured.append((host, len(w) < 50, 100 * repeat > 50 * len(w), 2 * sum(c in "#*$%&|<>" for c in t) > len(w),
+                         10 * (len(lines) - len(set(lines))) > 3 * len(lines), chars < 2 * len(w) or chars > 14 * len(w)))
+    size = collections.Counter(m[0] for m in measured)
+    bad = set()
+    for rule in range(1, 6):
+        fails = collections.Counter(m[0] for m in measured if m[rule])
+        mean, rates = sum(fails.values()) / len(rows), [fails[h] / n for h, n in size.items()]
+        var = sum(x * x for x in rates) / len(rates) - (sum(rates) / len(rates)) ** 2
+        k = mean * (1 - mean) / var - 1 if var > 0 else 0
+        k = k if k > 0 else 10
+        bad |= {h for h, n in size.items() if (fails[h] + mean * k) / (n + k) > 0.75}
+    return [r for r, m in zip(rows, measured) if not m[1] and not m[2] and m[0] not in bad], bad
+
+
+def test_pipeline_equals_a_plain_chain(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from netwarden.llm import decontaminate
+    from test_rows import _edits
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, prose(rng.randint(60, 90)), f"h{i % 4}") for i in range(24)]
+    swap = lambda t, n: " ".join(t.split()[:-n] + prose(n).split())
+    rows += [(30, rows[0][1], "h0"), (31, swap(rows[1][1], 4), "h1"), (32, swap(rows[2][1], 30), "h2")]    # copy, near, far
+    passage = prose(40)
+    rows += [(40 + i, f"{prose(55)} {passage} {prose(5)}", "h3") for i in range(3)]
+    items = [(1, prose(14)), (2, prose(14)), (3, prose(14))]
+    rows += [(50, f"{prose(30)} {items[0][1].upper()}! {prose(30)}", "h0"),
+             (51, f"{prose(30)} {items[1][1][:20]}{items[1][1][22:]} {prose(30)}", "h1")]
+    rows += [(60, "short", "h0"), (61, "a b c " * 40, "h1")] + [(70 + i, prose(70 if i < 1 else 9), "bad") for i in range(20)]
+    spark.createDataFrame([(i, t, "en", h, len(t)) for i, t, h in rows],
+                          "doc_id long, text string, lang string, source string, n_chars long") \
+        .coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    want = {}
+    kept, bad = _good(rows)
+    assert bad == {"bad"}
+    want["quality_rules"] = {i: t for i, t, _ in kept}
+    first, up = [], {}
+    texts = list(want["quality_rules"].items())
+    for i, t in texts:
+        twin = [up[j] for j, x in texts[:len(up)] if _near(t, x)]
+        up[i] = min(twin, default=i)
+        if not twin:
+            first.append(i)
+    want["jaccard_join"] = {i: t for i, t in texts if i in first}
+    seen = collections.Counter(t[i:i + 200] for t in want["jaccard_join"].values() for i in range(len(t) - 199))
+    rest = {}
+    for i, t in want["jaccard_join"].items():
+        gone = {k for j in range(len(t) - 199) if seen[t[j:j + 200]] > 1 for k in range(j, j + 200)}
+        rest[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+    want["suffix_dedup"] = rest
+    norm = decontaminate.normal
+    want["decontaminate"] = {i: t for i, t in rest.items()
+                             if all(_edits(norm(x), norm(t)) > int(len(norm(x)) * 0.1) for _, x in items)}
+    assert [len(x) for x in want.values()] == [32, 30, 30, 28] and rest != want["jaccard_join"]
+
+    steps, store = {}, corpus_pipeline.stored
+
+    def spy(df, name):
+        steps[name.removeprefix("pipeline-")] = out = store(df, name)
+        return out
+    monkeypatch.setattr(corpus_pipeline, "stored", spy)
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for name, texts in want.items():
+        got = steps[name].collect()
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == sorted((i, t, len(t)) for i, t in texts.items()), name
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: lib.encode(t, add_special_tokens=False).ids for i, t in want["decontaminate"].items()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert sorted(map(tuple, last)) == sorted((i, len(x), sha(np.array(x, "<u4").tobytes()),
+                                               sha(want["decontaminate"][i].encode())) for i, x in ids.items())
