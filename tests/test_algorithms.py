@@ -10,7 +10,7 @@ from netwarden.operators.quantiles import exact_percentiles
 from netwarden.operators.windows import flow_window_features
 from netwarden.sources import adapters as AD
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 
 
 def test_bracketed_quantile_matches_exact(spark):

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as E
 from oracle_check import compare, duck
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 
 ORACLES = E.oracle_sql()
 QUERIES = E.queries()

@@ -8,7 +8,7 @@ from netwarden.schema import ALERT_SCHEMA, METRICS_SCHEMA
 from netwarden.sources import adapters as AD
 from netwarden.sources import files as IO
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 
 
 def test_missing_alert_log_and_metrics_are_empty(spark):

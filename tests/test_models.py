@@ -12,7 +12,7 @@ from netwarden.operators import metrics as M
 from netwarden.operators.join import AlignmentError, align_predictions
 from netwarden.sources import adapters as AD
 
-from conftest import SF_ORACLE
+from scales import SF_ORACLE
 
 FEATS = ["f00", "f01", "f02", "f03", "f04"]
 

@@ -8,7 +8,7 @@ from netwarden.operators import panels as P
 from netwarden.sources import adapters as AD
 from netwarden.streaming import streams as ST
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 
 
 def _files(spark):
