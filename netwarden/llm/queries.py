@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, decontaminate, html_extract, jaccard_join, license_scan, lm_score, quality_rules, reshard, suffix_dedup, token_files
+from netwarden.llm import bpe, byte_tokens, decontaminate, html_extract, jaccard_join, license_scan, lm_score, quality_rules, reshard, suffix_dedup, token_alignment, token_files
 from netwarden.llm.common import read
 
 QUERIES = {}
@@ -71,3 +71,17 @@ def op3(spark, d):
 @_query("op8_suffix_dedup")
 def op8(spark, d):
     return suffix_dedup.dedup_report(read(spark, d, "documents"))
+
+
+@_query("op13_byte_tokens")
+def op13(spark, d):
+    import public_tokenizers
+    return byte_tokens.token_digests(read(spark, d, "documents"),
+                                     public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op12_token_alignment")
+def op12(spark, d):
+    import public_tokenizers
+    return token_alignment.alignment_report(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                            public_tokenizers.path("piece_bpe_32k.model"))
