@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, byte_tokens, decontaminate, html_extract, jaccard_join, license_scan, lm_score, quality_rules, reshard, suffix_dedup, token_alignment, token_files
+from netwarden.llm import bpe, byte_tokens, decontaminate, html_extract, jaccard_join, license_scan, lm_score, quality_rules, reshard, spelling_variants, suffix_dedup, token_alignment, token_files
 from netwarden.llm.common import read
 
 QUERIES = {}
@@ -85,3 +85,8 @@ def op12(spark, d):
     import public_tokenizers
     return token_alignment.alignment_report(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                             public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op11_spelling_variants")
+def op11(spark, d):
+    return spelling_variants.variants(read(spark, d, "documents"))
