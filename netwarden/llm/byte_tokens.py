@@ -41,7 +41,7 @@ from netwarden.llm.bpe import byte_letters
 from netwarden.llm.common import map_batches
 
 #: White space of Unicode, which the patterns' \s means.
-_SPACES = "\t-\r \x85\xa0  -     　"
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 #: Chunks kept by a Python worker.
 CACHE = 300_000

@@ -1,6 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -32,15 +33,37 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
 
 
+#: Folders and catalogue tables that this driver has stored and not released, in order.
+MADE: list[tuple[str, str | None]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back: the
     lineage is cut and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    MADE.append((path, None))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that `make` plans, stored; all that was stored on the way to it is deleted, and the
+    collector is asked to drop the shuffles that no plan holds any more."""
+    mark = len(MADE)
+    out = stored(make(), name)
+    spark, kept = out.sparkSession, MADE.pop()
+    for path, table in MADE[mark:]:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    MADE[mark:] = [kept]
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a stored table whose counted size allows it; a larger
     one is left to a shuffled join."""

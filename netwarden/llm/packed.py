@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.llm.common import map_arrow
+from netwarden.llm.common import MADE, map_arrow
 from netwarden.session import scratch_path
 
 #: Tokens of one chunk (or one longer document) and distinct keys of one bucket, about.
@@ -135,7 +135,9 @@ def bucketed(df: DataFrame, name: str, n: int) -> DataFrame:
     """A table stored in the shared folder in n buckets by chunk (joins on chunk need no shuffle)."""
     spark = df.sparkSession
     table = f"netwarden_{name}_{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(n, "chunk").option("path", scratch_path(spark, table)).option("compression", "zstd") \
+    path = scratch_path(spark, table)
+    MADE.append((path, table))
+    df.write.bucketBy(n, "chunk").option("path", path).option("compression", "zstd") \
         .format("parquet").saveAsTable(table)
     return spark.table(table)
 

@@ -22,6 +22,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import struct
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,16 @@ from pyspark.sql import functions as F
 
 from netwarden.llm.bpe import byte_letters
 from netwarden.llm.common import map_arrow, stored
-from netwarden.llm.packed import planes, unplanes
+from netwarden.llm.packed import bucketed, planes, table_buckets, unplanes
 
-#: Bytes of text of one chunk, and of one call of the tokenizers (or one longer document).
-CHUNK_BYTES, CALL_BYTES = 8 << 20, 1 << 20
+#: Bytes of text of one chunk of documents, and of one call of the tokenizers (or one longer document).
+CHUNK_BYTES, CALL_BYTES = 3 << 20, 1 << 19
+#: Chunks of text kept by a Python worker.
+CACHE = 250_000
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD = f"[{_SPACES}]*[^{_SPACES}]*"
+#: A blank and all up to the next one that follows other than white space.
+CHUNK = re.compile(f" {_WORD}(?:[{_SPACES.replace(' ', '')}]{_WORD})*")
 
 
 class Pair:
@@ -60,20 +70,89 @@ class Pair:
             piece = self.b.id_to_piece(i)
             table_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.bytes_a, self.bytes_b = pa.array(table_a, pa.binary()), pa.array(table_b, pa.binary())
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in t]) for t in (table_a, table_b))
         #: decimal ids, followed by nothing, a comma, a bar or a semicolon
         self.size = max(len(table_a), len(table_b))
         self.decimal = pa.array([f"{i}{mark}" for mark in ("", ",", "|", ";") for i in range(self.size)])
 
+        # texts may be cut where a blank follows other than white space: the byte-level pattern starts a
+        # pre-token there, and no piece holds the metaspace after another character (tried here; texts
+        # are encoded whole for a model with such pieces, or one that normalises)
+        whole = "".join([self.b.id_to_piece(i) for i in self.b.encode("  a   b  ")])
+        self.cut = whole == "▁▁▁a▁▁▁b▁▁" and not any(
+            "▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        self.blank = self.b.piece_to_id("▁")
+        #: chunk (with the blank before it) -> its ids of both tokenizers, little-endian, 32 bits
+        self.seen: dict[str, tuple[bytes, bytes]] = {}
+
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """ids of texts that begin with a blank"""
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)                # it puts the blank there itself
+        return a, [y if len(t) > 1 else [self.blank] for t, y in zip(texts, b)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Many chunks to a text: their ids end where their bytes do. A chunk that ends in white space would
+        join the next one's blank, and the metaspace loses bytes: those are encoded alone."""
+        alone = [c for c in chunks if c[-1].isspace() or "▁" in c]
+        chunks = [c for c in chunks if not c[-1].isspace() and "▁" not in c]
+        for k in range(0, len(chunks), 4096):
+            some = chunks[k:k + 4096]
+            got = self._encode(["".join(some[j:j + 128]) for j in range(0, len(some), 128)])
+            ends = np.cumsum([len(c.encode()) for c in some])
+            cut = []
+            for lists, sizes in zip(got, (self.sizes_a, self.sizes_b)):
+                flat = np.fromiter(chain.from_iterable(lists), np.int64)
+                at = np.cumsum(sizes[flat])
+                places = np.searchsorted(at, ends)
+                if at[-1] != ends[-1] or (at[places] != ends).any():
+                    break
+                data, places = flat.astype("<u4").tobytes(), ((places + 1) * 4).tolist()
+                cut.append([data[x:y] for x, y in zip([0, *places], places)])
+            if len(cut) == 2:
+                self.seen.update(zip(some, zip(*cut)))
+            else:
+                alone += some
+        for k in range(0, len(alone), 4096):
+            some = alone[k:k + 4096]
+            self.seen.update(zip(some, zip(*(list(map(_packed, x)) for x in self._encode(some)))))
+
+    def _rows(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        try:
+            return list(map(self.seen.__getitem__, chunks))
+        except KeyError:
+            need = set(chunks)
+            new = [c for c in need if c not in self.seen]
+            if len(self.seen) + len(new) > CACHE:
+                self.seen = {c: self.seen[c] for c in need if c in self.seen}
+            self._learn(new)
+            return list(map(self.seen.__getitem__, chunks))
+
     def lists(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """The ids of both tokenizers; none for a text that one of them does not give back."""
-        a = pa.array([e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)],
-                     pa.list_(pa.int32()))
-        b = pa.array(self.b.encode(texts, num_threads=1), pa.list_(pa.int32()))
+        chunks = [CHUNK.findall(" " + t) if self.cut else [" " + t] for t in texts]
+        ids: tuple[list, list] = ([], [])
+        every = [c for x in chunks for c in x]
+        for k in range(0, len(every), CACHE // 2):
+            rows = self._rows(every[k:k + CACHE // 2])
+            for out, side in zip(ids, (0, 1)):
+                out += map(itemgetter(side), rows)
+        of_text = np.concatenate([[0], np.cumsum([len(x) for x in chunks])])
         same = np.array([t != "" for t in texts])
-        for lists, table in ((a, self.bytes_a), (b, self.bytes_b)):
-            same &= [got == b" " + t.encode() for got, t in zip(_joined(lists, table), texts)]
+        lists = []
+        for got, table in zip(ids, (self.bytes_a, self.bytes_b)):
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) // 4])[of_text]
+            flat = np.frombuffer(b"".join(got), "<u4").astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+            same &= [x == b" " + t.encode() for x, t in zip(_joined(lists[-1], table), texts)]
+        if same.all():
+            return tuple(lists)
         none = pa.scalar([], pa.list_(pa.int32()))
-        return tuple(pc.if_else(pa.array(same), x, none) for x in (a, b))
+        return tuple(pc.if_else(pa.array(same), x, none) for x in lists)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _joined(lists: pa.ListArray, table: pa.Array) -> list[memoryview]:
@@ -177,8 +256,8 @@ def _calls(batches, text: str = "text"):
 
 
 def aligned_chunks(docs: DataFrame, byte_level: str, pieces: str, text: str = "text") -> DataFrame:
-    """The stored chunks (schema CHUNKS): documents, their digests, and their links as places in
-    the chunk's distinct pairs with the pairs' counts in the chunk."""
+    """The stored chunks (schema CHUNKS, bucketed by chunk): documents, their digests, and their links as
+    places in the chunk's distinct pairs with the pairs' counts in the chunk."""
     files = _files(docs.sparkSession, byte_level, pieces)
 
     def run(batches):
@@ -206,11 +285,13 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: str, text: str = "t
             size += n
             if size >= CHUNK_BYTES:
                 yield row()
+                pa.default_memory_pool().release_unused()
                 chunk, names, stats, links, digests, size = chunk + 1, [], [], [], [], 0
         if names:
             yield row()
 
-    return stored(map_arrow(docs.selectExpr("doc_id", f"`{text}` AS text"), run, CHUNKS), "aligned-chunks")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first().n
+    return bucketed(map_arrow(docs.selectExpr("doc_id", f"`{text}` AS text"), run, CHUNKS), "aligned", table_buckets(size))
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:
@@ -248,6 +329,6 @@ def alignment_report(docs: DataFrame, byte_level: str, pieces: str, text: str =
     own = chunks.select("chunk", F.posexplode("pairs").alias("at", "pairs"))
     back = (own.join(pair_counts(chunks).select("pairs", "n", "best"), "pairs").groupBy("chunk")
             .agg(F.collect_list(F.struct("at", "n", F.col("best").cast("bigint").alias("best"))).alias("counts")))
-    each = chunks.select("chunk", "doc_ids", *_PER_DOC, "groups_sha256", "links").join(back, "chunk", "left")
+    each = chunks.select("chunk", "doc_ids", *_PER_DOC, "groups_sha256", "links").join(back.hint("merge"), "chunk", "left")
     return map_arrow(each.drop("chunk"), _score, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
                      "n_best bigint, count_sum bigint, groups_sha256 string")
