@@ -1,8 +1,8 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length coding.
 
-The documents are range-partitioned by doc_id and tokenized in that order (the ids
-are stored once, two or four bytes each); the ids are counted over the corpus and
-ranked, the most frequent first, so that most ranks fit one byte. Files hold blocks
+The documents are tokenized where they lie (the ids are stored once, two or four bytes
+each); the ids are counted over the corpus and ranked, the most frequent first, so that
+most ranks fit one byte. The narrow ids are range-partitioned by doc_id; files hold blocks
 of documents: a control stream (two bits per id: the number of its bytes less one)
 apart from the data stream, read back by a table of 256 control bytes in numpy.
 
@@ -12,7 +12,7 @@ File format (one binary record per block, in Parquet rows `part, seq, block`):
 The rank table is the file set's `ranks` table (rank -> id).
 
 Defined cases: a null text counts as empty and holds only the end id; documents are
-ordered by doc_id (nulls first), equal ids by text; an empty table gives empty files;
+ordered by doc_id (nulls first), equal ones by their token ids; an empty table gives empty files;
 a text of any length is one document of one block.
 """
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netwarden.llm.common import map_arrow, map_batches, stored
+from netwarden.llm.common import MADE, map_arrow, map_batches, stored
 from netwarden.session import scratch_path
 
 MAGIC = b"NWTK"
-#: Chunks kept by a Python worker.
-CACHE = 1_000_000
 #: Ids of one block, at most one document more.
 BLOCK_IDS = 1 << 16
-#: Marks that may follow a word; not those of the special tokens.
-_MARKS = ".,;:!?$%&*#+-/=@^_`~()[]{}\"'\\"
-#: Words of one call of the library.
-CALL = 64
+#: Chunks of one call of the library, and bytes of ids of one part of the files, about.
+CALL, PART_BYTES = 64, 16 << 20
 
 # --- variable-length coding ---------------------------------------------------
 _SHIFT = np.arange(0, 8, 2, dtype=np.uint8)
@@ -89,14 +85,11 @@ def read_block(block: bytes) -> list[np.ndarray]:
 
 # --- tokenizing with the library, chunk by chunk --------------------------------
 class Chunked:
-    """The tokenizer drops white space and never joins across it, so a text's ids are the
-    ids of its chunks; the library encodes what is new to this worker.
-
-    A chunk of letters and then marks is its word's ids and its marks' ids, whatever the
-    case of a-z (tried when the tokenizer is loaded; where it does not hold, every chunk is
-    encoded by itself). Words are encoded many to a call: a word of letters has one
-    id with the word-end suffix or more, so when a call gives as many as it had words, each has
-    exactly one, and there its ids end. Otherwise the call's words are encoded one by one."""
+    """The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
+    chunks. The distinct chunks of a batch are encoded many to a call, a blank between them; a call's ids
+    are cut where as many bytes are used up as a chunk has. Where that does not come out (special tokens,
+    white space inside a chunk, letters whose normal form is longer or shorter), the chunks of the call
+    are encoded one by one."""
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -104,86 +97,49 @@ class Chunked:
         self.lib = Tokenizer.from_str(spec.decode())
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.seen: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bool] = {}
         vocab = self.lib.get_vocab()
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
-        #: id -> whether a word ends with it
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
-        self.parts = bool(suffix) and self._ids("Ab," + _MARKS + " c") == [
-            i for x in ("ab", "," + _MARKS, "c") for i in self._ids(x)]
-
-    def _ids(self, text: str) -> list[int]:
-        return self.lib.encode(text, add_special_tokens=False).ids
-
-    def _ends_in_letter(self, last: str) -> bool:
-        """Whether a word's last letter is still one when normalised (some become a letter and a combining mark)."""
-        if last not in self.letters:
-            self.letters[last] = self.lib.normalizer.normalize_str(last)[-1].isalpha()
-        return self.letters[last]
-
-    def _learn_each(self, chunks: list[str]) -> None:
-        for k in range(0, len(chunks), 4096):
-            some = chunks[k:k + 4096]
-            for c, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids                      # without offsets, which the files do not hold
-                self.seen[c] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn_words(self, words: list[str]) -> None:
-        calls = [words[k:k + CALL] for k in range(0, len(words), CALL)]
-        for k in range(0, len(calls), 64):
-            some = calls[k:k + 64]
-            for call, e in zip(some, self.lib.encode_batch_fast([" ".join(c) for c in some], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-                if len(ends) != len(call):
-                    self._learn_each(call)
-                    continue
-                data, lo = ids.tobytes(), 0
-                for word, hi in zip(call, ends.tolist()):
-                    self.seen[word] = data[lo:hi]
-                    lo = hi
-
-    def _learn(self, chunks: set[str]) -> None:
-        seen = self.seen
-        each, words, cut = set(), set(), []
-        for c in chunks:
-            word = c.rstrip(_MARKS)
-            marks = c[len(word):]
-            if not (self.parts and word.isalpha() and (not marks or self._ends_in_letter(word[-1]))):
-                each.add(c)
-                continue
-            if word.isascii():
-                word = word.lower()
-            if word not in seen:
-                words.add(word)
-            if marks not in seen:
-                each.add(marks)
-            if word != c:
-                cut.append((c, word, marks))
-        self._learn_each(list(each))
-        self._learn_words(list(words))
-        for c, word, marks in cut:
-            seen[c] = seen[word] + seen[marks]
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
+        #: id -> bytes of text it stands for (one printable character each)
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.size[i] = len(token.removesuffix(suffix))
+
+    def _ids(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks one after another, and where each chunk's end."""
+        names = chunks.to_pylist()
+        sizes = pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        calls = [" ".join(names[k:k + CALL]) for k in range(0, len(names), CALL)]
+        got = [e.ids for k in range(0, len(calls), 64)
+               for e in self.lib.encode_batch_fast(calls[k:k + 64], add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(got), np.uint32)
+        used = np.concatenate([[0], np.cumsum(self.size[ids])])
+        want = np.cumsum(sizes)
+        ends = np.searchsorted(used, want)
+        if len(want) == 0 or (used[-1] == want[-1] and (used[ends] == want).all()):
+            return ids, ends
+        parts = [self._cut(got[k], names[k * CALL:(k + 1) * CALL], sizes[k * CALL:(k + 1) * CALL]) for k in range(len(got))]
+        flat = [x for part in parts for x in part]
+        return np.concatenate(flat), np.cumsum([len(x) for x in flat])
+
+    def _cut(self, ids: list[int], names: list[str], sizes: np.ndarray) -> list[np.ndarray]:
+        v = np.array(ids, np.uint32)
+        used, want = np.concatenate([[0], np.cumsum(self.size[v])]), np.cumsum(sizes)
+        ends = np.searchsorted(used, want)
+        if used[-1] == want[-1] and (used[ends] == want).all():
+            return np.split(v, ends[:-1])
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(names, add_special_tokens=False)]
 
     def encode_all(self, texts: pa.Array | list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers"""
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))     # other white space stays in a chunk
         words = lists.flatten().dictionary_encode()
-        need = words.dictionary.to_pylist()
-        new = {c for c in need if c not in self.seen}
-        if len(self.seen) + len(new) > CACHE:
-            self.seen = {"": b""} | {c: self.seen[c] for c in need if c in self.seen}
-        self._learn(new)
-        each = [self.seen[c] for c in need]
-        pool = np.frombuffer(b"".join(each), "<u4")
-        n = np.array([len(x) // 4 for x in each], np.int64)
-        first = np.cumsum(n) - n
+        pool, last = self._ids(words.dictionary)
+        first = np.concatenate([[0], last[:-1]])[:len(last)]
+        n = last - first
         # the ids of all chunks one after another, then cut by text
         at = words.indices.to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(n[at])])
-        ids = pool[np.repeat(first[at] - ends[:-1], n[at]) + np.arange(ends[-1])]
+        ids = pool[np.repeat(first[at] - ends[:-1], n[at]) + np.arange(ends[-1])].astype("<u4")
         cut = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
         return [ids[lo:hi].tobytes() for lo, hi in zip(cut, cut[1:])]
 
@@ -200,22 +156,25 @@ def loaded(spec: bytes) -> Chunked:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
-    """part, seq, doc_id, ids (binary), stored: parts in ascending doc_id order."""
+    """doc_id, ids (binary) of every document, stored. The texts are not shuffled."""
     with open(tokenizer, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())      # the vocabulary file
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(t: pa.Table) -> pa.Table:
         got = loaded(spec.value).encode_all(t.column("text").combine_chunks().fill_null(""))
-        return pa.table({"part": t.column("part"), "seq": t.column("seq"), "doc_id": t.column("doc_id"),
-                         "ids": pa.array([_narrow(x + tail) for x in got], pa.binary())})
+        return pa.table({"doc_id": t.column("doc_id"), "ids": pa.array([_narrow(x + tail) for x in got], pa.binary())})
+
+    return stored(map_batches(docs.selectExpr("doc_id", f"`{text}` AS text"), run, "doc_id bigint, ids binary",
+                              rows=1 << 14, max_bytes=12 << 20), "token-ids")
+
 
-    ordered = (docs.selectExpr("doc_id", f"`{text}` AS text").repartitionByRange(F.col("doc_id"))
-               .sortWithinPartitions("doc_id", "text")
-               .select(F.spark_partition_id().alias("part"),
-                       F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("seq"), "doc_id", "text"))
-    return stored(map_batches(ordered, run, "part int, seq bigint, doc_id bigint, ids binary", max_bytes=4 << 20),
-                  "token-ids")
+def in_order(ids: DataFrame) -> DataFrame:
+    """part, seq, doc_id, ids: the documents range-partitioned and sorted by doc_id, equal ones by their ids."""
+    size = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first().n
+    return (ids.repartitionByRange(max(8, -(-size // PART_BYTES)), "doc_id").sortWithinPartitions("doc_id", "ids")
+            .select(F.spark_partition_id().alias("part"),
+                    F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("seq"), "doc_id", "ids"))
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -280,6 +239,7 @@ def write_files(ids: DataFrame, ranks: DataFrame) -> str:
             yield done()
 
     path = scratch_path(spark, "token-files")
+    MADE.append((path, None))
     map_arrow(ids, blocks, "part int, seq bigint, doc_ids array<bigint>, block binary").write.parquet(f"{path}/blocks")
     ranks.write.parquet(f"{path}/ranks")
     return path
@@ -308,7 +268,7 @@ def read_files(spark, path: str) -> DataFrame:
 def file_report(docs: DataFrame, tokenizer: str, end_id: int, n_ids: int, text: str = "text") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     ids = tokenized(docs, tokenizer, end_id, text)
-    path = write_files(ids, rank_table(ids, n_ids))
+    path = write_files(in_order(ids), rank_table(ids, n_ids))
     back = read_files(docs.sparkSession, path)
     rows = stored(back.select("part", "seq", "at", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                               F.crc32("ids").alias("ids_crc32")), "token-rows")
