@@ -134,10 +134,11 @@ def quality_report(docs: DataFrame, host: str = "source", text: str = "text",
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text",
               max_rate: float = MAX_RATE) -> DataFrame:
-    """The documents that pass, with their own columns. Two passes over the input:
-    host sums, then the filter; the texts are never shuffled."""
+    """The documents that pass, with their own columns. The texts are measured once and stored with
+    their measures (those that fail the base rules without the text); no text is shuffled."""
     m, r = fresh(docs, "_measures"), fresh(docs, "_rejected")
-    measured = measure(docs, text, m)
+    cols = [F.when(~base_failed(m), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    measured = stored(measure(docs, text, m).select(*cols, m), "measured-documents")
     verdicts = host_verdicts(measured.select(F.col(f"`{host}`").alias("host"), F.col(m).alias("m")),
                              "host", "m", max_rate)
     kept = _with_hosts(measured.filter(~base_failed(m)), verdicts, host, r)
