@@ -1,6 +1,8 @@
 """Cleaning operators: labels, infinities, missing values, codes, duplicates."""
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,9 +11,7 @@ from netwarden.operators.ordered import ordered_running
 from netwarden.operators.profile import numeric_columns
 from netwarden.operators.quantiles import exact_percentiles
 from netwarden.schema import BENIGN_LABEL
-from netwarden.sources.local import local_table
-
-MAX_BROADCAST_DICT = 100_000
+from netwarden.session import checkpoint_dir
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -81,21 +81,25 @@ def median_impute(df: DataFrame, columns: list[str] | None = None, exact: bool =
     cols = columns or numeric_columns(df, exclude=exclude)
     if not cols:
         return df
-    row = df.selectExpr(*[f"count_if(`{c}` IS NULL) AS `n_{c}`" for c in cols]
-                     + [f"count(`{c}`) AS `v_{c}`" for c in cols]).first()
+    row = df.selectExpr(*[f"count_if(`{c}` IS NULL) AS `n_{c}`" for c in cols]).first()
     gaps = [c for c in cols if row[f"n_{c}"] > 0]
     if not gaps:
         return df
     if exact:
-        med = exact_percentiles(df, gaps, 0.5, counts={c: row[f"v_{c}"] for c in gaps})
+        med = exact_percentiles(df, gaps, 0.5)
     else:
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c)
                        for c in gaps]).first().asDict()
         med = {c: (None if row[c] is None else float(row[c])) for c in gaps}
+    return fill_values(df, {c: med[c] for c in gaps})
+
+
+def fill_values(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
+    """NULLs of the named columns (cast to double) <- their value; a column without one stays NULL."""
     fills = {}
-    for c in gaps:
+    for c, v in values.items():
         x = f"CAST(`{c}` AS DOUBLE)"
-        fills[c] = x if med[c] is None else f"coalesce({x}, {float(med[c])!r}D)"
+        fills[c] = x if v is None else f"coalesce({x}, {float(v)!r}D)"
     return df.selectExpr(*[f"{fills[c]} AS `{c}`" if c in fills else f"`{c}`" for c in df.columns])
 
 
@@ -104,43 +108,73 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in set(exclude)]
 
 
-def code_dictionary(df: DataFrame, column: str, local_limit: int = MAX_BROADCAST_DICT):
-    """(table, is_small): distinct non-null values with their 0-based code in
-    sorted (binary) order.
+def code_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, code: the distinct non-null values of all columns, numbered from 0 in sorted
+    (binary) order within their column.
 
-    Up to ``local_limit`` distinct values are ranked from one bounded fetch;
-    a larger dictionary is ranked by a distributed prefix count instead.
-    """
-    values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    rows = values.limit(local_limit + 1).collect()
-    if len(rows) <= local_limit:
-        vt = values.schema["value"].dataType
-        ordered = sorted((r["value"] for r in rows),
-                         key=lambda v: v.encode("utf-8") if isinstance(v, str) else v)
-        data = [(v, i) for i, v in enumerate(ordered)]
-        return local_table(df.sparkSession, data, T.StructType([
-            T.StructField("value", vt), T.StructField("code", T.IntegerType())])), True
-    ranked = ordered_running(values, [F.col("value")], rn_col="_rn")
-    return ranked.select("value", (F.col("_rn") - 1).cast("int").alias("code")), False
+    One stacked table for any number of columns: copies collapse map-side, one
+    distributed running number orders it, and the number of a column's first value is taken
+    off (one row per column)."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    values = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    ranked = ordered_running(values, [F.col("column"), F.col("value")], rn_col="_rn")
+    first = ranked.groupBy("column").agg(F.min("_rn").alias("_first"))
+    return ranked.join(first, "column").select("column", "value", (F.col("_rn") - F.col("_first")).cast("int").alias("code"))
+
+
+def apply_codes(df: DataFrame, dictionary: DataFrame, columns: list[str], suffix: str = "") -> DataFrame:
+    """Each column -> its value's code; a missing value, or one that the dictionary lacks, -> -1. The plan
+    broadcasts a column's part of the dictionary where its size allows it, and shuffles otherwise."""
+    out = df
+    for c in columns:
+        side = dictionary.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        out = out.join(side, F.col(f"`{c}`").cast("string") == F.col("_value"), "left") \
+            .withColumn(f"{c}{suffix}", F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_value", "_code")
+    return out
 
 
 def categorical_codes(df: DataFrame, columns: list[str] | None = None,
                       suffix: str = "") -> DataFrame:
-    """Each string column -> its code in sorted order; missing -> -1.
-
-    The dictionary is joined back by broadcast only when its size is within
-    ``MAX_BROADCAST_DICT``; larger dictionaries use a shuffle join.
-    """
+    """Each string column -> its code in sorted order; missing -> -1."""
     cols = columns if columns is not None else string_columns(df)
-    out = df
-    for c in cols:
-        dic, small = code_dictionary(out, c)   # small: ranked from a bounded fetch
-        side = F.broadcast(dic) if small else dic.checkpoint(eager=True)
-        tgt = f"{c}{suffix}"
-        out = (out.join(side.withColumnRenamed("value", c).withColumnRenamed("code", "_code"),
-                        c, "left")
-               .withColumn(tgt, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_code"))
-    return out
+    if not cols:
+        return df
+    checkpoint_dir(df.sparkSession)
+    return apply_codes(df, code_dictionary(df, cols).checkpoint(eager=True), cols, suffix)
+
+
+@dataclass
+class Preparation:
+    """What cleaning learned from the rows it was fitted on, to be replayed on others: the median of
+    every numeric column, and the code dictionary of the text columns (column, value, code)."""
+    medians: dict[str, float | None] = field(default_factory=dict)
+    text: list[str] = field(default_factory=list)
+    codes: DataFrame | None = None
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Infinities to NULL, NULLs to the medians, texts to their codes (unseen and missing ones -1);
+        columns that the fitted rows did not have pass unchanged, absent ones stay absent."""
+        x = fill_values(inf_to_null(df), {c: v for c, v in self.medians.items() if c in df.columns})
+        text = [c for c in self.text if c in df.columns]
+        return apply_codes(x, self.codes, text) if text else x
+
+
+def fit_preparation(df: DataFrame, exclude=("row_id", "label"), exact: bool = True) -> Preparation:
+    """Medians (``percentile_approx`` where not ``exact``) and code dictionaries of all feature columns."""
+    clean = inf_to_null(df)
+    cols = numeric_columns(clean, exclude=exclude)
+    if exact:
+        medians = exact_percentiles(clean, cols, 0.5)
+    else:
+        row = clean.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), 0.5, 10_000).alias(f"m{i}")
+                          for i, c in enumerate(cols)]).first() if cols else ()
+        medians = {c: None if v is None else float(v) for c, v in zip(cols, row)}
+    text = string_columns(clean, exclude=exclude)
+    codes = None
+    if text:
+        checkpoint_dir(df.sparkSession)
+        codes = code_dictionary(clean, text).checkpoint(eager=True)
+    return Preparation(medians, text, codes)
 
 
 def dedup_rows(df: DataFrame, feature_cols: list[str], key: str = "row_id",

@@ -32,14 +32,18 @@ def combine_verdicts(df: DataFrame, mode: str = "combined") -> DataFrame:
 # ---------------------------------------------------------------------------
 from dataclasses import dataclass, field  # noqa: E402
 
+from netwarden.operators.clean import Preparation  # noqa: E402
+
 
 @dataclass
 class ThreatModels:
-    """Scaler (by feature name), forest pipeline and isolation forest."""
+    """Scaler (by feature name), forest pipeline, isolation forest, and the fitted preparation that
+    raw flows need first."""
     feature_names: list[str]
     scaler: dict = field(default_factory=dict)
     forest: object = None          # pyspark.ml.PipelineModel
     isolation: object = None       # netwarden.operators.isolation.IsolationModel
+    preparation: Preparation | None = None
 
     @property
     def ready(self) -> bool:
@@ -50,8 +54,9 @@ def detect(flows: DataFrame, models: ThreatModels, mode: str = "combined",
            pre_scaled: bool = False, keep=("row_id",)) -> DataFrame:
     """Detection table: ``row_id``, forest and isolation verdicts, final verdict, label.
 
-    Absent features count as 0 (``default_features``); scaling is by name.
-    Both scorers are narrow transformations of the same rows: no join.
+    Raw flows (not ``pre_scaled``) first go through the models' preparation: infinities and
+    gaps to the fitted medians, texts to the fitted codes (unseen: -1). Absent
+    features count as 0 (``default_features``); scaling is by name. Both scorers are narrow transformations of the same rows: no join.
     """
     from netwarden.operators.features import default_features, scale_features
     from netwarden.operators.forest import score_random_forest
@@ -62,7 +67,10 @@ def detect(flows: DataFrame, models: ThreatModels, mode: str = "combined",
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     feats = models.feature_names
-    x = default_features(flows, feats)
+    x = flows
+    if not pre_scaled and models.preparation is not None:
+        x = models.preparation.apply(flows.select(*[c for c in flows.columns if c in feats or c in keep]))
+    x = default_features(x, feats)
     if not pre_scaled and models.scaler:
         x = scale_features(x, {f: models.scaler[f] for f in feats if f in models.scaler})
     x = x.select(*[k for k in keep if k in x.columns], *feats)
@@ -80,16 +88,26 @@ def detect(flows: DataFrame, models: ThreatModels, mode: str = "combined",
 
 
 def save_models(models: ThreatModels, spark, path: str) -> str:
-    """Forest via ML persistence; scaler and isolation nodes as parquet, names kept."""
+    """Forest via ML persistence; scaler, isolation nodes, medians and code dictionaries as parquet, names kept."""
     from netwarden.operators.isolation import save_isolation
     rows = [(f, *models.scaler.get(f, (0.0, 1.0)), i) for i, f in enumerate(models.feature_names)]
     spark.createDataFrame(rows, "feature string, mean double, std double, position int") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
-    parts = [(models.forest is not None, models.isolation is not None)]
-    spark.createDataFrame(parts, "forest boolean, isolation boolean") \
+    fitted = models.preparation
+    parts = [(models.forest is not None, models.isolation is not None, fitted is not None)]
+    spark.createDataFrame(parts, "forest boolean, isolation boolean, preparation boolean") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
     if models.forest is not None:
         models.forest.write().overwrite().save(f"{path}/forest")
+    if fitted is not None:
+        spark.createDataFrame(list(fitted.medians.items()), "feature string, median double") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/medians")
+        codes = fitted.codes
+        if codes is None:
+            codes = spark.createDataFrame([], "column string, value string, code int")
+        codes.write.mode("overwrite").parquet(f"{path}/codes")
+        spark.createDataFrame([(c,) for c in fitted.text], "feature string") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/text")
     if models.isolation is not None:
         save_isolation(models.isolation, spark, f"{path}/isolation")
     return path
@@ -110,5 +128,10 @@ def load_models(spark, path: str) -> ThreatModels:
     sc = spark.read.parquet(f"{path}/scaler").orderBy("position").collect()
     forest = PipelineModel.load(f"{path}/forest") if parts["forest"] else None
     iso = load_isolation(spark, f"{path}/isolation") if parts["isolation"] else None
+    fitted = None
+    if "preparation" in parts and parts["preparation"]:
+        fitted = Preparation({r["feature"]: r["median"] for r in spark.read.parquet(f"{path}/medians").collect()},
+                             [r["feature"] for r in spark.read.parquet(f"{path}/text").collect()],
+                             spark.read.parquet(f"{path}/codes"))
     return ThreatModels([r["feature"] for r in sc], {r["feature"]: (r["mean"], r["std"]) for r in sc},
-                        forest, iso)
+                        forest, iso, fitted)

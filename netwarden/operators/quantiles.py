@@ -1,128 +1,109 @@
-"""Exact percentiles that stay distributed.
-
-Spark's exact ``percentile``/``median`` keeps every distinct value of a group
-in one buffer, which does not survive a global median over billions of
-continuous values.  Here an exact order statistic is found by narrowing a
-value bracket: ``percentile_approx`` proposes bounds around the wanted rank,
-one counting pass places the rank relative to them, and the bracket shrinks
-until it holds at most ``max_local`` values, which are then ranked exactly.
-Small inputs (``n <= max_local``) take Spark's exact aggregate directly.
-Results equal the interpolating definition used by ``median`` (and DuckDB).
+"""Exact percentiles by radix selection.
+
+Spark's exact ``percentile``/``median`` keeps every distinct value of a group in one
+buffer, which does not survive a global median over billions of continuous values.
+Here a double is read as an unsigned 64-bit integer of the same order (sign bit
+flipped, negative numbers inverted) and an order statistic is found digit by
+digit, sixteen bits a round: a task counts the next digit of the values that share a
+wanted prefix, the counts are summed by Spark, and a running sum over at most 65,536
+digits per prefix finds the digit that holds the rank. After four rounds the prefix is
+the value. All columns and ranks go through the same rounds, at every input size; only one
+row per wanted rank reaches the driver. Results equal the interpolating
+definition used by ``median`` (and DuckDB).
 """
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BITS, ROUNDS = 16, 4
+DIGITS = 1 << BITS
+#: Columns counted in one job: a task holds DIGITS counters of each wanted prefix.
+COLUMNS = 64
+
+
+def _value(bits: int) -> float:
+    raw = bits ^ (1 << 63) if bits >> 63 else bits ^ ((1 << 64) - 1)
+    return struct.unpack("<d", struct.pack("<Q", raw))[0]
+
+
+def _digit_counts(vals: DataFrame, wanted: list[tuple[int, int]], done: int) -> DataFrame:
+    """w, digit, n: for each wanted (column place, prefix of ``done`` bits) how many values have each next digit."""
+    shift, digits, sign = np.uint64(64 - done - BITS), DIGITS, np.uint64(1 << 63)
+
+    def run(batches):
+        total = np.zeros((len(wanted), digits), np.int64)
+        for b in batches:
+            keys: dict[int, np.ndarray] = {}
+            for w, (c, prefix) in enumerate(wanted):
+                if c not in keys:
+                    x = b.column(c).drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+                    u = (x[~np.isnan(x)] + 0.0).view(np.uint64)          # -0.0 equals 0.0
+                    keys[c] = np.where(u & sign, ~u, u | sign)
+                k = keys[c]
+                if done:
+                    k = k[k >> np.uint64(64 - done) == np.uint64(prefix)]
+                digit = (k >> shift) & np.uint64(digits - 1)
+                total[w] += np.bincount(digit.astype(np.int64), minlength=digits)
+        w, digit = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(w, pa.int64()), pa.array(digit, pa.int64()), pa.array(total[w, digit])], ["w", "digit", "n"])
 
-def _clean(df: DataFrame, c: str):
-    x = F.col(c)
-    if dict(df.dtypes)[c] in ("double", "float"):
-        return F.when(~F.isnan(x), x.cast("double"))
-    return x.cast("double")
-
-
-def exact_percentiles(df: DataFrame, cols: list[str], q: float = 0.5,
-                      max_local: int = 200_000, accuracy: int = 10_000,
-                      counts: dict | None = None) -> dict:
-    """{column: interpolated q-quantile or None} for each column (NULL/NaN ignored).
-
-    ``counts`` (non-missing values per column) may be passed when known.
-    """
-    if not cols:
-        return {}
-    types = dict(df.dtypes)
-    vals = df.selectExpr(*[
-        (f"CASE WHEN isnan(`{c}`) THEN NULL ELSE CAST(`{c}` AS DOUBLE) END AS `{c}`"
-         if types[c] in ("double", "float") else f"CAST(`{c}` AS DOUBLE) AS `{c}`") for c in cols])
-    floats = [c for c in cols if types[c] in ("double", "float")]
-    if counts is None or floats:
-        counts = vals.selectExpr(*[f"count(`{c}`) AS `{c}`" for c in cols]).first().asDict()
-    out: dict = {c: None for c in cols if counts[c] == 0}
-    small = [c for c in cols if 0 < counts[c] <= max_local]
-    if small:
-        row = vals.selectExpr(*[f"percentile(`{c}`, {q!r}D) AS `{c}`" for c in small]).first().asDict()
-        out.update(row)
-    big = [c for c in cols if counts[c] > max_local]
-    if big:
-        tasks = {}
-        for c in big:
-            pos = q * (counts[c] - 1)
-            for r in sorted({math.floor(pos), math.ceil(pos)}):
-                tasks[(c, r)] = dict(lo=None, hi=None, below=0, cnt=counts[c], value=None,
-                                     margin=4.0 / accuracy)
-        _select_ranks(vals, tasks, max_local, accuracy)
-        for c in big:
-            pos = q * (counts[c] - 1)
-            lo_v = tasks[(c, math.floor(pos))]["value"]
-            hi_v = tasks[(c, math.ceil(pos))]["value"]
-            out[c] = lo_v + (pos - math.floor(pos)) * (hi_v - lo_v)
-    return {c: out[c] for c in cols}
-
-
-def _inside(c: str, t: dict):
-    x = F.col(c)
-    cond = x.isNotNull()
-    if t["lo"] is not None:
-        cond = cond & (x > F.lit(t["lo"]))
-    if t["hi"] is not None:
-        cond = cond & (x < F.lit(t["hi"]))
-    return cond
-
-
-def _select_ranks(vals: DataFrame, tasks: dict, max_local: int, accuracy: int) -> None:
-    """Resolve every (column, rank) task in place; one pair of jobs per round."""
-    while True:
-        active = {k: t for k, t in tasks.items() if t["value"] is None and t["cnt"] > max_local}
-        if not active:
+    return vals.mapInArrow(run, "w bigint, digit bigint, n bigint").groupBy("w", "digit").agg(F.sum("n").alias("n"))
+
+
+def exact_percentiles(df: DataFrame, cols: list[str], q: float = 0.5) -> dict:
+    """{column: interpolated q-quantile or None} for each column (NULL/NaN ignored)."""
+    out: dict = {}
+    for k in range(0, len(cols), COLUMNS):
+        out |= _percentiles(df, cols[k:k + COLUMNS], q)
+    return out
+
+
+def _percentiles(df: DataFrame, cols: list[str], q: float) -> dict:
+    vals = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    # wanted: place of the prefix -> (column, prefix); ranks: (column, which) -> (place of its prefix, rank within it)
+    wanted = [(i, 0) for i in range(len(cols))]
+    ranks: dict[tuple[int, str], tuple[int, int | None]] = {(i, side): (i, None) for i in range(len(cols)) for side in ("lo", "hi")}
+    size: dict[int, int] = {}
+    for step in range(ROUNDS):
+        counts = _digit_counts(vals, wanted, step * BITS)
+        by = Window.partitionBy("w")                       # at most DIGITS rows each
+        counts = counts.withColumns({"upto": F.sum("n").over(by.orderBy("digit")), "total": F.sum("n").over(by)})
+        if step == 0:                                      # the ranks follow from the number of values
+            pos = F.lit(float(q)) * (F.col("total") - 1)
+            targets = counts.select("*", F.explode(F.array(
+                F.struct(F.lit("lo").alias("side"), F.floor(pos).alias("rank")),
+                F.struct(F.lit("hi").alias("side"), F.ceil(pos).alias("rank")))).alias("t")).select(
+                    "w", "digit", "n", "upto", "total", F.col("t.side").alias("side"), F.col("t.rank").alias("rank"))
+            hit = targets.filter("upto > rank AND upto - n <= rank").collect()
+            found = {(r.w, r.side): (r.digit, r.rank - (r.upto - r.n)) for r in hit}
+            size = {r.w: r.total for r in hit}
+        else:
+            cases = F.array(*[F.struct(F.lit(w).cast("bigint").alias("tw"), F.lit(i).alias("i"), F.lit(side).alias("side"),
+                                       F.lit(rank).cast("bigint").alias("rank")) for (i, side), (w, rank) in ranks.items()])
+            hit = counts.select("*", F.explode(F.filter(cases, lambda t: t["tw"] == F.col("w"))).alias("t")) \
+                .filter("upto > t.rank AND upto - n <= t.rank") \
+                .select("digit", F.col("t.i").alias("i"), F.col("t.side").alias("side"),
+                        (F.col("t.rank") - (F.col("upto") - F.col("n"))).alias("rank")).collect()
+            found = {(r.i, r.side): (r.digit, r.rank) for r in hit}
+        if not found:
             break
-        names = list(active)
-        props = []
-        for i, (c, r) in enumerate(names):
-            t = active[(c, r)]
-            a = (r - t["below"]) / t["cnt"]
-            p1, p2 = max(0.0, a - t["margin"]), min(1.0, a + t["margin"])
-            x = F.when(_inside(c, t), F.col(c))
-            props.append(F.percentile_approx(x, [p1, p2], accuracy).alias(f"p{i}"))
-        bounds = vals.agg(*props).first()
-        aggs = []
-        for i, (c, r) in enumerate(names):
-            t = active[(c, r)]
-            b_lo, b_hi = bounds[f"p{i}"]
-            t["_b"] = (b_lo, b_hi)
-            x, ins = F.col(c), _inside(c, t)
-            aggs += [F.count_if(ins & (x < F.lit(b_lo))).alias(f"lt{i}"),
-                     F.count_if(ins & (x == F.lit(b_lo))).alias(f"eqlo{i}"),
-                     F.count_if(ins & (x > F.lit(b_lo)) & (x < F.lit(b_hi))).alias(f"mid{i}"),
-                     F.count_if(ins & (x == F.lit(b_hi)) & F.lit(b_hi != b_lo)).alias(f"eqhi{i}")]
-        cnt = vals.agg(*aggs).first()
-        for i, (c, r) in enumerate(names):
-            t = active[(c, r)]
-            b_lo, b_hi = t.pop("_b")
-            lt, eqlo, mid, eqhi = (cnt[f"lt{i}"], cnt[f"eqlo{i}"], cnt[f"mid{i}"], cnt[f"eqhi{i}"])
-            base = t["below"]
-            if r < base + lt:                       # rank left of the proposal
-                t.update(hi=b_lo, cnt=lt)
-                t["margin"] *= 2
-            elif r < base + lt + eqlo:
-                t["value"] = b_lo
-            elif r < base + lt + eqlo + mid:        # the usual case: bracket found
-                t.update(lo=b_lo, hi=b_hi, below=base + lt + eqlo, cnt=mid)
-            elif r < base + lt + eqlo + mid + eqhi:
-                t["value"] = b_hi
-            else:                                   # rank right of the proposal
-                t.update(lo=b_hi, below=base + lt + eqlo + mid + eqhi,
-                         cnt=t["cnt"] - (lt + eqlo + mid + eqhi))
-                t["margin"] *= 2
-    for (c, r), t in tasks.items():
-        if t["value"] is not None:
-            continue
-        k = r - t["below"]                          # at most max_local values remain
-        rows = (vals.where(_inside(c, t)).select(c).orderBy(c).limit(k + 1).collect())
-        t["value"] = rows[k][0]
-
-
-def exact_median(df: DataFrame, cols: list[str], **kw) -> dict:
-    return exact_percentiles(df, cols, 0.5, **kw)
+        prefix = {key: (wanted[ranks[key][0]][1] << BITS) | digit for key, (digit, _) in found.items()}
+        wanted = sorted({(key[0], p) for key, p in prefix.items()})
+        ranks = {key: (wanted.index((key[0], prefix[key])), rank) for key, (_, rank) in found.items()}
+    out: dict = {c: None for c in cols}
+    for i, n in size.items():
+        pos = q * (n - 1)
+        lo, hi = (_value(wanted[ranks[(i, side)][0]][1]) for side in ("lo", "hi"))
+        out[cols[i]] = lo + (pos - math.floor(pos)) * (hi - lo)
+    return out
+
+
+def exact_median(df: DataFrame, cols: list[str]) -> dict:
+    return exact_percentiles(df, cols, 0.5)

@@ -1222,3 +1222,42 @@ def q_stream_flow_windows(spark, d):
     ST.run_to_end(ST.stream_window_counts(flows, "user_id", out, ck, window="1 hour", slide="30 minutes",
                                           watermark="10 minutes", error_col="is_error"))
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------------------
+# A saved bundle on raw flows
+# ---------------------------------------------------------------------------
+def _raw_flows(spark, d):
+    """Flows as they come: gaps, and the event type as a text feature, which decides the label."""
+    return AD.with_gaps(AD.ev(spark, d)).select("row_id", "label", "value_gap", "k7", "hour_of_day",
+                                               F.col("attack_type").alias("event"))
+
+
+@register("detect_raw_flows", """
+WITH n AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS e FROM ev)
+SELECT mode, n AS n_flows, CASE WHEN mode = 'if' THEN 0 ELSE e END AS n_forest, n AS n_consistent,
+       CASE WHEN mode = 'rf' THEN 0 ELSE n END AS n_scored
+FROM n, (VALUES ('rf'), ('if'), ('combined')) t(mode)""")
+def q_detect_raw_flows(spark, d):
+    """Train, save, load, and score all raw flows in every mode. One feature separates the classes, so
+    the forest must find exactly the labelled rows."""
+    from netwarden.operators import forest as RF
+    from netwarden.operators import isolation as IF
+    from netwarden.operators.detect import MODES, ThreatModels, detect, load_models, save_models
+    from netwarden.session import scratch_path
+    flows = _raw_flows(spark, d)
+    prep = preprocess(flows, drop=())
+    train, feats = prep.train.cache(), prep.feature_names
+    models = ThreatModels(feats, prep.scaler, RF.train_random_forest(train, feats, numTrees=20, maxDepth=8),
+                          IF.train_isolation_forest(train, feats, n_trees=20), prep.preparation)
+    train.unpersist()
+    back = load_models(spark, save_models(models, spark, scratch_path(spark, "bundle")))
+    out = None
+    for mode in MODES:
+        got = detect(flows, back, mode)
+        either = F.greatest("rf_prediction", "if_prediction") == F.col("final_prediction")
+        one = got.agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("n_flows"),
+                      F.sum("rf_prediction").cast("long").alias("n_forest"), F.count_if(either).alias("n_consistent"),
+                      F.count_if(F.col("if_anomaly_score") != 0).alias("n_scored"))
+        out = one if out is None else out.unionByName(one)
+    return out

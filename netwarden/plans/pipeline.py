@@ -39,7 +39,7 @@ def run_pipeline(flows: DataFrame, top_n: int = 20, mode: str = "combined",
     selected = RF.ranked_features(imp, top_n)
     forest = RF.train_random_forest(train, selected, **(forest_params or {}))
     iso = IF.train_isolation_forest(train, selected, key=key, **(isolation_params or {}))
-    models = ThreatModels(selected, prep.scaler, forest, iso)
+    models = ThreatModels(selected, prep.scaler, forest, iso, prep.preparation)
 
     test = prep.test
     det = detect(test, models, mode=mode, pre_scaled=True, keep=(key, "label"))

@@ -21,6 +21,7 @@ class Prepared:
     data: DataFrame
     feature_names: list[str]
     scaler: dict[str, tuple[float, float]] = field(default_factory=dict)
+    preparation: C.Preparation = field(default_factory=C.Preparation)
 
     def scaled(self) -> DataFrame:
         return FE.scale_features(self.data, self.scaler)
@@ -42,9 +43,8 @@ def preprocess(df: DataFrame, key: str = "row_id", label_col: str = "label",
                exact_median: bool = True, checkpoint: bool = True) -> Prepared:
     C.require_columns(df, label_col, key)
     x = C.split_features_label(df, label_col, drop=drop, keep=(key,))
-    x = C.inf_to_null(x)
-    x = C.median_impute(x, exclude=(key, label_col), exact=exact_median)
-    x = C.categorical_codes(x, C.string_columns(x, exclude=(key, label_col)))
+    fitted = C.fit_preparation(x, exclude=(key, label_col), exact=exact_median)
+    x = fitted.apply(x)
     features = numeric_columns(x, exclude=(key, label_col))   # timestamps etc. are not features
     x = x.select(key, label_col, *features)
     x = C.dedup_rows(x, features, key=key, label_col=label_col, count_col=None)
@@ -53,7 +53,7 @@ def preprocess(df: DataFrame, key: str = "row_id", label_col: str = "label",
         x = x.checkpoint(eager=True)   # cut the lineage: later stages re-read this table
     stats = FE.scaler_fit(x.where(F.col("split") == "train"), features)
     return Prepared(x.select(key, label_col, "split", *features), features,
-                    FE.scaler_params(stats))
+                    FE.scaler_params(stats), fitted)
 
 
 def preprocess_cicids(df: DataFrame, raw_label: str = "Label", **kw) -> Prepared:
