@@ -989,15 +989,16 @@ def q_strip_column_names(spark, d):
 
 @register("read_flows_dir", "SELECT row_id, label, attack_type, value, k, CAST(NULL AS VARCHAR) AS note FROM ev")
 def q_read_flows_dir(spark, d):
+    """One folder with files of three kinds: columns in order, swapped, and one more (null labels among them)."""
     from netwarden.session import scratch_path
     from netwarden.sources.files import read_flows_dir, write_table
     e = AD.ev(spark, d).select("row_id", "label", "attack_type", "value", "k")
-    p1 = write_table(e.where("label = 1"), scratch_path(spark, "dir_a"), fmt="csv")
-    p2 = write_table(e.where("label = 0").withColumn("note", F.lit(None).cast("string")),
-                     scratch_path(spark, "dir_b"), fmt="csv")
-    df = read_flows_dir(spark, [p1, p2], schema=None, infer_schema=True)
-    return df.select(F.col("row_id").cast("long"), F.col("label").cast("int"), "attack_type",
-                     F.col("value").cast("double"), F.col("k").cast("int"), F.col("note").cast("string"))
+    folder = scratch_path(spark, "flows_dir")
+    kind = F.pmod("row_id", F.lit(3))
+    write_table(e.where((kind == 0) | kind.isNull()), folder, fmt="csv")
+    write_table(e.where(kind == 1).select("k", "value", "label", "row_id", "attack_type"), folder, fmt="csv", mode="append")
+    write_table(e.where(kind == 2).withColumn("note", F.lit(None).cast("string")), folder, fmt="csv", mode="append")
+    return read_flows_dir(spark, folder, schema=_CSV_SCHEMA + ", note string")
 
 
 @register("write_table", "SELECT row_id, label, attack_type, value, k FROM ev")

@@ -62,3 +62,22 @@ def test_time_range_prunes_alert_log_partitions(spark):
     want = al.where((F.col("timestamp") >= "2024-01-03") & (F.col("timestamp") < "2024-01-05"))
     assert sorted(r["row_id"] for r in sel.collect()) == sorted(r["row_id"] for r in want.collect())
     assert timeline_hourly(sel).count() > 0
+
+
+def test_folder_with_headers_of_every_kind(spark, tmp_path):
+    from netwarden.sources.files import header_catalogue, read_flows_csv, read_flows_dir
+    (tmp_path / "a.csv").write_text("row_id, Label,value\n1,x,0.5\n2,,Inf\n")
+    (tmp_path / "b.csv").write_text("value,row_id, Label\r\n1.5,3,y\r\n")
+    (tmp_path / "c.csv").write_text('\ufeffrow_id,"no, te",value\n4,"a, b",\n')
+    (tmp_path / "d.csv").write_text("row_id, Label,value\n5,z,2.5\n")
+    (tmp_path / "empty.csv").write_text("")
+    heads = header_catalogue(spark, str(tmp_path)).collect()
+    assert sorted(len(r.files) for r in heads) == [1, 1, 2]
+    got = read_flows_dir(spark, str(tmp_path), schema="row_id long, Label string, value double, `no, te` string")
+    assert got.columns == ["row_id", "Label", "value", "no, te"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [
+        (1, "x", 0.5, None), (2, None, float("inf"), None), (3, "y", 1.5, None), (4, None, None, "a, b"), (5, "z", 2.5, None)]
+    inferred = read_flows_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r["row_id"], r["Label"]) for r in inferred.collect()) == [(1, "x"), (2, None), (3, "y")]
+    with __import__("pytest").raises(Exception, match="PATH_NOT_FOUND"):
+        read_flows_csv(spark, str(tmp_path / "none"))
