@@ -2,11 +2,10 @@
 service saw in the trailing ``interval`` (inclusive), and the error and
 same-service shares among them.
 
-A plain ``Window.partitionBy(host).orderBy(ts).rangeBetween`` puts every row
-of a busy host in one task.  Here time is cut into buckets of the interval's
-width and each row is also copied, as context, into the next bucket; the
-window is then partitioned by (key, bucket), which spreads a hot key over
-all of its time buckets while every frame still sees all its rows.
+A plain ``Window.partitionBy(host).orderBy(ts).rangeBetween`` puts every row of a busy host
+in one task. Here time is cut into slices of the interval: a frame is a part of two slices,
+summed in the partition (key, slice), and the carried totals of the whole slices between
+them. Rows of one microsecond are summed first, so that no partition grows with a burst.
 """
 from __future__ import annotations
 
@@ -31,34 +30,11 @@ def interval_micros(interval: str | int) -> int:
     return int(float(n) * MICROS[unit])
 
 
-def trailing_window_sums(df: DataFrame, key_cols: list[str], ts_col: str, interval,
-                         sum_cols: dict[str, str] | None = None, count_col: str = "n") -> DataFrame:
-    """Add ``count_col`` (= rows with the same key in [ts - interval, ts]) and,
-    for each ``{out: col}`` in ``sum_cols``, the sum of ``col`` over that frame.
-
-    All input columns are carried through, so several windows chain over the
-    same rows without joining results back.
-    """
-    width = interval_micros(interval)
-    t = _micros(df, ts_col)
-    cols = df.columns
-    # Each row once in its own bucket and once, as context, in the next one:
-    # a generator on one lineage (a union would plan the input twice).
-    shift = F.explode(F.array(F.lit(0), F.lit(1)))
-    both = (df.withColumn("_t", t).withColumn("_s", shift)
-            .withColumns({"_b": F.floor(F.col("_t") / F.lit(width)) + F.col("_s"),
-                          "_own": F.col("_s") == 0}))
-    frame = Window.partitionBy(*key_cols, "_b").orderBy("_t").rangeBetween(-width, 0)
-    aggs = {count_col: F.count(F.lit(1)).over(frame)}
-    for out, c in (sum_cols or {}).items():
-        aggs[out] = F.sum(F.col(c)).over(frame)
-    return both.withColumns(aggs).where("_own").select(*cols, *aggs.keys())
-
-
 def trailing_window_sums_ranked(df: DataFrame, key_cols: list[str], ts_col: str, interval,
                                 sum_cols: dict[str, str] | None = None, count_col: str = "n",
                                 row_key: str = "row_id") -> DataFrame:
-    """Burst-proof form of ``trailing_window_sums`` (same result).
+    """Add ``count_col`` (= rows with the same key in [ts - interval, ts]) and, for each ``{out: col}`` in
+    ``sum_cols``, the sum of ``col`` over that frame.
 
     Every row emits two probes next to itself in one global order
     ``(key, time, kind, row_key)``: one just before the rows at ``ts - interval``
@@ -93,37 +69,92 @@ def trailing_window_sums_ranked(df: DataFrame, key_cols: list[str], ts_col: str,
     return df.join(per_row, row_key)
 
 
+#: Slices of one interval, at most (as many as divide it).
+SLICES = 64
+
+
+def _sliced_sums(cells: DataFrame, keys: list[str], width: int, sums: dict[str, str]) -> DataFrame:
+    """Add {out: col} sums over [t - width, t] of the same keys to rows (keys, ``_t``, ``_slice``, cols).
+
+    With ``k`` slices to an interval a frame is the row's own slice up to t, the k - 1 slices
+    before it whole, and the slice k before it from t - width on. The first and the last part are
+    two running sums in the partition (keys, slice), in which each row is also a copy k
+    slices later; the whole slices between are carried as their totals."""
+    k = max(d for d in range(1, SLICES + 1) if width % d == 0)
+    both = cells.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({
+        "_at": F.col("_t") + F.col("_copy") * F.lit(width), "_in": F.col("_slice") + F.col("_copy") * F.lit(k)})
+    w = Window.partitionBy(*keys, "_in").orderBy("_at")
+    upto, on = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    own = {out: F.sum(F.when(F.col("_copy") == 0, F.col(c))).over(upto)
+           + F.coalesce(F.sum(F.when(F.col("_copy") == 1, F.col(c))).over(on), F.lit(0)) for out, c in sums.items()}
+    rows = both.withColumns(own).where("_copy = 0").drop("_copy", "_at", "_in")
+    # whole slices, by buckets of one interval: each total also stands, as context, in the next bucket
+    total = cells.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_slice").alias("_of")).agg(
+        *[F.sum(c).alias(f"_w_{out}") for out, c in sums.items()])
+    names = [f"_k{i}" for i in range(len(keys))]
+    total = total.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "_bucket", F.floor(F.col("_of") / F.lit(k)) + F.col("_copy"))
+    between = Window.partitionBy(*names, "_bucket").orderBy("_of").rangeBetween(-(k - 1), -1)
+    total = total.select(*names, "_of", "_copy", *[F.coalesce(F.sum(f"_w_{out}").over(between), F.lit(0)).alias(f"_b_{out}")
+                                                   for out in sums]).where("_copy = 0").drop("_copy")
+    on_keys = F.col("_slice") == F.col("_of")
+    for i, c in enumerate(keys):
+        on_keys = on_keys & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(total, on_keys)
+    return joined.withColumns({out: F.col(out) + F.col(f"_b_{out}") for out in sums}).drop(
+        *names, "_of", *[f"_b_{out}" for out in sums])
+
+
+def _sliced(x: DataFrame, host: str, service: str, ts_col: str, width: int, flags: list[str]) -> DataFrame:
+    """The rows with ``_count``, ``_srv_count``, ``_same`` and the flags' sums ``_host<flag>``, ``_srv<flag>``.
+
+    Rows of one host, service and microsecond are summed first, so a (key, slice) holds at
+    most the slice's microseconds times the services or hosts, however many rows fall into it: a burst of one
+    key spreads over the slices of its interval."""
+    k = max(d for d in range(1, SLICES + 1) if width % d == 0)
+    t = _micros(x, ts_col)
+    cells = x.select(F.col(host).alias("_h"), F.col(service).alias("_v"), t.alias("_t"), *flags).where("_t IS NOT NULL") \
+        .groupBy("_h", "_v", "_t").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f).alias(f) for f in flags]) \
+        .withColumn("_slice", F.floor(F.col("_t") / F.lit(width // k)))
+    cells = _sliced_sums(cells, ["_h"], width, {"_count": "_n", **{f"_host{f}": f for f in flags}})
+    cells = _sliced_sums(cells, ["_h", "_v"], width, {"_same": "_n"})
+    cells = _sliced_sums(cells, ["_v"], width, {"_srv_count": "_n", **{f"_srv{f}": f for f in flags}})
+    cells = cells.drop("_slice", "_n", *flags).withColumnRenamed("_t", "_ct")
+    same = F.col("_row_t").eqNullSafe(F.col("_ct")) & F.col(host).eqNullSafe(F.col("_h")) & F.col(service).eqNullSafe(F.col("_v"))
+    return x.withColumn("_row_t", t).join(cells, same, "left").drop("_row_t", "_ct", "_h", "_v")
+
+
 def flow_window_features(df: DataFrame, host_col: str, service_col: str, ts_col: str = "ts",
-                         error_col: str = "is_error", interval="2s", method: str = "bucketed",
-                         row_key: str = "row_id") -> DataFrame:
-    """``count``, ``srv_count``, ``serror_rate``, ``srv_serror_rate``,
-    ``same_srv_rate``, ``diff_srv_rate`` for every row (6 dp).
-
-    ``bucketed`` (default): three chained windows (host, service,
-    host+service), one shuffle each.  ``ranked``: burst-proof prefix-sum form
-    for keys that can hold a large share of all rows within one interval.
+                         error_col: str = "is_error", interval="2s", method: str = "sliced",
+                         row_key: str = "row_id", reject_col: str | None = None) -> DataFrame:
+    """``count``, ``srv_count``, ``serror_rate``, ``srv_serror_rate``, with ``reject_col`` also ``rerror_rate`` and
+    ``srv_rerror_rate``, ``same_srv_rate``, ``diff_srv_rate`` for every row (6 dp).
+
+    ``sliced`` (default): frames as running sums within slices of the interval and carried
+    totals of whole slices; the host and host+service frames share one exchange. A row without a time
+    has NULL features. ``ranked``: differences of global running totals.
     """
-    x = df.withColumn("_err", F.col(error_col).cast("long"))
+    flags = {"_err": error_col} | ({"_rej": reject_col} if reject_col else {})
+    x = df.withColumns({f: F.col(c).cast("long") for f, c in flags.items()})
     if method == "ranked":
-        x = trailing_window_sums_ranked(x, [host_col], ts_col, interval, {"_host_err": "_err"},
-                                        "_count", row_key)
-        x = trailing_window_sums_ranked(x, [service_col], ts_col, interval, {"_srv_err": "_err"},
+        x = trailing_window_sums_ranked(x, [host_col], ts_col, interval, {f"_host{f}": f for f in flags}, "_count", row_key)
+        x = trailing_window_sums_ranked(x, [service_col], ts_col, interval, {f"_srv{f}": f for f in flags},
                                         "_srv_count", row_key)
         x = trailing_window_sums_ranked(x, [host_col, service_col], ts_col, interval, None, "_same",
                                         row_key)
     else:
-        x = trailing_window_sums(x, [host_col], ts_col, interval, {"_host_err": "_err"}, "_count")
-        x = trailing_window_sums(x, [service_col], ts_col, interval, {"_srv_err": "_err"}, "_srv_count")
-        x = trailing_window_sums(x, [host_col, service_col], ts_col, interval, None, "_same")
+        x = _sliced(x, host_col, service_col, ts_col, interval_micros(interval), list(flags))
 
     def rate(a, b):
         return F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 6)
 
+    rejected = [rate("_host_rej", "_count").alias("rerror_rate"),
+                rate("_srv_rej", "_srv_count").alias("srv_rerror_rate")] if reject_col else []
     return x.select(
         *df.columns, F.col("_count").cast("long").alias("count"),
         F.col("_srv_count").cast("long").alias("srv_count"),
         rate("_host_err", "_count").alias("serror_rate"),
-        rate("_srv_err", "_srv_count").alias("srv_serror_rate"),
+        rate("_srv_err", "_srv_count").alias("srv_serror_rate"), *rejected,
         rate("_same", "_count").alias("same_srv_rate"),
         F.round(F.lit(1.0) - F.try_divide(F.col("_same").cast("double"), F.col("_count").cast("double")), 6)
         .alias("diff_srv_rate"))

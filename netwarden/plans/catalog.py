@@ -1079,23 +1079,31 @@ def q_stream_timeline(spark, d):
 
 _FW_SQL = """
 SELECT row_id, user_id, attack_type, ts, CAST(is_error AS INTEGER) AS is_error,
-  CAST(count(*) OVER h AS BIGINT) AS "count", CAST(count(*) OVER s AS BIGINT) AS srv_count,
+  CAST(is_reject AS INTEGER) AS is_reject, CAST(count(*) OVER h AS BIGINT) AS "count", CAST(count(*) OVER s AS BIGINT) AS srv_count,
   round(sum(is_error) OVER h / CAST(count(*) OVER h AS DOUBLE), 6) AS serror_rate,
   round(sum(is_error) OVER s / CAST(count(*) OVER s AS DOUBLE), 6) AS srv_serror_rate,
+  round(sum(is_reject) OVER h / CAST(count(*) OVER h AS DOUBLE), 6) AS rerror_rate,
+  round(sum(is_reject) OVER s / CAST(count(*) OVER s AS DOUBLE), 6) AS srv_rerror_rate,
   round(count(*) OVER hs / CAST(count(*) OVER h AS DOUBLE), 6) AS same_srv_rate,
   round(1.0 - count(*) OVER hs / CAST(count(*) OVER h AS DOUBLE), 6) AS diff_srv_rate
-FROM (SELECT row_id, user_id, attack_type, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error FROM ev)
+FROM (SELECT row_id, user_id, attack_type, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error,
+             CAST(k % 11 = 0 AS INTEGER) AS is_reject FROM ev)
 WINDOW h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW),
        s AS (PARTITION BY attack_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW),
        hs AS (PARTITION BY user_id, attack_type ORDER BY ts
               RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"""
 
 
+def _error_flows(spark, d):
+    return AD.ev(spark, d).select("row_id", "user_id", "attack_type", "ts",
+                                  (F.col("attack_type") == "error").cast("int").alias("is_error"),
+                                  (F.col("k") % 11 == 0).cast("int").alias("is_reject"))
+
+
 @register("flow_window_features", _FW_SQL)
 def q_flow_window_features(spark, d):
-    e = AD.ev(spark, d).select("row_id", "user_id", "attack_type", "ts",
-                               (F.col("attack_type") == "error").cast("int").alias("is_error"))
-    return flow_window_features(e, "user_id", "attack_type", "ts", "is_error", interval="1h")
+    return flow_window_features(_error_flows(spark, d), "user_id", "attack_type", "ts", "is_error", interval="1h",
+                                reject_col="is_reject")
 
 
 # ---------------------------------------------------------------------------
@@ -1185,10 +1193,8 @@ def q_correlated_columns(spark, d):
 
 @register("flow_window_features_ranked", _FW_SQL)
 def q_flow_window_features_ranked(spark, d):
-    e = AD.ev(spark, d).select("row_id", "user_id", "attack_type", "ts",
-                               (F.col("attack_type") == "error").cast("int").alias("is_error"))
-    return flow_window_features(e, "user_id", "attack_type", "ts", "is_error", interval="1h",
-                                method="ranked")
+    return flow_window_features(_error_flows(spark, d), "user_id", "attack_type", "ts", "is_error", interval="1h",
+                                method="ranked", reject_col="is_reject")
 
 
 @register("contamination_threshold", f"""
@@ -1211,7 +1217,8 @@ def q_contamination_threshold(spark, d):
 @register("stream_flow_windows", """
 WITH w AS (SELECT user_id, CAST(is_error AS BIGINT) AS is_error,
                   CAST(time_bucket(INTERVAL 30 MINUTE, ts) AS TIMESTAMP) - k * INTERVAL 30 MINUTE AS window_start
-           FROM (SELECT user_id, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error FROM ev), range(2) t(k))
+           FROM (SELECT user_id, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error,
+             CAST(k % 11 = 0 AS INTEGER) AS is_reject FROM ev), range(2) t(k))
 SELECT user_id, window_start, window_start + INTERVAL 1 HOUR AS window_end,
        CAST(count(*) AS BIGINT) AS n, CAST(sum(is_error) AS BIGINT) AS n_errors
 FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE

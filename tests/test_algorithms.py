@@ -101,3 +101,35 @@ def test_approximate_median_fill_close_to_exact(spark):
     assert len(filled_e) == 1 and len(filled_a) == 1
     rng = g.agg(F.max("value_gap") - F.min("value_gap")).first()[0]
     assert abs(filled_e.pop() - filled_a.pop()) <= 0.01 * rng
+
+
+def test_burst_of_one_key_spreads_over_slices(spark, monkeypatch):
+    """Half of all rows are one host's within one interval: equal to the plain windows, also with null
+    keys and rows without a time, and no (key, slice) holds more than a slice's share."""
+    import random
+    from netwarden.operators import windows as W
+    rnd = random.Random(4)
+    base = 1_700_000_000_000_000
+    rows = [(i, "hot" if i < 1500 else rnd.choice(["a", "b", None]), rnd.choice(["x", "y", None]),
+             base + (rnd.randrange(2_000_000) if i < 1500 else rnd.randrange(60_000_000)), i % 3 == 0, i % 5 == 0)
+            for i in range(3000)] + [(3000, "hot", "x", None, True, True), (3001, None, None, None, False, True)]
+    df = spark.createDataFrame(rows, "row_id long, host string, service string, us long, e boolean, r boolean").select(
+        "row_id", "host", "service", F.timestamp_micros("us").alias("ts"), F.col("e").cast("int").alias("is_error"),
+        F.col("r").cast("int").alias("rej"))
+    sizes = []
+    plain = W._sliced_sums
+    monkeypatch.setattr(W, "_sliced_sums", lambda c, keys, *a: (
+        sizes.append(c.groupBy(*keys, "_slice").count().agg(F.max("count")).first()[0]), plain(c, keys, *a))[1])
+    got = flow_window_features(df, "host", "service", interval="2s", reject_col="rej")
+    assert sizes[0] < 60                                     # of 1500 in one interval
+    t = F.unix_micros("ts")
+    h, s, hs = (Window.partitionBy(*k).orderBy(t).rangeBetween(-2_000_000, 0)
+                for k in (["host"], ["service"], ["host", "service"]))
+    n = F.count(F.lit(1))
+    want = df.where("ts IS NOT NULL").select(
+        "row_id", n.over(h), n.over(s), F.round(F.sum("is_error").over(h) / n.over(h), 6),
+        F.round(F.sum("rej").over(s) / n.over(s), 6), F.round(n.over(hs) / n.over(h), 6))
+    cols = ["row_id", "count", "srv_count", "serror_rate", "srv_rerror_rate", "same_srv_rate"]
+    rows = {r["row_id"]: tuple(r) for r in got.select(*cols).collect()}
+    assert len(rows) == 3002 and rows[3000][1] is None and rows[3001][2] is None
+    assert {k: v for k, v in rows.items() if k < 3000} == {r["row_id"]: tuple(r) for r in want.collect()}
