@@ -1,8 +1,10 @@
 """Feature scaling, correlation, selection and assembly."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netwarden.functions.scalar import sql_str
@@ -47,41 +49,72 @@ def scale_features(df: DataFrame, params: dict[str, tuple[float, float]],
     return df.selectExpr(*keep + [f"{e} AS `{c}`" for c, e in exprs.items()])
 
 
-def correlation_matrix(df: DataFrame, cols: list[str], max_pairs_per_pass: int = 150,
-                       digits: int | None = 6) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: list[str], digits: int | None = 6) -> DataFrame:
     """Pearson correlation for each pair i < j (column order), pairwise deletion of NULL and NaN;
     unrounded where ``digits`` is None.
 
-    Built from ``covar_pop`` and ``var_pop`` of the jointly non-null rows with
-    ``try_divide``: a constant column yields NULL instead of an ANSI error.
-    Wide inputs are split into several passes to bound the aggregate width.
+    One scan for any number of columns: a task accumulates the cross products of its batches (k x k
+    blocks of pairwise counts, means and centred products) and sends one row per pair, which
+    Spark merges around the pair's means. Deviations are taken from a value of the column itself, so
+    that a constant column gives exactly zero, hence NULL, not an ANSI error.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     spark = df.sparkSession
-    if not pairs:
+    if len(cols) < 2:
         return spark.createDataFrame([], "feature_a string, feature_b string, corr double")
-    rounded = (lambda x: x) if digits is None else (lambda x: F.round(x, digits))
-    parts = []
-    for start in range(0, len(pairs), max_pairs_per_pass):
-        chunk = pairs[start:start + max_pairs_per_pass]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            none = F.lit(None).cast("double")
-            xa, xb = F.nanvl(F.col(a).cast("double"), none), F.nanvl(F.col(b).cast("double"), none)
-            both = xa.isNotNull() & xb.isNotNull()
-            aggs += [F.covar_pop(xa, xb).alias(f"c{i}"),
-                     F.var_pop(F.when(both, xa)).alias(f"va{i}"),
-                     F.var_pop(F.when(both, xb)).alias(f"vb{i}")]
-        wide = df.agg(*aggs)
-        cells = F.array(*[F.struct(
-            F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-            rounded(F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"va{i}") * F.col(f"vb{i}"))))
-            .alias("corr")) for i, (a, b) in enumerate(chunk)])
-        parts.append(wide.select(F.inline(cells)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    k = len(cols)
+    upper = np.triu_indices(k, 1)
+
+    def run(batches):
+        # per pair of columns (i, j): rows with both; means of i and of j over them; centred products ij, ii, jj
+        total = None
+        pivot = np.full(k, np.nan)
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(k)])
+            for i in np.flatnonzero(np.isnan(pivot)).tolist():
+                some = x[~np.isnan(x[:, i]), i]
+                pivot[i] = some[0] if len(some) else np.nan
+            there = ~np.isnan(x)
+            d = np.where(there, x - np.nan_to_num(pivot), 0.0)
+            m = there.astype(np.float64)
+            n, s = m.T @ m, d.T @ m                         # s[i, j]: sum of i over rows that have j
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = np.where(n > 0, s / n, 0.0)
+            new = [n, mean, d.T @ d - n * mean * mean.T, (d * d).T @ m - n * mean * mean]
+            total = new if total is None else _merged(total, new)
+        if total is None:
+            return
+        n, mean, cross, square = total
+        at = np.nan_to_num(pivot)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (upper[0].astype(np.int32), upper[1].astype(np.int32), n[upper],
+                                   mean[upper] + at[upper[0]], mean.T[upper] + at[upper[1]],
+                                   cross[upper], square[upper], square.T[upper])],
+            ["i", "j", "n", "mi", "mj", "c", "vi", "vj"])
+
+    def _merged(a, b):
+        n = a[0] + b[0]
+        safe = np.where(n > 0, n, 1.0)
+        delta = b[1] - a[1]
+        weight = a[0] * b[0] / safe
+        mean = np.where(a[0] > 0, np.where(b[0] > 0, a[1] + delta * b[0] / safe, a[1]), b[1])
+        return [n, mean, a[2] + b[2] + weight * delta * delta.T, a[3] + b[3] + weight * delta * delta]
+
+    vals = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = vals.mapInArrow(run, "i int, j int, n double, mi double, mj double, c double, vi double, vj double").where("n > 0")
+    # one row per task and pair, merged around the pair's means (as distances from the least one)
+    by = Window.partitionBy("i", "j")
+    parts = parts.withColumns({"di": F.col("mi") - F.min("mi").over(by), "dj": F.col("mj") - F.min("mj").over(by)})
+    parts = parts.withColumns({m: F.col(m) - F.sum(F.col("n") * F.col(m)).over(by) / F.sum("n").over(by) for m in ("di", "dj")})
+    merged = parts.groupBy("i", "j").agg(
+        (F.sum("c") + F.sum(F.col("n") * F.col("di") * F.col("dj"))).alias("c"),
+        (F.sum("vi") + F.sum(F.col("n") * F.col("di") * F.col("di"))).alias("vi"),
+        (F.sum("vj") + F.sum(F.col("n") * F.col("dj") * F.col("dj"))).alias("vj"))
+    names = F.array(*[F.lit(c) for c in cols])
+    corr = F.try_divide(F.col("c"), F.sqrt(F.col("vi") * F.col("vj")))
+    every = spark.range(k * k).selectExpr(f"CAST(id DIV {k} AS INT) AS i", f"CAST(id % {k} AS INT) AS j").where("i < j")
+    return every.join(merged, ["i", "j"], "left").select(
+        names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"),
+        (corr if digits is None else F.round(corr, digits)).alias("corr"))
 
 
 def correlated_to_drop(df: DataFrame, cols: list[str], threshold: float = 0.95) -> list[str]:

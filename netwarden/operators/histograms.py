@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from netwarden.sources.local import local_table
@@ -69,8 +71,8 @@ def kde_by_class(df: DataFrame, value_col: str, class_col: str, points: int = 30
 
     Bandwidth: Scott's rule, ``h = stddev_samp * n ** (-1/5)``.  Rows are
     first collapsed to (class, value, weight), which keeps the work exact and
-    bounded by distinct values; each of those meets the fixed grid inside its
-    task and partial aggregation sums the contributions before any shuffle.
+    bounded by distinct values; a task sums their kernels over the fixed grid in
+    arrays and sends one row per class and point, whatever its number of values.
 
     ``prebin`` (e.g. 10_000) snaps values to that many equal bins over the
     overall range before collapsing: the work becomes bounded by
@@ -98,14 +100,45 @@ def kde_by_class(df: DataFrame, value_col: str, class_col: str, points: int = 30
                                          F.stddev_samp("_x").alias("_sd"))
     stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     j = attach_small(weighted, stats.select(class_col, "_n", "_h"), class_col)
-    # Each distinct (class, value) meets the fixed grid (``points`` literals);
-    # partial aggregation folds the contributions map-side before the shuffle.
-    grid_col = F.array(*[F.lit(g) for g in grid])
-    contrib = j.select(class_col, "_n", "_h", "_x", "_w",
-                       F.posexplode(grid_col).alias("point", "x"))
-    z = F.try_divide(F.col("x") - F.col("_x"), F.col("_h"))
-    agg = contrib.groupBy(class_col, "_n", "_h", "point", "x").agg(
-        F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
-    norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2.0 * math.pi))
-    return agg.select(class_col, F.col("point").cast("int").alias("point"), "x",
-                      F.round(F.try_divide(F.col("_s"), norm), 6).alias("density"))
+    at = np.array(grid)
+
+    def sums(batches):
+        # density sums of every class over the grid; one row per class and point leaves a task
+        total: dict = {}
+
+        def out():
+            names = [c for c in total for _ in range(points)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, kind), pa.array(np.tile(np.arange(points, dtype=np.int32), len(total))),
+                 pa.array(np.concatenate([v[0] for v in total.values()])),
+                 pa.array(np.repeat([v[1] for v in total.values()], points))], ["_c", "point", "_s", "_norm"])
+
+        kind = None
+        for b in batches:
+            kind = b.column("_c").type
+            classes = b.column("_c").dictionary_encode()
+            of = classes.indices.to_numpy(zero_copy_only=False)
+            x, w, n, h = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("_x", "_w", "_n", "_h"))
+            for k, name in enumerate(classes.dictionary.to_pylist()):
+                rows = np.flatnonzero((of == k) & (h > 0))
+                for lo in range(0, len(rows), 4096):
+                    some = rows[lo:lo + 4096]
+                    z = (at[None, :] - x[some, None]) / h[some, None]
+                    v = total.setdefault(name, [np.zeros(points), n[some[0]] * h[some[0]] * root])
+                    v[0] += w[some] @ np.exp(-0.5 * z * z)
+                if not len(rows):                                  # one value only: no bandwidth
+                    total.setdefault(name, [np.zeros(points), float("nan")])
+            if len(total) > 1000:
+                yield out()
+                total = {}
+        if total:
+            yield out()
+
+    root = math.sqrt(2.0 * math.pi)
+    ctype = dict(df.dtypes)[class_col]
+    part = j.select(F.col(class_col).alias("_c"), F.col("_x").cast("double").alias("_x"), "_w", "_n", "_h").mapInArrow(
+        sums, f"_c {ctype}, point int, _s double, _norm double")
+    summed = part.groupBy("_c", "point").agg(F.sum("_s").alias("_s"), F.max("_norm").alias("_norm"))
+    xs = F.array(*[F.lit(g) for g in grid])
+    density = F.when(~F.isnan("_norm"), F.try_divide(F.col("_s"), F.col("_norm")))
+    return summed.select(F.col("_c").alias(class_col), "point", xs[F.col("point")].alias("x"), F.round(density, 6).alias("density"))

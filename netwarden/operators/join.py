@@ -1,7 +1,8 @@
 """Key-based pairings that replace the reference's positional alignment."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netwarden.operators.detect import combine_verdicts
@@ -9,19 +10,32 @@ from netwarden.schema import SEVERITY_ORDER
 from netwarden.sources.local import local_table
 
 
-class AlignmentError(ValueError):
-    pass
+#: What a job that checks its alignment ends with.
+AlignmentError = SparkRuntimeException
 
 
 def align_predictions(predictions: DataFrame, flows: DataFrame, key: str = "row_id",
-                      check: bool = True) -> DataFrame:
-    """Inner equi-join on the row key; with ``check`` a prediction without a
-    source row raises (the key-based form of the reference's length check)."""
-    if check:
-        orphans = predictions.select(key).join(flows.select(key), key, "left_anti").limit(1).count()
-        if orphans:
-            raise AlignmentError("predictions reference rows missing from the flow table")
-    return predictions.join(flows, key, "inner")
+                      check: bool = True, complete: bool = False) -> DataFrame:
+    """Predictions with their flow rows, joined on the row key.
+
+    With ``check`` (the key-based form of a length check) the same join asserts that predictions match flows one
+    to one: a prediction without a flow, a key that is missing or occurs twice on a side, and with
+    ``complete`` a flow without a prediction, stops the job with an ``AlignmentError``. Rows of a key are counted in the
+    join's own partitions: no further exchange, no job before it."""
+    if not check:
+        return predictions.join(flows, key, "inner")
+    per_key = Window.partitionBy(key)
+    p = predictions.withColumn("_np", F.count(F.lit(1)).over(per_key))
+    f = flows.withColumn("_nf", F.count(F.lit(1)).over(per_key))
+    k = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+    wrong = (F.when(F.col(key).isNull(), F.lit("a row without a key"))
+             .when(F.col("_nf").isNull(), F.concat(F.lit("prediction without a flow row: "), k))
+             .when(F.col("_np").isNull(), F.concat(F.lit("flow row without a prediction: "), k))
+             .when(F.col("_np") > 1, F.concat(F.lit("several predictions for one row: "), k))
+             .when(F.col("_nf") > 1, F.concat(F.lit("several flow rows with one key: "), k)))
+    joined = p.join(f, key, "full_outer" if complete else "left").withColumn("_wrong", wrong)
+    checked = joined.where(F.when(F.col("_wrong").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("_wrong")).cast("boolean")))
+    return checked.drop("_np", "_nf", "_wrong")
 
 
 def assemble_detections(rf: DataFrame, iso: DataFrame, key: str = "row_id",

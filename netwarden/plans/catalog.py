@@ -1055,7 +1055,7 @@ def q_stream_detect(spark, d):
 def q_stream_kpis(spark, d):
     out, ck = _paths(spark, "stream_kpis")
     ST.run_to_end(ST.stream_kpis(_stream_alerts(spark, d), out, ck))
-    return spark.read.parquet(out)
+    return ST.current(spark, out, "severity string, n_alerts bigint")
 
 
 @register("stream_recent", """SELECT * FROM al ORDER BY "timestamp" DESC NULLS LAST, row_id DESC LIMIT 12""")
@@ -1069,11 +1069,10 @@ def q_stream_recent(spark, d):
 @register("stream_timeline", """
 WITH w AS (SELECT CAST(time_bucket(INTERVAL 1 HOUR, "timestamp") AS TIMESTAMP) AS window_start,
                   CAST(count(*) AS BIGINT) AS n_alerts FROM al GROUP BY 1)
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n_alerts FROM w
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM al) - INTERVAL 10 MINUTE""")
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n_alerts FROM w""")
 def q_stream_timeline(spark, d):
     out, ck = _paths(spark, "stream_timeline")
-    ST.run_to_end(ST.stream_timeline(_stream_alerts(spark, d), out, ck))
+    ST.run_finished(spark, lambda: ST.stream_timeline(_stream_alerts(spark, d), out, ck), ck)
     return spark.read.parquet(out)
 
 
@@ -1217,18 +1216,17 @@ def q_contamination_threshold(spark, d):
 @register("stream_flow_windows", """
 WITH w AS (SELECT user_id, CAST(is_error AS BIGINT) AS is_error,
                   CAST(time_bucket(INTERVAL 30 MINUTE, ts) AS TIMESTAMP) - k * INTERVAL 30 MINUTE AS window_start
-           FROM (SELECT user_id, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error,
-             CAST(k % 11 = 0 AS INTEGER) AS is_reject FROM ev), range(2) t(k))
+           FROM (SELECT user_id, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error FROM ev), range(2) t(k))
 SELECT user_id, window_start, window_start + INTERVAL 1 HOUR AS window_end,
        CAST(count(*) AS BIGINT) AS n, CAST(sum(is_error) AS BIGINT) AS n_errors
-FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE
+FROM w
 GROUP BY user_id, window_start""")
 def q_stream_flow_windows(spark, d):
     out, ck = _paths(spark, "stream_flow_windows")
     flows = AD.events_as_flows(_event_stream(spark, d)).withColumn(
         "is_error", (F.col("attack_type") == "error").cast("int"))
-    ST.run_to_end(ST.stream_window_counts(flows, "user_id", out, ck, window="1 hour", slide="30 minutes",
-                                          watermark="10 minutes", error_col="is_error"))
+    ST.run_finished(spark, lambda: ST.stream_window_counts(
+        flows, "user_id", out, ck, window="1 hour", slide="30 minutes", watermark="10 minutes", error_col="is_error"), ck)
     return spark.read.parquet(out)
 
 
@@ -1269,3 +1267,16 @@ def q_detect_raw_flows(spark, d):
                       F.count_if(F.col("if_anomaly_score") != 0).alias("n_scored"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@register("stream_trailing_sums", """
+SELECT row_id, CAST(count(*) OVER h AS BIGINT) AS "count", CAST(sum(is_error) OVER h AS BIGINT) AS n_errors
+FROM (SELECT row_id, user_id, ts, CAST(attack_type = 'error' AS INTEGER) AS is_error FROM ev)
+WINDOW h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""")
+def q_stream_trailing_sums(spark, d):
+    out, ck = _paths(spark, "stream_trailing_sums")
+    flows = AD.events_as_flows(_event_stream(spark, d)).withColumn("is_error", (F.col("attack_type") == "error").cast("int"))
+    ST.run_finished(spark, lambda: ST.stream_trailing_sums(
+        flows, ["user_id"], out, ck, interval="1h", sums={"n_errors": "is_error"}, watermark="10 minutes",
+        count_col="count"), ck)
+    return spark.read.parquet(out)

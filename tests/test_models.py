@@ -79,10 +79,17 @@ def test_detect_modes_and_missing_features(spark, em):
 def test_alignment_is_by_key(spark):
     preds = spark.createDataFrame([(1, 1), (5, 1)], "row_id long, y_pred int")
     flows = spark.createDataFrame([(1, "DoS"), (2, "NORMAL")], "row_id long, attack_type string")
-    with pytest.raises(AlignmentError):
-        align_predictions(preds, flows)
+    with pytest.raises(AlignmentError, match="without a flow row: 5"):
+        align_predictions(preds, flows).collect()
     ok = align_predictions(preds.where("row_id = 1"), flows).collect()
     assert [(r["row_id"], r["attack_type"]) for r in ok] == [(1, "DoS")]
+    one = preds.where("row_id = 1")
+    for p, f, complete, why in ((one, flows, True, "without a prediction: 2"), (one.union(one), flows, False, "several predictions"),
+                                (one, flows.union(flows), False, "several flow rows"),
+                                (one.selectExpr("CAST(NULL AS BIGINT) AS row_id", "y_pred"), flows, False, "without a key")):
+        with pytest.raises(AlignmentError, match=why):
+            align_predictions(p, f, complete=complete).collect()
+    assert align_predictions(one, flows.where("row_id = 1"), complete=True).count() == 1
 
 
 def test_pipeline_alerts_carry_their_own_context(spark):
