@@ -44,9 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     MADE.append((path, None))
     df.write.option("compression", "zstd").parquet(path)
+    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Ask both collectors to drop the plans that are done, and with them their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The table that `make` plans, stored; all that was stored on the way to it is deleted, and the
     collector is asked to drop the shuffles that no plan holds any more."""
@@ -59,8 +66,7 @@ def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     MADE[mark:] = [kept]
-    gc.collect()
-    spark._jvm.System.gc()
+    sweep(spark)
     return out
 
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.llm.common import MADE, map_arrow
+from netwarden.llm.common import MADE, map_arrow, sweep
 from netwarden.session import scratch_path
 
 #: Tokens of one chunk (or one longer document) and distinct keys of one bucket, about.
@@ -139,6 +139,7 @@ def bucketed(df: DataFrame, name: str, n: int) -> DataFrame:
     MADE.append((path, table))
     df.write.bucketBy(n, "chunk").option("path", path).option("compression", "zstd") \
         .format("parquet").saveAsTable(table)
+    sweep(spark)
     return spark.table(table)
 
 
