@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.llm.common import map_arrow, stored
+from netwarden.llm.common import finished, map_arrow, stored
 from netwarden.llm.packed import bucketed, counts_of, packed_rows, rows_of, table_buckets, with_counts
 
 WINDOW, GRAM = 200, 64
@@ -359,14 +359,14 @@ def cut_texts(docs: DataFrame, text: str = "text", with_text: bool = False) -> D
 
 def dedup_report(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    cut = stored(cut_texts(docs, text).drop("kept"), "cut-texts")
+    cut = finished(lambda: cut_texts(docs, text).drop("kept"), "cut-texts")
     return docs.select("doc_id", _name(text).alias("name")).join(cut, "name", "left").drop("name")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
     """The documents without their repeated strings (a character cut in half goes too). Documents of
     which nothing but white space is left are dropped if something was removed."""
-    cut = stored(cut_texts(docs, text, True).select("name", "n_removed", "kept"), "cut-texts")
+    cut = finished(lambda: cut_texts(docs, text, True).select("name", "n_removed", "kept"), "cut-texts")
     name = "_name"
     while name in docs.columns:
         name += "_"
