@@ -379,9 +379,10 @@ from netwarden.operators import histograms as H  # noqa: E402
 
 
 @register("profile_shape", """
-SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS INTEGER) AS n_columns FROM li""")
+SELECT CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS n_rows,
+       CAST((SELECT count(*) FROM (DESCRIBE SELECT * FROM lineitem)) AS INTEGER) AS n_columns""")
 def q_profile_shape(spark, d):
-    return PR.profile_shape(AD.li(spark, d))
+    return PR.profile_shape(AD.read_table(spark, d, "lineitem"))
 
 
 @register("profile_dtypes")
@@ -893,7 +894,7 @@ def q_default_features(spark, d):
 def _pipeline_flows(spark, d):
     g = AD.with_gaps(AD.ev(spark, d))
     return g.select("row_id", "label", "attack_type", "ts", F.col("user_id").cast("string").alias("src_ip"),
-                    "user_id", "value_gap", "k7", "hour_of_day", "protocol_type", "attack_gap")
+                    "user_id", "value_gap", "k7", "hour_of_day", "protocol_type")
 
 
 @register("run_pipeline")
