@@ -55,7 +55,7 @@ def op1(spark, d):
 @_query("op6_reshard")
 def op6(spark, d):
     # the old layout: the corpus lies in eight shards by source
-    return reshard.shard_report(read(spark, d, "documents"), F.pmod(F.xxhash64("source"), F.lit(8)), 8)
+    return reshard.shard_report(read(spark, d, "documents"), F.pmod(F.xxhash64("source"), F.lit(8)))
 
 
 @_query("op10_lm_score")

@@ -193,7 +193,7 @@ def test_reshard(docs_of, spark, tmp_path):
     from pyspark.sql import functions as F
     rows = [(i, "x" * random.Random(i).randrange(400)) for i in range(400)] + [(None, None), (1, "dup"), (1, "dup")]
     docs = docs_of(rows)
-    got = reshard.shard_report(docs, F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0), 2).collect()
+    got = reshard.shard_report(docs, F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).collect()
     sizes, slots = collections.Counter(), collections.defaultdict(list)
     for r in got:
         sizes[r.shard] += r.size
