@@ -1,10 +1,14 @@
 """Host-level quality rules, as DataFrame expressions only.
 
 Every document is measured; its rule failures are summed by host (the `source`
-column), each host's failure rate is shrunk towards the corpus by a beta prior
-fitted to all hosts (method of moments), and a host whose shrunk rate for any
-rule exceeds ``max_rate`` is rejected as a whole: the verdict is joined back to
-its documents.
+column), and each host's failure rate is shrunk towards the corpus by a beta prior
+fitted to all hosts by moments, with the variance that sampling alone explains taken
+out. The verdicts are joined back to the documents:
+
+* a host whose shrunk rate for any rule exceeds ``max_rate`` is rejected as a whole;
+* a host whose shrunk rate for a rule lies more than ``STAND_OUT`` prior standard
+  deviations above the corpus rate stands out in that rule, and its documents that fail
+  the rule go. Where the hosts vary no more than sampling does, none stands out.
 
 Defined cases: a null or blank text has no words and fails the base rules; a
 null host forms a group of its own; an empty table gives an empty result;
@@ -21,8 +25,10 @@ from netwarden.llm.common import BROADCAST_ROWS, SPACE, small, stored, words
 MIN_WORDS = 50
 #: A host is rejected when a rule's shrunk failure rate is above this.
 MAX_RATE = 0.75
-#: Prior strength (pseudo documents) where the hosts do not vary.
-FLAT_STRENGTH = 10.0
+#: Prior standard deviations above the corpus rate from which a host stands out in a rule.
+STAND_OUT = 1.0
+#: Correlation within hosts up to which they count as alike (above the rounding of the sums).
+ALIKE = 1e-6
 
 #: Rules whose failures are summed by host: SQL over the measures.
 RULES = {
@@ -83,20 +89,24 @@ def base_failed(m: str) -> Column:
 
 
 def host_verdicts(measured: DataFrame, host: str, m: str, max_rate: float = MAX_RATE) -> DataFrame:
-    """host, host_rejected: one row per host, from partial sums (a hot host is
-    collapsed before the shuffle)."""
+    """host, host_rejected and, per rule, out_<rule> (the host stands out in it): one row per host,
+    from partial sums (a hot host is collapsed before the shuffle)."""
     fails = [F.count_if(_rule(sql, m)).cast("double").alias(f"f_{r}") for r, sql in RULES.items()]
     hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), *fails)
     hosts = stored(hosts, "hosts")
-    prior = hosts.agg(*[x for r in RULES for x in (
-        (F.sum(f"f_{r}") / F.sum("n")).alias(f"m_{r}"),
-        F.var_pop(F.col(f"f_{r}") / F.col("n")).alias(f"v_{r}"))])
+    sums = hosts.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("t2"),
+                     F.count(F.lit(1)).cast("double").alias("h"),
+                     *[x for r in RULES for x in (F.sum(f"f_{r}").alias(f"s_{r}"),
+                                                  F.sum(F.col(f"f_{r}") * F.col(f"f_{r}") / F.col("n")).alias(f"q_{r}"))])
+    prior = sums.select(*[F.expr(x).alias(name) for r in RULES for name, x in
+                          ((f"m_{r}", f"s_{r} / t"), (f"v_{r}", correlation(r)))])
     joined = hosts.join(F.broadcast(prior))          # one row
     bad = F.lit(False)
     for r in RULES:
-        bad = bad | (shrunk(f"f_{r}", "n", f"m_{r}", f"v_{r}") > max_rate)
-    return stored(joined.select("host", bad.alias("host_rejected")), "host_verdicts")
+        bad = bad | (F.expr(shrunk(r)) > max_rate)
+    outs = [F.expr(stands_out(r)).alias(f"out_{r}") for r in RULES]
+    return stored(joined.select("host", bad.alias("host_rejected"), *outs), "host_verdicts")
 
 
 def _rule(sql: str, m: str) -> Column:
@@ -105,18 +115,34 @@ def _rule(sql: str, m: str) -> Column:
     return F.expr(sql)
 
 
-def shrunk(f: str, n: str, mean: str, var: str) -> Column:
-    """Posterior mean of a host's failure rate: (f + a) / (n + a + b), where the
-    prior's strength a + b is mean (1 - mean) / variance - 1 over the hosts."""
-    strength = (f"CASE WHEN {var} > 0 AND {mean} * (1 - {mean}) / {var} - 1 > 0 "
-                f"THEN {mean} * (1 - {mean}) / {var} - 1 ELSE {FLAT_STRENGTH} END")
-    return F.expr(f"({f} + {mean} * ({strength})) / ({n} + ({strength}))")
+def correlation(r: str) -> str:
+    """SQL over the sums of all hosts: how alike the documents of one host are in failing a rule (1 / (a + b + 1)
+    of the beta prior), by moments; the spread of the host rates that sampling explains is taken out."""
+    m = f"(s_{r} / t)"
+    within = f"{m} * (1 - {m})"
+    return (f"CASE WHEN {within} > 0 AND t - t2 / t - (h - 1) > 0 THEN "
+            f"(q_{r} - t * {m} * {m} - {within} * (h - 1)) / ({within} * (t - t2 / t - (h - 1))) ELSE 0 END")
+
+
+def shrunk(r: str) -> str:
+    """SQL: posterior mean of a host's failure rate, (f + a) / (n + a + b); the corpus rate where hosts are alike."""
+    k = f"(1 / v_{r} - 1)"
+    return (f"CASE WHEN v_{r} >= 1 THEN f_{r} / n WHEN v_{r} > {ALIKE} THEN (f_{r} + m_{r} * {k}) / (n + {k}) ELSE m_{r} END")
 
 
-def _with_hosts(df: DataFrame, verdicts: DataFrame, host: str, into: str) -> DataFrame:
-    v = small(verdicts.select(F.col("host").alias(f"{into}_host"), F.col("host_rejected").alias(into)),
-              BROADCAST_ROWS)
-    return df.join(v, F.col(f"`{host}`").eqNullSafe(F.col(f"{into}_host")), "left").drop(f"{into}_host")
+def stands_out(r: str) -> str:
+    return f"v_{r} > {ALIKE} AND {shrunk(r)} > m_{r} + {STAND_OUT} * sqrt(m_{r} * (1 - m_{r}) * least(1, v_{r}))"
+
+
+def _with_hosts(df: DataFrame, verdicts: DataFrame, host: str, m: str, into: str) -> DataFrame:
+    """Add whether the document goes by its host's verdicts."""
+    v = small(verdicts.select(F.col("host").alias(f"{into}_host"), F.struct(
+        "host_rejected", *[f"out_{r}" for r in RULES]).alias(f"{into}_verdict")), BROADCAST_ROWS)
+    goes = F.col(f"{into}_verdict.host_rejected")
+    for r, sql in RULES.items():
+        goes = goes | (F.col(f"{into}_verdict.out_{r}") & _rule(sql, m))
+    return df.join(v, F.col(f"`{host}`").eqNullSafe(F.col(f"{into}_host")), "left") \
+        .withColumn(into, F.coalesce(goes, F.lit(False))).drop(f"{into}_host", f"{into}_verdict")
 
 
 def quality_report(docs: DataFrame, host: str = "source", text: str = "text",
@@ -126,10 +152,10 @@ def quality_report(docs: DataFrame, host: str = "source", text: str = "text",
     The measures are taken once and stored (narrow rows); the texts are not shuffled."""
     narrow = docs.select("doc_id", F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
     m = stored(measure(narrow).drop("text"), "measures")
-    out = _with_hosts(m, host_verdicts(m, "host", "m", max_rate), "host", "host_rejected")
+    out = _with_hosts(m, host_verdicts(m, "host", "m", max_rate), "host", "m", "goes")
     failed = base_failed("m")
     return out.select("doc_id", *[f"m.{k}" for k in MEASURES[:-1]], failed.alias("base_failed"),
-                      (~failed & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
+                      (~failed & ~F.col("goes")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text",
@@ -141,20 +167,17 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text",
     measured = stored(measure(docs, text, m).select(*cols, m), "measured-documents")
     verdicts = host_verdicts(measured.select(F.col(f"`{host}`").alias("host"), F.col(m).alias("m")),
                              "host", "m", max_rate)
-    kept = _with_hosts(measured.filter(~base_failed(m)), verdicts, host, r)
-    return kept.filter(~F.coalesce(F.col(r), F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = _with_hosts(measured.filter(~base_failed(m)), verdicts, host, m, r)
+    return kept.filter(~F.col(r)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _oracle(tail: str) -> str:
     word = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
     rules = ", ".join(f"count_if({sql})::DOUBLE AS f_{r}" for r, sql in RULES.items())
-    prior = ", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, var_pop(f_{r} / n) AS v_{r}" for r in RULES)
-    post = []
-    for r in RULES:
-        m, v = f"m_{r}", f"v_{r}"
-        k = (f"(CASE WHEN {v} > 0 AND {m} * (1 - {m}) / {v} - 1 > 0 "
-             f"THEN {m} * (1 - {m}) / {v} - 1 ELSE {FLAT_STRENGTH} END)")
-        post.append(f"(f_{r} + {m} * {k}) / (n + {k}) > {MAX_RATE}")
+    sums = ", ".join(f"sum(f_{r}) AS s_{r}, sum(f_{r} * f_{r} / n) AS q_{r}" for r in RULES)
+    prior = ", ".join(f"s_{r} / t AS m_{r}, {correlation(r)} AS v_{r}" for r in RULES)
+    post = [f"{shrunk(r)} > {MAX_RATE}" for r in RULES]
+    outs = ", ".join(f"{stands_out(r)} AS out_{r}" for r in RULES)
     return f"""
 WITH w0 AS (SELECT row_number() OVER () AS rid, *, {word} AS w,
               list_filter(string_split(coalesce(text, ''), chr(10)),
@@ -171,11 +194,12 @@ m AS (SELECT w0.* EXCLUDE (w, ls), len(w)::BIGINT AS n_words,
       FROM w0 LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 h AS (SELECT source AS host, count(*)::DOUBLE AS n, {rules} FROM b GROUP BY source),
-p AS (SELECT {prior} FROM h),
-v AS (SELECT host, {' OR '.join(post)} AS host_rejected FROM h, p)
+a AS (SELECT sum(n) AS t, sum(n * n) AS t2, count(*)::DOUBLE AS h, {sums} FROM h),
+p AS (SELECT {prior} FROM a),
+v AS (SELECT host, {' OR '.join(post)} AS host_rejected, {outs} FROM h, p)
 {tail}"""
 
 
 ORACLE = _oracle("""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(host_rejected, false) AS kept
+  NOT base_failed AND NOT coalesce(host_rejected""" + "".join(f" OR (out_{r} AND ({sql}))" for r, sql in RULES.items()) + """, false) AS kept
 FROM b LEFT JOIN v ON b.source IS NOT DISTINCT FROM v.host""")

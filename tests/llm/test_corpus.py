@@ -248,15 +248,38 @@ def _good(rows):
         measured.append((host, len(w) < 50, 100 * repeat > 50 * len(w), 2 * sum(c in "#*$%&|<>" for c in t) > len(w),
                          10 * (len(lines) - len(set(lines))) > 3 * len(lines), chars < 2 * len(w) or chars > 14 * len(w)))
     size = collections.Counter(m[0] for m in measured)
-    bad = set()
+    n, hosts, bad, out = len(rows), len(size), set(), set()
     for rule in range(1, 6):
         fails = collections.Counter(m[0] for m in measured if m[rule])
-        mean, rates = sum(fails.values()) / len(rows), [fails[h] / n for h, n in size.items()]
-        var = sum(x * x for x in rates) / len(rates) - (sum(rates) / len(rates)) ** 2
-        k = mean * (1 - mean) / var - 1 if var > 0 else 0
-        k = k if k > 0 else 10
-        bad |= {h for h, n in size.items() if (fails[h] + mean * k) / (n + k) > 0.75}
-    return [r for r, m in zip(rows, measured) if not m[1] and not m[2] and m[0] not in bad], bad
+        mean = sum(fails.values()) / n
+        within, room = mean * (1 - mean), n - sum(x * x for x in size.values()) / n - (hosts - 1)
+        spread = sum(x * (fails[h] / x - mean) ** 2 for h, x in size.items())
+        alike = (spread - within * (hosts - 1)) / (within * room) if within > 0 and room > 0 else 0
+        k = 1 / min(alike, 1) - 1 if alike > 1e-6 else float("inf")
+        for h, x in size.items():
+            rate = mean if k == float("inf") else (fails[h] + mean * k) / (x + k)
+            if rate > 0.75:
+                bad.add(h)
+            if alike > 1e-6 and rate > mean + (within * min(alike, 1)) ** 0.5:
+                out.add((h, rule))
+    return [r for r, m in zip(rows, measured) if not m[1] and not m[2] and m[0] not in bad
+            and not any(m[rule] and (m[0], rule) in out for rule in range(3, 6))], bad
+
+
+def test_quality_equals_brute_force(docs_of):
+    # symbols are frequent on host s alone: its documents that fail that rule go, those of other hosts stay
+    from netwarden.llm import quality_rules
+    good = " ".join(f"word{i} and" for i in range(40))
+    rng = random.Random(2)
+    rows = [(i, good + (" # " * 60 if i % 6 == 0 and rng.random() < 0.5 or i % 40 == 1 else "")
+             + (("\nline" * 60) if i % 35 == 2 else ""), "s" if i % 6 == 0 else f"h{i % 6}") for i in range(600)]
+    kept, bad = _good(rows)
+    want = {i for i, _, _ in kept}
+    got = quality_rules.quality_report(docs_of([r[:2] for r in rows], {i: h for i, _, h in rows})).collect()
+    gone = {r.doc_id for r in got if not r.kept and not r.base_failed}
+    assert not bad and {r.doc_id for r in got if r.kept} == want
+    assert gone and all(i % 6 == 0 for i in gone)
+    assert any("#" in t and i % 6 and i in want for i, t, _ in rows)
 
 
 def test_pipeline_equals_a_plain_chain(spark, tmp_path, monkeypatch):

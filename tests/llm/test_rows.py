@@ -241,3 +241,12 @@ def test_short_items_with_edits_equal_brute_force():
             want = [(i, n) for i, x in enumerate(items)
                     if (n := _edits(x, text)) <= int(len(x) * decontaminate.MAX_EDITS)]
             assert index.find(text) == want
+
+
+def test_host_verdict_decides_on_the_given_table(spark):
+    # sf0.01: failures of the repeated-line rule cluster on hosts more than sampling explains, so the hosts that
+    # stand out lose the documents that fail it
+    from netwarden.llm.common import read
+    got = quality_rules.quality_report(read(spark, "/root/testdata/sf0.01", "documents"))
+    gone = got.filter("kept != NOT base_failed").collect()
+    assert gone and all(r.n_dup_lines > 0 and not r.kept for r in gone)
