@@ -271,7 +271,7 @@ def test_quality_equals_brute_force(docs_of):
     from netwarden.llm import quality_rules
     good = " ".join(f"word{i} and" for i in range(40))
     rng = random.Random(2)
-    rows = [(i, good + (" # " * 60 if i % 6 == 0 and rng.random() < 0.5 or i % 40 == 1 else "")
+    rows = [(i, good + (" " + "#" * 100 if i % 6 == 0 and rng.random() < 0.5 or i % 40 == 1 else "")
              + (("\nline" * 60) if i % 35 == 2 else ""), "s" if i % 6 == 0 else f"h{i % 6}") for i in range(600)]
     kept, bad = _good(rows)
     want = {i for i, _, _ in kept}
