@@ -8,6 +8,7 @@ from netwarden.functions.scalar import (
     severity_rank, sql_alert_id, sql_classify_severity, sql_clip_confidence, sql_protocol_name,
     sql_recommend_action, sql_str, sql_threat_type_name,
 )
+from netwarden.operators.join import reduce_by_keys
 from netwarden.schema import ALERT_SCHEMA, ALERT_STATUS_OPEN
 
 ALERT_COLUMNS = [f.name for f in ALERT_SCHEMA.fields]
@@ -70,13 +71,14 @@ def generate_alerts(detections: DataFrame, flows: DataFrame | None = None,
     """Detections (+ optional flow context joined on ``row_id``) -> alerts.
 
     Alignment is by key, never by position.  When the flow context lives in a
-    separate table it is joined after the positives are filtered. A positive
-    without a flow row keeps its alert, with an empty context.
+    separate table it is reduced by the keys of the positives (a bitmap filter of
+    fixed size) before the exchange, so that only flows with an alert are shuffled.
+    A positive without a flow row keeps its alert, with an empty context.
     """
     pos = filter_threats(detections, "final_prediction")
     if flows is not None:
         ctx = [c for c in flows.columns if c not in pos.columns or c == "row_id"]
-        pos = pos.join(flows.select(*ctx), "row_id", "left")
+        pos = pos.join(reduce_by_keys(flows.select(*ctx), pos.select("row_id")), "row_id", "left")
     return alert_projection(pos, prob_col=prob_col, policy=policy)
 
 

@@ -38,6 +38,25 @@ def align_predictions(predictions: DataFrame, flows: DataFrame, key: str = "row_
     return checked.drop("_np", "_nf", "_wrong")
 
 
+#: Bits of the key filter: its table has at most FILTER_BITS / 8 bytes (16 MB), whatever the number of keys.
+FILTER_BITS = 1 << 27
+
+
+def reduce_by_keys(rows: DataFrame, keys: DataFrame, key: str = "row_id") -> DataFrame:
+    """The rows whose key may occur among the keys: all that do, and of the others those whose hash meets one
+    of the keys' (at most keys / 2^27 of them). Nothing is exchanged but the filter, a bitmap over key hashes of
+    fixed size that is broadcast; rows with a null key go. Join by the key afterwards."""
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)) + 1
+    bitmap = keys.where(F.col(key).isNotNull()).groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.col("_bucket").isNotNull() & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    found = rows.where(F.col(key).isNotNull()).withColumn("_bucket", F.bitmap_bucket_number(bit)) \
+        .join(F.broadcast(bitmap), "_bucket").where(hit)
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def assemble_detections(rf: DataFrame, iso: DataFrame, key: str = "row_id",
                         mode: str = "combined") -> DataFrame:
     """Forest and isolation results scored in separate jobs, joined on the key."""
