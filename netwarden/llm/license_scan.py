@@ -119,8 +119,8 @@ UNDER = ("\\b((licensed|released|distributed|available|provided|covered)( \\w+)?
 
 def _form(k: str, p: str) -> str:
     """The pattern of a known sentence anywhere in a longer one."""
-    if p.startswith(_SPDX):              # any member of an expression: MIT OR Apache-2.0
-        return f"(?<={_SPDX}(?:[a-z0-9<>_ ]{{1,80}} (?:or|and) )?){p[len(_SPDX):]}"
+    if p.startswith(_SPDX):              # every member of an expression has the prefix of its own by then
+        return f"(?<={_SPDX}){p[len(_SPDX):]}"
     if p.startswith(_UNDER):
         return UNDER + p[len(_UNDER):]
     if k == "or_later":
@@ -128,6 +128,9 @@ def _form(k: str, p: str) -> str:
     return p.replace("^", "\\b").replace(".*", "[a-z0-9 ]*")
 
 
+#: Between two members of an SPDX expression of any length: MIT OR (Apache-2.0 AND BSD-3-Clause).
+MEMBER = " (?:or|and) (?!later\\b)"
+
 #: What the scan looks for, in order: a match is taken out of the sentence and leaves its identifier.
 FORMS = [(f"spdx_gpl_{v}_later", _form("", f"{_SPDX}gpl {v} 0 or later\\b")) for v in (3, 2)] \
     + [(k, _form(k, p)) for k, p in SENTENCES] \
@@ -164,7 +167,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     rest = [x for x in FORMS if _SPDX not in x[1]]
     df = df.select("doc_id", F.flatten(F.transform("s", lambda s: F.regexp_extract_all(
-        F.when(s.contains(_SPDX), tagged(s, FORMS)).otherwise(tagged(s, rest)), F.lit("<(\\w+)>"), F.lit(1)))).alias("ids"))
+        F.when(s.contains(_SPDX), tagged(F.regexp_replace(s, MEMBER, " " + _SPDX), FORMS)).otherwise(tagged(s, rest)), F.lit("<(\\w+)>"), F.lit(1)))).alias("ids"))
     # Rules in order: state is (rest of the sequence, licences found).
     seq = F.concat(F.lit(""), F.array_join(F.transform("ids", lambda k: F.concat(F.lit("<"), k, F.lit(">"))), ""))
     df = df.select("doc_id", "ids", F.struct(seq.alias("rest"), F.lit("").alias("found")).alias("z"))

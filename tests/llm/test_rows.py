@@ -250,3 +250,12 @@ def test_host_verdict_decides_on_the_given_table(spark):
     got = quality_rules.quality_report(read(spark, "/root/testdata/sf0.01", "documents"))
     gone = got.filter("kept = base_failed").collect()
     assert gone and all(r.n_dup_lines > 0 and not r.kept for r in gone)
+
+
+def test_spdx_expression_of_any_length(docs_of):
+    many = " OR ".join(["GPL-2.0-or-later", *["LicenseRef-something-quite-long-" + "x" * 40 + str(i) for i in range(30)],
+                        "(BSD-3-Clause AND Apache-2.0)", "MIT"])
+    rows = [(1, f"SPDX-License-Identifier: {many}"), (2, "// SPDX-License-Identifier: GPL-2.0+ AND MIT\nint x;")]
+    got = {r.doc_id: set(r.licenses.split(",")) for r in license_scan.scan(docs_of(rows)).collect()}
+    assert got[1] == {"GPL-2.0-or-later", "BSD-3-Clause", "Apache-2.0", "MIT"}
+    assert got[2] == {"GPL-2.0-or-later", "MIT"}
