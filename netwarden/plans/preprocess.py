@@ -38,6 +38,17 @@ class Prepared:
 CONTEXT_COLUMNS = ("attack_type", "ts", "src_ip", "dst_ip", "port")
 
 
+#: Prepared rows below which a partition is not worth a task of its own.
+ROWS_A_TASK = 4096
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A stored table over as many partitions as the session has cores. What comes out of the shuffles is
+    merged to a few partitions by its bytes, but training and scoring cost far more a row than reading."""
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_A_TASK)
+    return rows.repartition(tasks).checkpoint(eager=True) if tasks > rows.rdd.getNumPartitions() else rows
+
+
 def preprocess(df: DataFrame, key: str = "row_id", label_col: str = "label",
                drop=CONTEXT_COLUMNS, test_fraction: float = 0.25, seed: int = 42,
                exact_median: bool = True, checkpoint: bool = True) -> Prepared:
@@ -50,7 +61,7 @@ def preprocess(df: DataFrame, key: str = "row_id", label_col: str = "label",
     x = C.dedup_rows(x, features, key=key, label_col=label_col, count_col=None)
     x = SP.stratified_split(x, label_col, key, test_fraction, seed)
     if checkpoint:
-        x = x.checkpoint(eager=True)   # cut the lineage: later stages re-read this table
+        x = spread(x.checkpoint(eager=True))   # cut the lineage: later stages re-read this table
     stats = FE.scaler_fit(x.where(F.col("split") == "train"), features)
     return Prepared(x.select(key, label_col, "split", *features), features,
                     FE.scaler_params(stats), fitted)

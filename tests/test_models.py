@@ -135,3 +135,13 @@ def test_bundle_with_one_model(spark, em):
         ["f00,raw"], IF.train_isolation_forest(em, FEATS[:1], n_trees=2).nodes, 4)), spark, path)
     loaded = DT.load_models(spark, path)
     assert loaded.forest is None and loaded.isolation.features == ["f00,raw"]
+
+
+def test_prepared_rows_are_spread_over_the_cores(spark):
+    from netwarden.plans.preprocess import ROWS_A_TASK, preprocess
+    n = 10 * ROWS_A_TASK
+    df = spark.range(n, numPartitions=1).selectExpr("id AS row_id", "CAST(id % 3 = 0 AS INT) AS label", "id * 0.5D AS x", "hash(id) AS y")
+    data = preprocess(df).data
+    assert data.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, 10)
+    assert data.select("row_id", "x", "y").exceptAll(df.select("row_id", "x", F.col("y").cast("double"))).isEmpty()
+    assert data.count() == n and data.where("split = 'train'").count() == n - sum(-(-c // 4) for c in (n - -(-n // 3), -(-n // 3)))
