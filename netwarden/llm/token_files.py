@@ -36,6 +36,8 @@ MAGIC = b"NWTK"
 BLOCK_IDS = 1 << 16
 #: Chunks of one call of the library, and bytes of ids of one part of the files, about.
 CALL, PART_BYTES = 64, 16 << 20
+#: Chunks whose ids a worker keeps from batch to batch, and the longest of them in bytes.
+KEPT, KEPT_BYTES = 1 << 20, 64
 
 # --- variable-length coding ---------------------------------------------------
 _SHIFT = np.arange(0, 8, 2, dtype=np.uint8)
@@ -89,7 +91,7 @@ class Chunked:
     chunks. The distinct chunks of a batch are encoded many to a call, a blank between them; a call's ids
     are cut where as many bytes are used up as a chunk has. Where that does not come out (special tokens,
     white space inside a chunk, letters whose normal form is longer or shorter), the chunks of the call
-    are encoded one by one."""
+    are encoded one by one. The ids of the first KEPT short chunks are kept for the batches that follow."""
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,6 +105,9 @@ class Chunked:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.size[i] = len(token.removesuffix(suffix))
+        #: chunks seen before, their ids one after another, and where each chunk's begin and how many they are
+        self.known = pa.array([], pa.string())
+        self.known_ids, self.known_first, self.known_n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks one after another, and where each chunk's end."""
@@ -129,13 +134,34 @@ class Chunked:
             return np.split(v, ends[:-1])
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(names, add_special_tokens=False)]
 
+    def _looked_up(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each chunk's begin in them and how many they are; only chunks not seen before are encoded."""
+        place = pc.index_in(chunks, value_set=self.known)
+        new = place.is_null()
+        fresh, new = chunks.filter(new), new.to_numpy(zero_copy_only=False)
+        got, ends = self._ids(fresh)
+        starts = np.concatenate([[0], ends[:-1]])[:len(ends)].astype(np.int64)
+        sizes = (ends - starts).astype(np.int64)
+        ids = np.concatenate([self.known_ids, got])
+        first, n = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        old = place.drop_null().to_numpy()
+        first[~new], n[~new] = self.known_first[old], self.known_n[old]
+        first[new], n[new] = len(self.known_ids) + starts, sizes
+        short = pc.less_equal(pc.binary_length(fresh), KEPT_BYTES).to_numpy(zero_copy_only=False)
+        keep = np.flatnonzero(short)[:KEPT - len(self.known)]
+        if len(keep):
+            at = np.cumsum(sizes[keep]) - sizes[keep]
+            self.known_first = np.concatenate([self.known_first, len(self.known_ids) + at])
+            self.known_n = np.concatenate([self.known_n, sizes[keep]])
+            self.known_ids = np.concatenate([self.known_ids, got[np.repeat(starts[keep] - at, sizes[keep]) + np.arange(sizes[keep].sum())]])
+            self.known = pa.concat_arrays([self.known, fresh.take(pa.array(keep))])
+        return ids, first, n
+
     def encode_all(self, texts: pa.Array | list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers"""
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))     # other white space stays in a chunk
         words = lists.flatten().dictionary_encode()
-        pool, last = self._ids(words.dictionary)
-        first = np.concatenate([[0], last[:-1]])[:len(last)]
-        n = last - first
+        pool, first, n = self._looked_up(words.dictionary)
         # the ids of all chunks one after another, then cut by text
         at = words.indices.to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(n[at])])

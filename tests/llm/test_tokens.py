@@ -168,3 +168,25 @@ def test_alignment_query_covers_the_table(spark):
     got = QUERIES["op12_token_alignment"](spark, SF)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in got.select(*COLS).collect()) == brute_alignment(docs)
+
+
+def test_chunks_of_earlier_batches_are_not_encoded_again(monkeypatch):
+    from tokenizers import Tokenizer
+    from netwarden.llm import token_files as TF
+    path = P.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    lib.no_truncation()
+    lib.no_padding()
+    first, second = [x or "" for x in TEXTS], ["banana of the row", "", "don't " + "y" * 100 + " the", "y" * 100, "new words"]
+    want = [[np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(t, add_special_tokens=False)] for t in (first, second)]
+    with open(path, "rb") as f:
+        spec = f.read()
+    for kept in (0, 3, 1 << 20):
+        monkeypatch.setattr(TF, "KEPT", kept)
+        chunks, asked = TF.Chunked(spec), []
+        plain = chunks._ids
+        monkeypatch.setattr(chunks, "_ids", lambda c: asked.append(c.to_pylist()) or plain(c))
+        assert [chunks.encode_all(t) for t in (first, second, first)] == [*want, want[0]]
+        assert len(chunks.known) <= kept
+        long = [x for x in asked[0] if len(x.encode()) > TF.KEPT_BYTES]
+        assert kept < 1 << 20 or (asked[2] == long and not {"banana", "row", "the", "don't"} & set(asked[1]))
