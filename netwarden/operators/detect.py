@@ -41,7 +41,7 @@ class ThreatModels:
     raw flows need first."""
     feature_names: list[str]
     scaler: dict = field(default_factory=dict)
-    forest: object = None          # pyspark.ml.PipelineModel
+    forest: object = None          # netwarden.operators.forest.ForestModel
     isolation: object = None       # netwarden.operators.isolation.IsolationModel
     preparation: Preparation | None = None
 
@@ -88,7 +88,8 @@ def detect(flows: DataFrame, models: ThreatModels, mode: str = "combined",
 
 
 def save_models(models: ThreatModels, spark, path: str) -> str:
-    """Forest via ML persistence; scaler, isolation nodes, medians and code dictionaries as parquet, names kept."""
+    """Trees, scaler, isolation nodes, medians and code dictionaries as parquet, names kept."""
+    from netwarden.operators.forest import save_forest
     from netwarden.operators.isolation import save_isolation
     rows = [(f, *models.scaler.get(f, (0.0, 1.0)), i) for i, f in enumerate(models.feature_names)]
     spark.createDataFrame(rows, "feature string, mean double, std double, position int") \
@@ -98,7 +99,7 @@ def save_models(models: ThreatModels, spark, path: str) -> str:
     spark.createDataFrame(parts, "forest boolean, isolation boolean, preparation boolean") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
     if models.forest is not None:
-        models.forest.write().overwrite().save(f"{path}/forest")
+        save_forest(models.forest, spark, f"{path}/forest")
     if fitted is not None:
         spark.createDataFrame(list(fitted.medians.items()), "feature string, median double") \
             .coalesce(1).write.mode("overwrite").parquet(f"{path}/medians")
@@ -117,7 +118,7 @@ def load_models(spark, path: str) -> ThreatModels:
     """Load a saved bundle with the models it was saved with. A folder that holds no bundle
     raises FileNotFoundError; other errors come through as they are."""
     from pyspark.errors import AnalysisException
-    from pyspark.ml import PipelineModel
+    from netwarden.operators.forest import load_forest
     from netwarden.operators.isolation import load_isolation
     try:
         parts = spark.read.parquet(f"{path}/parts").first()
@@ -126,7 +127,7 @@ def load_models(spark, path: str) -> ThreatModels:
             raise
         raise FileNotFoundError(f"model files not found under {path}: run training first") from e
     sc = spark.read.parquet(f"{path}/scaler").orderBy("position").collect()
-    forest = PipelineModel.load(f"{path}/forest") if parts["forest"] else None
+    forest = load_forest(spark, f"{path}/forest") if parts["forest"] else None
     iso = load_isolation(spark, f"{path}/isolation") if parts["isolation"] else None
     fitted = None
     if "preparation" in parts and parts["preparation"]:

@@ -112,8 +112,7 @@ DOCUMENTED_POLICY = SeverityPolicy("documented", 0.95, 0.85, 0.70)
 POLICIES = {p.name: p for p in (CODE_POLICY, DOCUMENTED_POLICY)}
 
 # Default hyper-parameters of the two detectors.
-# Engine settings: node-id caching (checkpointed to the shared folder) and a
-# larger per-pass node budget cut the passes over the training data for deep trees.
+# Settings of Spark ML's trainer, which the own trainer accepts and does not need.
 _ENGINE = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
 FOREST_DEFAULTS = dict(numTrees=100, maxDepth=20, minInstancesPerNode=2, seed=42,
                        featureSubsetStrategy="sqrt", **_ENGINE)

@@ -145,3 +145,90 @@ def test_prepared_rows_are_spread_over_the_cores(spark):
     assert data.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, 10)
     assert data.select("row_id", "x", "y").exceptAll(df.select("row_id", "x", F.col("y").cast("double"))).isEmpty()
     assert data.count() == n and data.where("split = 'train'").count() == n - sum(-(-c // 4) for c in (n - -(-n // 3), -(-n // 3)))
+
+
+def _noisy(spark, n=4000):
+    """Six features, two of them telling something of the class, rows over four partitions."""
+    df = spark.range(n, numPartitions=4).selectExpr("id AS row_id", *[f"CAST(abs(hash(id, {i})) % 100003 AS DOUBLE) / 1000 AS x{i}" for i in range(6)])
+    df = df.withColumn("label", F.expr("CAST(x0 + 0.5 * x1 + (abs(hash(row_id, 9)) % 40) > 110 AS INT)"))
+    return df.cache(), [f"x{i}" for i in range(6)]
+
+
+def test_forest_is_grown_in_a_few_jobs_however_deep(spark):
+    # Spark ML ran a job a level, and held the statistics of every open node in every task of it.
+    df, names = _noisy(spark)
+    df.count()
+    sc = spark.sparkContext
+    sc.setJobGroup("deep forest", "deep forest")
+    try:
+        model = RF.forest_model(RF.train_random_forest(df, names, numTrees=6, maxDepth=20))
+        RF.feature_importances(df, names, numTrees=6, maxDepth=30)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(t.depth for t in model.trees) > 10
+    assert len(sc.statusTracker().getJobIdsForGroup("deep forest")) <= 24
+
+
+def test_one_tree_is_that_of_spark_ml(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    from netwarden.operators.features import to_feature_vector
+    df, names = _noisy(spark)
+    params = dict(numTrees=1, maxDepth=6, minInstancesPerNode=2, bootstrap=False, featureSubsetStrategy="all")
+    rows = to_feature_vector(RF.balanced_weights(df), names).withColumn("label", F.col("label").cast("double"))
+    theirs = RandomForestClassifier(weightCol="class_weight", seed=42, **params).fit(rows)
+    ours = RF.train_random_forest(df, names, **params)
+    assert [(t.numNodes, t.depth) for t in theirs.trees] == [(t.numNodes, t.depth) for t in ours.trees]
+    a = {r[0]: r[1] for r in theirs.transform(rows).select("row_id", vector_to_array("probability")[1]).collect()}
+    b = {r[0]: r[1] for r in RF.score_random_forest(ours, df, names).select("row_id", "rf_probability").collect()}
+    assert len(a) == 4000 and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    imp = [r["importance"] for r in RF.feature_importances(df, names, **params).collect()]
+    unweighted = RandomForestClassifier(seed=42, **params).fit(rows).featureImportances.toArray()
+    assert all(abs(x - y) < 1e-9 for x, y in zip(imp, unweighted))
+
+
+@pytest.mark.parametrize("depth", [2, 20])
+def test_forest_is_the_same_when_its_top_is_split_over_all_tasks(spark, monkeypatch, depth):
+    df, names = _noisy(spark)
+
+    def made():
+        m = RF.train_random_forest(df, names, numTrees=4, maxDepth=depth, balanced=False)
+        scores = RF.score_random_forest(m, df, names).orderBy("row_id").select("row_id", "rf_prediction", "rf_probability").collect()
+        return sorted((t.numNodes, t.depth) for t in m.trees), scores, RF.feature_importances(df, names, numTrees=4, maxDepth=depth).collect()
+
+    one = made()
+    monkeypatch.setattr(RF, "UNIT_BYTES", 300 * 112)     # nodes of more than 300 rows do not go to one task
+    two = made()
+    assert one[:2] == two[:2]
+    assert all(abs(a["importance"] - b["importance"]) < 1e-9 for a, b in zip(one[2], two[2]))
+
+
+def test_forest_rows_it_cannot_use(spark):
+    df, names = _noisy(spark, 50)
+    with pytest.raises(ValueError, match="empty table"):
+        RF.train_random_forest(df.where("row_id < 0"), names, balanced=False)
+    with pytest.raises(ValueError, match="2 training rows"):
+        RF.feature_importances(df.withColumn("x3", F.when(F.col("row_id") > 1, F.col("x3"))), names)
+    gap = df.withColumn("x3", F.when(F.col("row_id") > 1, F.col("x3")))
+    model = RF.train_random_forest(df, names, numTrees=3)
+    assert RF.score_random_forest(model, gap, names).where("rf_probability IS NOT NULL").count() == 50   # missing: above every threshold
+
+
+def test_bundle_of_an_earlier_version_and_one_written_over(spark, em):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    old = Pipeline(stages=[VectorAssembler(inputCols=FEATS, outputCol="features", handleInvalid="keep"),
+                           RandomForestClassifier(numTrees=3, predictionCol="_rf_pred", probabilityCol="_rf_prob", rawPredictionCol="_rf_raw")])
+    old = old.fit(em.withColumn("label", F.col("label").cast("double")))
+    path = tempfile.mkdtemp(prefix="nw-models-")
+    DT.save_models(DT.ThreatModels(FEATS, {}, old), spark, path)
+    loaded = DT.load_models(spark, path)
+    assert DT.detect(em, loaded, mode="rf").columns == DT.detect(em, DT.ThreatModels(FEATS, {}, old), mode="rf").columns
+    new = DT.ThreatModels(FEATS, {}, RF.train_random_forest(em, FEATS, numTrees=3))
+    DT.save_models(new, spark, path)
+    in_use = DT.load_models(spark, path)
+    want = DT.detect(em, new, mode="rf").orderBy("row_id").collect()
+    DT.save_models(DT.ThreatModels(FEATS, {}, RF.train_random_forest(em, FEATS, numTrees=2, seed=1)), spark, path)
+    assert DT.detect(em, in_use, mode="rf").orderBy("row_id").collect() == want
