@@ -37,7 +37,7 @@ def stream_detect(flows: DataFrame, to_alerts: Callable[[DataFrame], DataFrame],
     """New flows -> detection -> alert rows appended to a parquet table.
 
     ``to_alerts`` is any stateless DataFrame function (e.g. ``detect`` followed
-    by ``generate_alerts``); forest ``transform`` and ``mapInPandas`` scoring
+    by ``generate_alerts``); ``mapInArrow`` and ``mapInPandas`` scoring
     both run on streams.
     """
     alerts = to_alerts(flows)
